@@ -84,8 +84,8 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT 'gaps', CASE WHEN l_tax > 0 THEN l_quantity * 3 END FROM lineitem)
         SELECT candidate, count(*) AS n_rows,
                count(*) FILTER (label IS NULL) AS n_null,
-               count(*) FILTER (label <> floor(label)) AS n_fractional,
-               count(*) FILTER (label = floor(label) AND (label < 0 OR label >= 100)) AS n_out_of_range,
+               count(*) FILTER (label < 0 OR label >= 100) AS n_out_of_range,
+               count(*) FILTER (label >= 0 AND label < 100 AND label <> floor(label)) AS n_fractional,
                max(label) AS highest
         FROM v GROUP BY candidate""",
     "fold_counts": f"""

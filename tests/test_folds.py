@@ -1,0 +1,113 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from coppice.operators.folds import CHUNK, canonical, fold_split, split_distribution, stored_folds, with_fold
+from plans_text import exchanges, plan_of
+
+
+def rows(spark, n=1000, parts=3):
+    return spark.range(0, n, 1, parts).withColumn("label", (F.col("id") % 3).cast("int"))
+
+
+def test_key_folds_follow_md5(spark):
+    expected = {i: int(hashlib.md5(f"s-{i}".encode()).hexdigest()[:8], 16) % 5 for i in range(1000)}
+    found = {r.id: r.fold for r in with_fold(rows(spark), 5, ["id"], "s").collect()}
+    assert found == expected
+
+
+def test_key_folds_do_not_depend_on_layout(spark):
+    one = with_fold(rows(spark, parts=1), 5, ["id"])
+    many = with_fold(rows(spark).repartition(7), 5, ["id"])
+    assert one.exceptAll(many).count() == 0
+
+
+def test_null_key_parts_have_a_fold(spark):
+    df = spark.createDataFrame([(None, 1), (2, None)], "a int, b int")
+    assert with_fold(df, 5, ["a", "b"]).filter("fold is null").count() == 0
+
+
+def test_random_folds_are_even_and_narrow(spark):
+    df = with_fold(rows(spark, 20000), 4)
+    counts = [r["count"] for r in df.groupBy("fold").count().collect()]
+    assert len(counts) == 4 and all(4700 < n < 5300 for n in counts)
+    assert exchanges(df) == 0
+
+
+def test_split_is_complete_and_disjoint(spark):
+    df = with_fold(rows(spark), 5, ["id"])
+    for i in range(5):
+        train, held_out = fold_split(df, i)
+        assert train.count() + held_out.count() == 1000
+        assert train.join(held_out, "id").count() == 0
+
+
+def test_split_distribution_counts_every_split(spark):
+    df = with_fold(rows(spark), 3, ["id"])
+    found = {(r.split, r.side, r.label): r.n for r in split_distribution(df, "label", 3).collect()}
+    expected = {}
+    for i in range(3):
+        for side, part in zip(("train", "held_out"), fold_split(df, i)):
+            expected |= {(i, side, r.label): r["count"] for r in part.groupBy("label").count().collect()}
+    assert found == expected
+
+
+def test_split_distribution_scans_once(spark, sf):
+    df = with_fold(spark.read.parquet(f"{sf}/lineitem.parquet"), 5, ["l_orderkey"])
+    assert plan_of(split_distribution(df, "l_linenumber", 5), "simple").count("FileScan") == 1
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_stored_folds_keep_every_row(spark, tmp_path, parts):
+    df = with_fold(rows(spark, parts=parts), 5, ["id"])
+    table = stored_folds(df, ["id", "label"], f"{tmp_path}/t")
+    assert table.columns == ["fold", "id", "label"]
+    assert table.select(df.columns).exceptAll(df).count() == 0 and table.count() == 1000
+    assert len(table.inputFiles()) >= min(parts, spark.sparkContext.defaultParallelism)
+
+
+def test_little_data_is_spread_over_the_cores(spark, tmp_path):
+    table = stored_folds(with_fold(rows(spark, parts=1), 5, ["id"]), ["id", "label"], f"{tmp_path}/t")
+    assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_random_fold_is_pinned_once_stored(spark, tmp_path):
+    table = stored_folds(with_fold(rows(spark), 5), ["id", "label"], f"{tmp_path}/t")
+    assert table.exceptAll(table.repartition(5)).count() == 0
+
+
+def test_fold_filter_reaches_the_scan(spark, tmp_path):
+    table = stored_folds(with_fold(rows(spark), 5, ["id"]), ["id", "label"], f"{tmp_path}/t")
+    train, held_out = fold_split(table, 2)
+    assert "Not(EqualTo(fold,2))" in plan_of(train)
+    assert "EqualTo(fold,2)" in plan_of(held_out)
+
+
+def test_canonical_keeps_every_copy_and_splits_large_groups(spark):
+    copies = 3 * CHUNK + 7
+    hot = spark.range(0, copies, 1, 4).select(F.lit(1.5).alias("x"), F.lit(None).cast("int").alias("a.b"))
+    rest = spark.range(0, 2 * copies, 1, 4).select((F.col("id") / 2).alias("x"), F.lit(3).alias("a.b"))
+    df = hot.unionByName(rest)
+    placed = canonical(df, 8)
+    assert placed.columns == df.columns and placed.count() == 3 * copies
+    assert placed.exceptAll(df).count() == 0
+    sizes = placed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 3 * copies / 8 + 3 * CHUNK
+
+
+def test_canonical_order_follows_from_the_rows(spark):
+    df = rows(spark).select((F.col("id") % 300).alias("x"), "label")
+    one, other = ([tuple(r) for r in canonical(d, 5).collect()] for d in (df, df.repartition(9)))
+    assert one == other
+
+
+def test_stored_in_canonical_order_at_any_size(spark, tmp_path):
+    df = with_fold(rows(spark, parts=40), 5, ["id"])
+    table = stored_folds(df, ["id", "label"], f"{tmp_path}/t", partitions=12)
+    assert len(table.inputFiles()) == 12 and table.count() == 1000
+
+
+def test_stored_without_a_shuffle_when_there_are_files_enough(spark, tmp_path):
+    stored_folds(with_fold(rows(spark, parts=40), 5, ["id"]), ["id", "label"], f"{tmp_path}/t")
+    assert not (tmp_path / "t-spread").exists()

@@ -1,0 +1,133 @@
+import pytest
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import functions as F
+
+from coppice.operators.features import training_pair
+from coppice.operators.folds import stored_folds, with_fold
+from coppice.operators.forest import DEPTHS, TREES, forest, grid
+from coppice.operators.metrics import confusion
+from coppice.operators.scoring import _passes, confusion_of_models, vote_arrays
+from coppice.operators.search import best_map, search
+from coppice.plans.fixtures import ROW_KEY, separable
+from coppice.plans.queries import EXACT
+from plans_text import plan_of
+
+FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+
+
+@pytest.fixture(scope="module")
+def noisy(spark, tmp_path_factory):
+    """A label that no forest learns without error, stored with folds."""
+    df = separable(spark, "/root/testdata/sf0.001")
+    label = F.when(F.col("l_orderkey") % 4 == 0, F.col("l_linenumber") % 3).otherwise(F.col("quality"))
+    df = with_fold(df.withColumn("quality", label), 3, ROW_KEY)
+    return stored_folds(df, [*ROW_KEY, *FEATURES, "quality"], f"{tmp_path_factory.mktemp('noisy')}/t")
+
+
+@pytest.fixture(scope="module")
+def vectors(noisy):
+    return training_pair(noisy, FEATURES, "quality", 8, keep=["fold", *ROW_KEY]).persist()
+
+
+def test_default_grid():
+    rf = forest("quality")
+    maps = grid(rf)
+    assert (TREES, DEPTHS) == ((50, 100, 200), (5, 10, 15))
+    assert [(m[rf.numTrees], m[rf.maxDepth]) for m in maps] == [(t, d) for t in TREES for d in DEPTHS]
+
+
+def test_search_equals_sparks_cross_validator(spark, noisy):
+    rf = forest("quality", seed=3)
+    maps = grid(rf, (2, 4), (1, 4))
+    found = search(noisy, FEATURES, "quality", rf, maps, folds=3, parallelism=3)
+    pair = training_pair(noisy, FEATURES, "quality", 8, keep=["fold"])
+    stock = CrossValidator(
+        estimator=rf,
+        estimatorParamMaps=maps,
+        evaluator=MulticlassClassificationEvaluator(labelCol="quality", metricName="f1"),
+        numFolds=3,
+        foldCol="fold",
+    ).fit(pair)
+    rows = found.scores.orderBy("param_map").collect()
+    assert [r.mean_f1 for r in rows] == pytest.approx(stock.avgMetrics, abs=1e-12)
+    assert [r.std_f1 for r in rows] == pytest.approx(stock.stdMetrics, abs=1e-12)
+    best = [r for r in rows if r.is_best]
+    assert len(best) == 1 and best[0].mean_f1 == pytest.approx(max(stock.avgMetrics))
+    mine = found.model.stages[-1]
+    assert mine.getNumTrees == stock.bestModel.getNumTrees == best[0].numTrees
+    assert mine.toDebugString.split("\n")[1:] == stock.bestModel.toDebugString.split("\n")[1:]
+
+
+def test_search_does_not_depend_on_parallelism_or_cache(spark, noisy):
+    rf = forest("quality", seed=3)
+    maps = grid(rf, (2, 3), (2,))
+    runs = [
+        search(noisy, FEATURES, "quality", rf, maps, 3, parallelism, cache).scores.collect()
+        for parallelism, cache in ((1, True), (4, False))
+    ]
+    for one, other in zip(*runs):
+        assert one[:3] == other[:3] and one.is_best == other.is_best
+        assert (one.mean_f1, one.std_f1) == pytest.approx((other.mean_f1, other.std_f1), abs=1e-12)
+
+
+def test_first_of_equal_means_wins():
+    assert best_map([0.5, 0.9, 0.9 + 1e-16, 0.1]) == 1
+    assert best_map([1.0 - 1e-16, 1.0]) == 0
+
+
+def test_search_with_an_empty_held_out_fold(spark, noisy):
+    rf = forest("quality", numTrees=2)
+    df = noisy.filter("fold < 2")
+    rows = search(df, FEATURES, "quality", rf, grid(rf, (2,), (2,)), folds=3).scores.collect()
+    assert 0 < rows[0].mean_f1 < 1
+
+
+def test_models_scored_together_count_as_alone(vectors):
+    rf = forest("quality", seed=5)
+    models = [rf.fit(vectors, m) for m in grid(rf, (1, 3), (2, 5))]
+    alone = [{(r.label, r.prediction): r.n for r in confusion(m.transform(vectors), "quality").collect()} for m in models]
+    for limit in (1, models[0].totalNumNodes + models[1].totalNumNodes, 10**9):
+        together = [{} for _ in models]
+        for counts in confusion_of_models(models, vectors, "quality", limit):
+            for r in counts.collect():
+                together[r.model][(r.label, r.prediction)] = r.n
+        assert together == alone
+
+
+def test_passes_stay_within_the_limit():
+    class Sized:
+        def __init__(self, nodes):
+            self.totalNumNodes = nodes
+
+    groups = list(_passes([Sized(n) for n in (5, 5, 30, 1, 9, 1)], 10))
+    assert [[i for i, _ in g] for g in groups] == [[0, 1], [2], [3, 4], [5]]
+
+
+def test_one_pass_scans_once_and_stays_in_the_jvm(noisy):
+    pair = training_pair(noisy, FEATURES, "quality", 8)
+    rf = forest("quality", numTrees=2, maxDepth=2)
+    models = [rf.fit(pair), rf.fit(pair, {rf.numTrees: 3})]
+    plans = [plan_of(counts, "simple") for counts in confusion_of_models(models, pair, "quality")]
+    assert len(plans) == 1
+    assert plans[0].count("FileScan") == 1 and plans[0].count("Exchange") == 1
+    assert "Python" not in plans[0] and "CartesianProduct" not in plans[0]
+
+
+def test_votes(spark, sf):
+    df = separable(spark, sf)
+    pair = training_pair(df, FEATURES[:3], "quality")
+    scored = forest("quality", numTrees=3, maxDepth=3, **EXACT).fit(pair).transform(pair)
+    row = vote_arrays(scored).filter("quality = 5").first()
+    assert len(row.probability) == 8  # labels up to 7
+    assert sum(row.rawPrediction) == pytest.approx(3) and row.probability[5] == 1.0 and row.prediction == 5.0
+
+
+def test_same_rows_give_the_same_forest(spark, tmp_path):
+    trees = []
+    for parts in (1, 2, 5):
+        df = with_fold(separable(spark, "/root/testdata/sf0.001").repartition(parts), 5, ROW_KEY)
+        table = stored_folds(df, [*ROW_KEY, *FEATURES, "quality"], f"{tmp_path}/{parts}")
+        model = forest("quality", numTrees=3, maxDepth=6).fit(training_pair(table, FEATURES, "quality", 8))
+        trees.append(model.toDebugString.split("\n")[1:])
+    assert trees[0] == trees[1] == trees[2]
