@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from coppice.operators.columns import clean_columns, split_columns
 from coppice.operators.features import training_pair
-from coppice.operators.folds import fold_split, split_distribution, stored_folds, with_fold
-from coppice.operators.forest import forest, grid
+from coppice.operators.folds import fold_split, split_distribution, with_fold
+from coppice.operators.forest import forest
 from coppice.operators.labels import check_label, label_distribution, label_profile
 from coppice.operators.metrics import accuracy, confusion, per_class, summary, weighted_f1
 from coppice.operators.scoring import score, vote_arrays
-from coppice.operators.search import fold_confusion
+from coppice.operators.search import Search
 from coppice.plans.fixtures import ROW_KEY, document_quality, rule_predictions, separable, table
 from coppice.plans.jobs import evaluate, score_job, train_job, train_table
 from coppice.session import run_folder
@@ -26,7 +26,6 @@ from coppice.sources.store import load_model, save_model, write_metrics
 # The fixture is learned exactly when every quantity has its own bin and every tree
 # may split on it.
 EXACT = {"maxBins": 64, "featureSubsetStrategy": "all"}
-SMALL_GRID = {"trees": (3, 5), "depths": (1, 3)}
 UNUSED = [*ROW_KEY, "l_extendedprice"]
 PARALLELISM = 4
 
@@ -129,16 +128,10 @@ def accuracy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy(_rule_confusion(spark, sf_dir)).select(F.round("accuracy", 6).alias("accuracy"))
 
 
-def _folded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], str]:
-    """The fixture as a stored training table with inner folds."""
-    df = with_fold(separable(spark, sf_dir), 5, ROW_KEY, salt="inner")
-    features, label = split_columns(separable(spark, sf_dir), drop=UNUSED)
-    return stored_folds(df, [*ROW_KEY, *features, label], run_folder(spark, "folds")), features, label
-
-
 def _fitted(spark: SparkSession, sf_dir: str, trees: int = 5, depth: int = 3):
     """One forest on the whole fixture, and the vectors it was trained on with their keys."""
-    df, features, label = _folded(spark, sf_dir)
+    df = separable(spark, sf_dir)
+    features, label = split_columns(df, drop=UNUSED)
     vectors = training_pair(df, features, label, check_label(df, label), keep=ROW_KEY)
     return forest(label, numTrees=trees, maxDepth=depth, **EXACT).fit(vectors), vectors, features, label
 
@@ -161,11 +154,15 @@ def forest_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = train_table(
-        separable(spark, sf_dir), drop=UNUSED, key=ROW_KEY, salt="inner", parallelism=PARALLELISM, **SMALL_GRID, **EXACT
+def _searched(df: DataFrame, trees: tuple[int, ...], depths: tuple[int, ...]) -> Search:
+    """Search on the fixture or a part of it, with folds by row key."""
+    return train_table(
+        df, "quality", UNUSED, trees, depths, key=ROW_KEY, salt="inner", parallelism=PARALLELISM, **EXACT
     )
-    return found.scores.select(
+
+
+def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(separable(spark, sf_dir), (3, 5), (1, 3)).scores.select(
         F.col("numTrees").cast("int").alias("num_trees"),
         F.col("maxDepth").cast("int").alias("max_depth"),
         F.round("mean_f1", 6).alias("mean_f1"),
@@ -175,23 +172,18 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, features, label = _folded(spark, sf_dir)
-    vectors = training_pair(df, features, label, check_label(df, label), keep=["fold"])
-    rf = forest(label, **EXACT)
-    depths = (1, 2)
-    counts = fold_confusion(rf, vectors, label, grid(rf, (1,), depths), 5, PARALLELISM)
-    depth = F.element_at(F.array(*map(F.lit, depths)), F.col("model") + 1)
-    scores = weighted_f1(counts, by=["fold", "model"])
-    return scores.select("fold", depth.alias("max_depth"), F.round("f1", 6).alias("f1"))
+    scores = _searched(separable(spark, sf_dir), (1,), (1, 2)).fold_scores
+    return scores.select(
+        F.col("fold").cast("int").alias("fold"),
+        F.col("maxDepth").cast("int").alias("max_depth"),
+        F.round("f1", 6).alias("f1"),
+    )
 
 
 def holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = with_fold(separable(spark, sf_dir), 5, ROW_KEY, salt="outer", name="part")
     train, held_out = fold_split(df, 0, "part")
-    found = train_table(
-        train.drop("part"), drop=UNUSED, key=ROW_KEY, salt="inner", parallelism=PARALLELISM, **SMALL_GRID, **EXACT
-    )
-    return evaluate(found.model, held_out, "quality")
+    return evaluate(_searched(train.drop("part"), (3, 5), (1, 3)).model, held_out, "quality")
 
 
 def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +229,16 @@ def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     model = run_folder(spark, "model")
     trained = train_job(
-        spark, train, model, validation, drop=UNUSED, key=ROW_KEY, parallelism=PARALLELISM, **SMALL_GRID, **EXACT
+        spark,
+        train,
+        model,
+        validation,
+        drop=UNUSED,
+        trees=(3, 5),
+        depths=(1, 3),
+        key=ROW_KEY,
+        parallelism=PARALLELISM,
+        **EXACT,
     )
     scored = score_job(spark, test, model)
     return trained.validation.withColumn("dataset", F.lit("validation")).unionByName(

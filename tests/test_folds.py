@@ -64,12 +64,14 @@ def test_stored_folds_keep_every_row(spark, tmp_path, parts):
     table = stored_folds(df, ["id", "label"], f"{tmp_path}/t")
     assert table.columns == ["fold", "id", "label"]
     assert table.select(df.columns).exceptAll(df).count() == 0 and table.count() == 1000
-    assert len(table.inputFiles()) >= min(parts, spark.sparkContext.defaultParallelism)
+    assert len(table.inputFiles()) == parts
 
 
-def test_little_data_is_spread_over_the_cores(spark, tmp_path):
-    table = stored_folds(with_fold(rows(spark, parts=1), 5, ["id"]), ["id", "label"], f"{tmp_path}/t")
+def test_unsplit_data_is_spread_over_the_cores(spark, tmp_path):
+    df = with_fold(rows(spark, 200_000, parts=1), 5, ["id"])
+    table = stored_folds(df, ["id", "label"], f"{tmp_path}/t")
     assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert table.count() == 200_000
 
 
 def test_random_fold_is_pinned_once_stored(spark, tmp_path):
