@@ -222,11 +222,13 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both jobs over untidy text: fold 0 is the test file, fold 1 the validation file."""
-    df = with_fold(separable(spark, sf_dir), 5, ROW_KEY, salt="outer", name="part")
-    test, validation, train = (
-        _as_text(df.filter(rows).drop("part"), name)
-        for name, rows in (("test", "part = 0"), ("validation", "part = 1"), ("train", "part > 1"))
-    )
+    part = F.col("part")
+    dataset = F.when(part == 0, "test").when(part == 1, "validation").otherwise("train")
+    rows = separable(spark, sf_dir)
+    parted = with_fold(rows, 5, ROW_KEY, salt="outer", name="part").select(*rows.columns, dataset.alias("dataset"))
+    folder = run_folder(spark, "text")
+    write_delimited(parted, folder, names=[*_untidy(rows.columns), "dataset"], by=["dataset"])
+    train, validation, test = (f"{folder}/dataset={name}" for name in ("train", "validation", "test"))
     model = run_folder(spark, "model")
     trained = train_job(
         spark,

@@ -24,6 +24,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     common.add_argument("--metrics", help="folder to which a stamped metrics row is appended")
     common.add_argument("--sep", default=";")
     common.add_argument("--schema", help="column types as DDL; spares the pass that infers them")
+    common.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="for the text reader")
     common.add_argument("--label", help="label column; default: the last one, or the model's")
     parser = argparse.ArgumentParser(description=__doc__)
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -37,6 +38,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     train.add_argument("--seed", type=int, default=42)
     train.add_argument("--parallelism", type=int, default=1, help="fits in training at a time")
     train.add_argument("--no-cache", action="store_true", help="read the stored table for each fit")
+    train.add_argument("--partitions", type=int, help="canonical row order in so many partitions")
     train.add_argument("--max-memory-mb", type=int, default=256, help="split statistics gathered per pass")
     score = jobs.add_parser("score", parents=[common])
     score.add_argument("--features", type=_names, help="feature columns in training order, for a bare forest")
@@ -51,7 +53,13 @@ def _report(title: str, metrics) -> None:
 def main(argv: list[str] | None = None) -> None:
     args = _arguments(argv)
     spark = session(f"coppice-{args.job}")
-    shared = {"metrics_path": args.metrics, "sep": args.sep, "schema": args.schema, "label": args.label}
+    shared = {
+        "metrics_path": args.metrics,
+        "sep": args.sep,
+        "schema": args.schema,
+        "label": args.label,
+        "options": dict(option.split("=", 1) for option in args.option),
+    }
     if args.job == "score":
         _report("Test", score_job(spark, args.data, args.model, features=args.features, **shared))
         return
@@ -69,6 +77,7 @@ def main(argv: list[str] | None = None) -> None:
         seed=args.seed,
         parallelism=args.parallelism,
         cache=not args.no_cache,
+        partitions=args.partitions,
         maxMemoryInMB=args.max_memory_mb,
     )
     trained.scores.show(trained.scores.count(), truncate=False)

@@ -70,3 +70,8 @@ def test_text_feature_is_refused(spark):
     df = spark.createDataFrame([("x", 1)], "s string, quality int")
     with pytest.raises(Exception, match="string"):
         training_pair(df, ["s"], "quality")
+
+
+def test_dotted_feature(spark):
+    df = spark.createDataFrame([(1.5, 2, 1)], "`a.b` double, c int, quality int")
+    assert list(training_pair(df, ["a.b", "c"], "quality").first().features) == [1.5, 2.0]

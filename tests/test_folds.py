@@ -112,4 +112,4 @@ def test_stored_in_canonical_order_at_any_size(spark, tmp_path):
 
 def test_stored_without_a_shuffle_when_there_are_files_enough(spark, tmp_path):
     stored_folds(with_fold(rows(spark, parts=40), 5, ["id"]), ["id", "label"], f"{tmp_path}/t")
-    assert not (tmp_path / "t-spread").exists()
+    assert not (tmp_path / "t" / "canonical").exists()

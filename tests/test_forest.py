@@ -7,7 +7,7 @@ from coppice.operators.features import training_pair
 from coppice.operators.folds import stored_folds, with_fold
 from coppice.operators.forest import DEPTHS, TREES, forest, grid
 from coppice.operators.metrics import confusion
-from coppice.operators.scoring import _passes, confusion_of_models, vote_arrays
+from coppice.operators.scoring import confusion_of_models, model_bytes, passes, vote_arrays
 from coppice.operators.search import best_map, search
 from coppice.plans.fixtures import ROW_KEY, separable
 from coppice.plans.queries import EXACT
@@ -87,7 +87,7 @@ def test_models_scored_together_count_as_alone(vectors):
     rf = forest("quality", seed=5)
     models = [rf.fit(vectors, m) for m in grid(rf, (1, 3), (2, 5))]
     alone = [{(r.label, r.prediction): r.n for r in confusion(m.transform(vectors), "quality").collect()} for m in models]
-    for limit in (1, models[0].totalNumNodes + models[1].totalNumNodes, 10**9):
+    for limit in (1, model_bytes(models[0]) + model_bytes(models[1]), 10**9):
         together = [{} for _ in models]
         for counts in confusion_of_models(models, vectors, "quality", limit):
             for r in counts.collect():
@@ -96,12 +96,8 @@ def test_models_scored_together_count_as_alone(vectors):
 
 
 def test_passes_stay_within_the_limit():
-    class Sized:
-        def __init__(self, nodes):
-            self.totalNumNodes = nodes
-
-    groups = list(_passes([Sized(n) for n in (5, 5, 30, 1, 9, 1)], 10))
-    assert [[i for i, _ in g] for g in groups] == [[0, 1], [2], [3, 4], [5]]
+    assert [list(run) for run in passes([5, 5, 30, 1, 9, 1], 10)] == [[0, 1], [2], [3, 4], [5]]
+    assert list(passes([], 10)) == []
 
 
 def test_one_pass_scans_once_and_stays_in_the_jvm(noisy):
