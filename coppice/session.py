@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +58,20 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`run_folder` named, on whatever file system it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def file_per_partition(spark: SparkSession) -> Iterator[None]:
+    """Scans planned inside take one file per partition, and split only larger ones.
+
+    A scan otherwise packs small files together by their bytes, and in a columnar file
+    few bytes can be very many rows. Kept apart, the files a job wrote come back as the
+    partitions they were written from, whatever the number of cores.
+    """
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coppice.operators.folds import CHUNK, canonical, fold_split, split_distribution, stored_folds, with_fold
+from coppice.session import file_per_partition
 from plans_text import exchanges, plan_of
 
 
@@ -70,7 +71,8 @@ def test_stored_folds_keep_every_row(spark, tmp_path, parts):
 def test_unsplit_data_is_spread_over_the_cores(spark, tmp_path):
     df = with_fold(rows(spark, 200_000, parts=1), 5, ["id"])
     table = stored_folds(df, ["id", "label"], f"{tmp_path}/t")
-    assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    with file_per_partition(spark):
+        assert table.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert table.count() == 200_000
 
 
@@ -108,6 +110,11 @@ def test_stored_in_canonical_order_at_any_size(spark, tmp_path):
     df = with_fold(rows(spark, parts=40), 5, ["id"])
     table = stored_folds(df, ["id", "label"], f"{tmp_path}/t", partitions=12)
     assert len(table.inputFiles()) == 12 and table.count() == 1000
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with file_per_partition(spark):
+        assert table.select("id").rdd.getNumPartitions() == 12
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert table.select("id").rdd.getNumPartitions() < 12
 
 
 def test_stored_without_a_shuffle_when_there_are_files_enough(spark, tmp_path):
