@@ -47,7 +47,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
 def _report(title: str, metrics) -> None:
     for row in metrics.collect():
-        print(f"{title}: rows {row.n_rows}, F1 Score: {row.f1:.4f}, accuracy: {row.accuracy:.4f}")
+        print(f"{title}: rows {row.n_rows}, F1 {row.f1:.4f}, accuracy {row.accuracy:.4f}")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> None:
     trained.scores.show(trained.scores.count(), truncate=False)
     if trained.validation is not None:
         _report("Validation", trained.validation)
-    print(f"Best model saved to: {args.model}")
+    print(f"model saved in {args.model}")
 
 
 if __name__ == "__main__":

@@ -100,6 +100,16 @@ def test_canonical_keeps_every_copy_and_splits_large_groups(spark):
     assert len(sizes) == 8 and max(r["count"] for r in sizes) < 3 * copies / 8 + 3 * CHUNK
 
 
+def test_chunks_grow_where_there_would_be_too_many(spark, monkeypatch):
+    monkeypatch.setattr("coppice.operators.folds.CHUNK", 2)
+    monkeypatch.setattr("coppice.operators.folds.MAX_CHUNKS", 3)
+    df = spark.range(100).selectExpr("case when id < 71 then -1 else id end as x")
+    placed = canonical(df, 4)
+    assert placed.count() == 100 and placed.exceptAll(df).count() == 0
+    # 71 copies make chunks of 24, 24 and 23; the others are one row each.
+    assert plan_of(placed, "simple").count("Exchange") == 2
+
+
 def test_canonical_order_follows_from_the_rows(spark):
     df = rows(spark).select((F.col("id") % 300).alias("x"), "label")
     one, other = ([tuple(r) for r in canonical(d, 5).collect()] for d in (df, df.repartition(9)))
