@@ -30,7 +30,7 @@ def vectors(noisy):
     return training_pair(noisy, FEATURES, "quality", 8, keep=["fold", *ROW_KEY]).persist()
 
 
-def test_default_grid():
+def test_default_grid(spark):
     rf = forest("quality")
     maps = grid(rf)
     assert (TREES, DEPTHS) == ((50, 100, 200), (5, 10, 15))
