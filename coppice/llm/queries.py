@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from coppice.llm.common import pick
 from coppice.llm.decontaminate import contamination, matches
+from coppice.llm.edits import with_next
+from coppice.llm.jaccard import similar_groups
 from coppice.llm.licenses import license_scan
+from coppice.llm.lm import score_texts
 from coppice.llm.mixing import mix
+from coppice.llm.quality import score_quality
+from coppice.llm.substrings import repeats
 from coppice.llm.tokens import load_pieces, token_counts
 from coppice.llm.urls import Rule, judge_urls
 
@@ -50,6 +55,14 @@ def mix_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return mix(sized, F.col("n"), quality, keep=keep)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_next(table(spark, sf_dir, "documents"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -58,16 +71,34 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "begin", "end", "kept_doc_id", "kept_begin")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mix": op2_mix,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
+    "op7_lm_score": op7_lm_score,
     "op8_url_filter": op8_url_filter,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
