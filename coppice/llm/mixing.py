@@ -73,8 +73,8 @@ def mix(
     seed: int = 42,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, the columns in ``keep``, size, source_size, target
-    (its source's), taken: the size taken, repeats counted.
+    """Per row of ``docs``: doc_id, size, source_size, target (its source's), taken (the
+    size taken, repeats counted), source, and the columns in ``keep``.
 
     ``size`` is a whole number, ``quality`` the positive weight of a document. A null
     size counts as 0 and such a document is never taken; a null or not positive quality
@@ -119,7 +119,7 @@ def mix(
         sources["source"], "source_size", "target", "epochs", "at_slice", "at_part", "part_rest"
     )
     limits = stored(limits, "mix-limits")
-    rows = base.join(limits, same(base, limits)).drop(limits["source"])
+    rows = base.join(limits, same(base, limits)).drop(limits["source"])  # one row per source: no row is added
     here = F.struct("slice", "part")
     there = F.struct(F.col("at_slice").alias("slice"), F.col("at_part").alias("part"))
     away = rows.filter(F.col("at_slice").isNull() | (here != there))
@@ -130,4 +130,4 @@ def mix(
     some = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part_rest") - F.col("before")))
     both = away.withColumn("extra", extra).unionByName(near.withColumn("extra", some).drop("before"))
     taken = (F.col("epochs") * F.col("size") + F.col("extra")).cast("long")
-    return both.select("doc_id", *keep, "size", "source_size", "target", taken.alias("taken"))
+    return both.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", *keep)
