@@ -66,7 +66,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents taken, with size, source_size, target and taken (words, repeats counted)."""
-    return mix_documents(docs, keep=("source",)).filter("taken > 0")
+    mixed = mix_documents(docs, keep=("text", "lang", "n_chars"))
+    return mixed.filter("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
