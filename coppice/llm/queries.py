@@ -15,6 +15,7 @@ from coppice.llm.jaccard import similar_groups
 from coppice.llm.licenses import license_scan
 from coppice.llm.lm import score_texts
 from coppice.llm.mixing import mix
+from coppice.llm.oracles import ORACLES
 from coppice.llm.quality import score_quality
 from coppice.llm.substrings import repeats
 from coppice.llm.tokens import load_pieces, token_counts
@@ -102,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
