@@ -27,7 +27,7 @@ from coppice.llm.common import blank_words, pick, ship, stored
 # Words whose counts go to every task, at 16 bytes; the counts of all others are joined.
 MAX_FREQUENT = 200_000
 CLASSES, SIZE, NOISE = 512, 16, 64
-BATCH, RATE = 4096, 0.1
+BATCH, RATE, LEAST_STEPS = 4096, 0.1, 200
 # Tokens that a task trains on at a time, and words it counts before it passes them on.
 CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 400_000
 # Trained models added up by one task.
@@ -178,13 +178,14 @@ def trigrams(classes: Sequence[np.ndarray], n: int, end: int) -> np.ndarray:
 
 
 def nce(weights: Weights, codes: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, squares: Weights) -> Weights:
-    """One pass of AdaGrad steps over the trigrams. Equal trigrams are taken together, in
-    lots of up to 8, and count as often as they occur."""
+    """AdaGrad steps over the trigrams: one pass, or as many as make up ``LEAST_STEPS``.
+    Equal trigrams are taken together, in lots of up to 8, and count as often as they occur."""
     n = len(unigram)
     kinds, times = np.unique(codes, return_counts=True)
     lots = -(-times // 8)
     kinds, times = np.repeat(kinds, lots), np.repeat(times / lots, lots)
-    order = rng.permutation(len(kinds))
+    passes = -(-LEAST_STEPS // -(-len(kinds) // BATCH))
+    order = np.concatenate([rng.permutation(len(kinds)) for _ in range(passes)])
     log_noise = np.log(NOISE * unigram)
     for start in range(0, len(order), BATCH):
         at = order[start : start + BATCH]

@@ -52,7 +52,7 @@ def mix_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Mix by word counts; text whose words are of usual length counts as twice as good."""
     names = dict.fromkeys(["doc_id", "source", "text", *keep])
     sized = pick(docs, *names).withColumn("n", word_count())
-    per_word = F.length("text") / F.col("n")
+    per_word = F.try_divide(F.length("text"), F.col("n"))
     quality = F.when((F.col("n") > 0) & per_word.between(4, 11), 1.0).otherwise(0.5)
     return mix(sized, F.col("n"), quality, keep=keep)
 

@@ -119,7 +119,8 @@ def _absorb(done, span):
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut out of ``text``, and ``removed``:
-    the cut spans as begin and end in the original text, an empty list where none is."""
+    the cut spans as begin and end in the original text, an empty list where none is. A
+    column of that name is replaced; all others stay as they are."""
     spans = repeats(docs, min_words).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_spans")
     ship(docs.sparkSession)
@@ -135,11 +136,15 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pd.Series([_cut(text, found) for text, found in zip(texts, spans)], index=texts.index, dtype=object)
 
     none = F.expr("cast(array() as array<struct<begin:int,end:int>>)")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_version") == F.col("_version"))
-    joined = docs.withColumn("_row_version", version("text")).join(spans, same, "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))).select(
-        *[F.col(name) for name in docs.columns], F.coalesce("_spans", none).alias("removed")
-    )
+    names = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    text = F.col(f"_{names.index('text')}")
+    same = F.col(f"_{names.index('doc_id')}").eqNullSafe(F.col("_id")) & (F.col("_row_version") == F.col("_version"))
+    joined = plain.withColumn("_row_version", version(text)).join(spans, same, "left")
+    left = F.when(F.col("_spans").isNull(), text).otherwise(cut(text, "_spans"))
+    columns = {i: F.col(f"_{i}") for i in range(len(names)) if names[i] != "removed"} | {names.index("text"): left}
+    kept = [column.alias(names[i]) for i, column in sorted(columns.items())]
+    return joined.select(*kept, F.coalesce("_spans", none).alias("removed"))
 
 
 def _cut(text: str | None, spans) -> str | None:

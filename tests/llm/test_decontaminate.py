@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from coppice.llm.common import pick
 from coppice.llm.decontaminate import contamination, item_windows, matches, merge
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -31,7 +32,7 @@ def brute(docs, items, size=10):
 
 
 def compare(spark, docs, benchmark, **kwargs):
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rows = [(r.doc_id, r.text) for r in pick(docs, "doc_id", "text").collect()]
     items = [(r.item_id, r.text) for r in benchmark.collect()]
     found = [tuple(r)[:6] for r in contamination(matches(docs, benchmark, **kwargs)).collect()]
     assert sorted(found, key=repr) == sorted(brute(rows, items), key=repr)

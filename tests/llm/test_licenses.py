@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from coppice.llm.common import pick
 from coppice.llm.licenses import BASE_PHRASES, evaluate, family, license_scan, to_postfix
 
 
@@ -48,7 +49,7 @@ def test_base_places_as_by_brute_force(spark, sf, make, odd, odd_rows):
     made = make([(i, t) for i, t in enumerate(texts)])
     given = spark.read.parquet(f"{sf}/documents.parquet")
     for docs in (made, given, odd):
-        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        rows = [(r.doc_id, r.text) for r in pick(docs, "doc_id", "text").collect()]
         found = [tuple(r)[:6] for r in license_scan(docs).collect()]
         assert sorted(found, key=repr) == sorted([(i, *brute(t)) for i, t in rows], key=repr)
 

@@ -1,0 +1,87 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from coppice.llm import lm
+
+
+def brute_base(rows):
+    is_held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    texts = [(t or "").encode().lower().split() + [b"\n"] for _, t in rows]
+    counts = Counter(w for held, text in zip(is_held, texts) if not held for w in text)
+    n, v = sum(counts.values()), len(counts)
+    return sorted(
+        (i, held, len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t))
+        for (i, _), held, t in zip(rows, is_held, texts)
+    )
+
+
+@pytest.mark.parametrize("most", [200_000, 50, 0])
+def test_base_scores_as_by_brute_force(spark, sf, most):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = sorted(tuple(r) for r in lm.score_texts(docs, classes=32, most=most).collect())
+    for got, want in zip(found, brute_base(rows), strict=True):
+        assert got[:5] == want[:5] and got[5] == pytest.approx(want[5], rel=1e-9)
+
+
+def test_probabilities_add_up_to_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    counts = lm.word_counts(docs)
+    known = lm.lexicon(counts, classes=16, most=300)
+    scorer = lm.Scorer(lm.train(docs, known), known)
+    codes = (3 * 16 + 5) * 16 + np.arange(16)
+    assert np.exp(scorer.log_probabilities(codes)).sum() == pytest.approx(1)
+    # Within the shared class: all its words by count plus one, and an unknown word.
+    own = {int(w) for w, c in zip(known.words, known.classes) if c != lm.SHARED}
+    shared = sum(r.n + 1 for r in counts.collect() if r.word not in own) + 1
+    assert shared == known.rest
+
+
+def test_training_beats_the_unigram_model(spark, sf, make):
+    """A language in which the next word follows from the last."""
+    text = " ".join(["a b c d e f g"] * 60)
+    rows = [(i, text[2 * (i % 7) :]) for i in range(200)]
+    found = lm.score_texts(make(rows)).filter("held_out").collect()
+    assert found and all(r.score > 0.5 * r.base_score for r in found)
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    row = lm.score_texts(given).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert row.s > row.b
+
+
+def test_same_rows_same_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3, "doc_id")
+    one, two = (sorted(map(tuple, lm.score_texts(docs, classes=32).collect())) for _ in range(2))
+    assert one == two
+
+
+def test_noise_contrast_finds_the_shares():
+    """From two contexts with opposite next classes."""
+    rng = np.random.default_rng(1)
+    codes = np.array([(0 * 3 + 1) * 3 + 1, (0 * 3 + 2) * 3 + 2] * 3000)
+    unigram = np.array([0.1, 0.45, 0.45])
+    weights = lm.beginning(unigram, 4)
+    squares = lm.Weights(*[np.full_like(part, 1e-8) for part in weights])
+    lm.nce(weights, codes, unigram, rng, squares)
+    known = lm.Lexicon(np.array([lm.hash_of(lm.END)]), np.array([1]), np.array([1]), unigram, 1, 1, 1, 1.0)
+    chance = np.exp(lm.Scorer(weights, known).log_probabilities(codes[:2]))
+    assert (chance > 0.8).all()
+
+
+def test_odd_rows(odd, odd_rows, empty):
+    found = sorted(lm.score_texts(odd).collect(), key=repr)
+    assert len(found) == len(odd_rows) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in found)
+    want = {(i, n): (known, total, base) for i, _, n, known, total, base in brute_base([(i or 0, t) for i, t in odd_rows])}
+    assert {r.train_tokens for r in found if r.doc_id} == {next(iter(want.values()))[1]}
+    assert lm.score_texts(empty).collect() == []
+
+
+def test_without_training_rows(make):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = lm.score_texts(make([(held[0], "a b"), (held[1], None)])).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {(3, 0, 0), (1, 0, 0)}
+    assert all(r.base_score == 0 and np.isfinite(r.score) for r in rows)

@@ -1,0 +1,93 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline as P
+from coppice.llm.common import stored
+from coppice.llm.decontaminate import item_windows
+from test_decontaminate import words
+from test_jaccard import brute as groups_of
+from test_substrings import brute as spans_of
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """What goes into each stage, and the result."""
+    docs = [spark.read.parquet(f"{SF}/documents.parquet")]
+    for _, stage in P.STAGES:
+        docs.append(stored(stage(spark, docs[-1], SF), "test"))
+    return docs
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_columns(stages):
+    for df in stages[:-1]:
+        assert df.columns == P.COLUMNS and df.dtypes == stages[0].dtypes
+
+
+def test_quality_keeps_good_documents(spark, stages):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    kept = texts(stages[1])
+    good = [r.doc_id for r in labels if r.quality == 1]
+    bad = [r.doc_id for r in labels if r.quality == 0]
+    assert sum(i in kept for i in good) >= 0.98 * len(good) and sum(i in kept for i in bad) <= 0.05 * len(bad)
+    assert kept.items() <= texts(stages[0]).items()
+
+
+def test_one_of_each_group_stays(stages):
+    rows = list(texts(stages[1]).items())
+    assert set(texts(stages[2])) == {i for i, _, component in groups_of(rows) if i == component}
+
+
+def test_repeated_passages_are_cut(stages):
+    before, after = texts(stages[2]), texts(stages[3])
+    want = spans_of(list(before.items()), 25)
+    for doc_id, text in before.items():
+        for a, b, *_ in reversed(want.get((doc_id, text), [])):
+            text = text[:a] + text[b:]
+        assert after.get(doc_id, "") == text
+    assert all(r.n_chars == len(r.text) for r in stages[3].collect())
+
+
+def test_leaks_go(spark, stages):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    index = item_windows(items, 10)
+    names = {v: k.decode() for k, v in index.terms.items()}
+    windows = {tuple(names[t] for t in w) for w in index.windows}
+    sizes = {len(w) for w in windows}
+    clean = set()
+    for doc_id, text in texts(stages[3]).items():
+        w = words(text)
+        if not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1)):
+            clean.add(doc_id)
+    assert set(texts(stages[4])) == clean and len(clean) < stages[3].count()
+
+
+def test_mixture(stages):
+    rows = stages[5].collect()
+    assert all(0 < r.taken <= 3 * r["size"] for r in rows)
+    assert {r.doc_id: r.text for r in rows}.items() <= texts(stages[4]).items()
+    assert sum(r.taken for r in rows) == pytest.approx(sum(len(t.encode().split()) for t in texts(stages[4]).values()), rel=0.01)
+
+
+def test_run_is_the_stages_in_order(spark, stages):
+    digest = lambda df: sorted((r.doc_id, hashlib.md5(r.text.encode()).hexdigest(), r.taken) for r in df.collect())
+    assert digest(P.run(spark, SF)) == digest(stages[-1])
+
+
+def test_odd_rows_in_every_stage(spark, odd, empty):
+    for name, stage in P.STAGES:
+        for docs in (odd, empty):
+            out = stage(spark, docs, SF)
+            assert out.columns[:5] == P.COLUMNS and out.count() <= docs.count(), name
+    # Empty texts are no copies of each other, equal rows are.
+    kept = P.near_duplicates(spark, odd, SF)
+    kept = kept.select("doc_id", F.coalesce(F.length("text"), F.lit(-1)).alias("n")).collect()
+    assert sorted((r.doc_id, r.n) for r in kept if r.n < 10 and r.doc_id) == [(1, -1), (2, 0), (3, 7), (4, 4)]
+    assert [r.doc_id for r in kept if r.doc_id in (5, 6)] == [5, 6]

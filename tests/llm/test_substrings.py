@@ -1,0 +1,100 @@
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from coppice.llm.substrings import _UNIT, paragraphs, repeats, without_repeats
+
+MIN = 6
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab.!? \n\t", max_size=80))
+def test_units_lose_nothing(text):
+    units = _UNIT.findall(text)
+    assert "".join(units) == text
+    assert all(re.fullmatch(r"(?s).*([.!?] |\n)", unit) for unit in units[:-1])
+
+
+def brute(rows, least):
+    """Spans to remove per (doc_id, text), by a dictionary of all paragraphs."""
+    first, places = {}, []
+    docs = sorted({(i is None, i or 0, t) for i, t in rows if t})
+    import xxhash
+
+    docs.sort(key=lambda d: (d[0], d[1], xxhash.xxh64_digest(d[2].encode())))
+    for none, i, text in docs:
+        key = (None if none else i, text)
+        units = _UNIT.findall(text)
+        at = 0
+        for a, unit in enumerate(units):
+            words, end = [], at
+            for b in range(a, len(units)):
+                words += units[b].encode().lower().split()
+                end += len(units[b])
+                if len(words) >= least:
+                    break
+            if len(words) >= least and unit.split():
+                places.append((key, at, end, b" ".join(words)))
+                first.setdefault(b" ".join(words), (key, at))
+            at += len(unit)
+    spans = {}
+    for key, a, b, run in places:
+        if first[run] != (key, a):
+            found = spans.setdefault(key, [])
+            if found and a <= found[-1][1]:
+                found[-1][1] = max(b, found[-1][1])
+            else:
+                found.append([a, b, first[run][0][0], first[run][1]])
+    return spans
+
+
+def made_rows(seed):
+    rng = random.Random(seed)
+    sentence = lambda: " ".join(rng.choice(["a", "b", "c", "d", "E"]) for _ in range(rng.randint(1, 5)))
+    passage = ". ".join(sentence() for _ in range(6)) + ". "
+    rows = []
+    for i in range(40):
+        parts = [sentence() + rng.choice([". ", "\n", "! ", "? ", ".", " "]) for _ in range(rng.randint(0, 12))]
+        if rng.random() < 0.4:
+            parts.insert(rng.randint(0, len(parts)), passage if rng.random() < 0.7 else passage.upper())
+        rows.append((i, "".join(parts)))
+    return rows + rows[:3] + [(None, rows[5][1]), (2, rows[6][1])]
+
+
+def test_spans_and_cuts_as_by_brute_force(make, odd, odd_rows, empty):
+    for docs, rows in [(make(made_rows(seed)), made_rows(seed)) for seed in range(3)] + [(odd, odd_rows)]:
+        want = brute(rows, MIN)
+        found = [(r.doc_id, r.begin, r.end, r.kept_doc_id, r.kept_begin) for r in repeats(docs, MIN).collect()]
+        assert sorted(found, key=repr) == sorted(((key[0], *span) for key, spans in want.items() for span in spans), key=repr)
+        cut = without_repeats(docs, MIN).collect()
+        expected = []
+        for doc_id, text in rows:
+            left = text
+            for a, b, *_ in reversed(want.get((doc_id, text), [])):
+                left = left[:a] + left[b:]
+            expected.append((doc_id, left, [(a, b) for a, b, *_ in want.get((doc_id, text), [])]))
+        got = [(r[0], r[1], [tuple(s) for s in r[-1]]) for r in cut]
+        assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert repeats(empty).collect() == [] and without_repeats(empty).collect() == []
+    assert without_repeats(odd).columns == [*odd.columns, "removed"]
+
+
+def test_passage_inside_a_line_is_found(make):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(" ".join(word() for _ in range(9)) + "." for _ in range(7))
+    rows = [(i, " ".join(word() for _ in range(40)) + " " + passage + " " + " ".join(word() for _ in range(40))) for i in range(4)]
+    rows.append((9, " ".join(word() for _ in range(90))))
+    found = repeats(make(rows)).collect()
+    assert sorted(r.doc_id for r in found) == [1, 2, 3] and {r.kept_doc_id for r in found} == {0}
+    for r in found:
+        # All but the sentence that the text before runs into.
+        assert dict(rows)[r.doc_id][r.begin : r.end].strip() == passage.split(". ", 1)[1]
+
+
+def test_paragraphs_reach_the_minimum():
+    text = "a b c. d e. f g h i. j"
+    assert [(text[a:b], n) for a, b, n, _ in paragraphs(text, 4)] == [("a b c. d e. ", 5), ("d e. f g h i. ", 6), ("f g h i. ", 4)]
+    assert paragraphs("", 1) == [] and paragraphs("a b", 3) == []
