@@ -5,8 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -60,18 +58,17 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-@contextmanager
-def file_per_partition(spark: SparkSession) -> Iterator[None]:
-    """Scans planned inside take one file per partition, and split only larger ones.
+def file_per_partition(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose scans take one file per partition, and
+    split only larger ones; the given session keeps its settings.
 
-    A scan otherwise packs small files together by their bytes, and in a columnar file
-    few bytes can be very many rows. Kept apart, the files a job wrote come back as the
-    partitions they were written from, whatever the number of cores.
+    A scan otherwise packs small files together by their bytes and by the number of
+    cores, and in a columnar file few bytes can be very many rows. Kept apart, the files
+    a job wrote come back as the partitions they were written from.
     """
-    key = "spark.sql.files.openCostInBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return own

@@ -31,13 +31,13 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     train = jobs.add_parser("train", parents=[common])
     train.add_argument("--validation", help="hold-out text to score after training")
     train.add_argument("--drop", type=_names, default=list(DROPPED), help="columns that are no features")
-    train.add_argument("--key", type=_names, help="columns that decide a row's fold; default: random folds")
+    train.add_argument("--key", type=_names, help="columns that decide a row's fold and are no features; default: random folds")
     train.add_argument("--trees", type=_numbers, default=list(TREES))
     train.add_argument("--depths", type=_numbers, default=list(DEPTHS))
     train.add_argument("--folds", type=int, default=5)
     train.add_argument("--seed", type=int, default=42)
     train.add_argument("--parallelism", type=int, default=1, help="fits in training at a time")
-    train.add_argument("--no-cache", action="store_true", help="read the stored table for each fit")
+    train.add_argument("--cache", action="store_true", help="keep the vectors in executor storage")
     train.add_argument("--partitions", type=int, help="canonical row order in so many partitions")
     train.add_argument("--max-memory-mb", type=int, default=256, help="split statistics gathered per pass")
     score = jobs.add_parser("score", parents=[common])
@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None) -> None:
         folds=args.folds,
         seed=args.seed,
         parallelism=args.parallelism,
-        cache=not args.no_cache,
+        cache=args.cache,
         partitions=args.partitions,
         maxMemoryInMB=args.max_memory_mb,
     )

@@ -59,21 +59,14 @@ def test_split_distribution_scans_once(spark, sf):
     assert plan_of(split_distribution(df, "l_linenumber", 5), "simple").count("FileScan") == 1
 
 
-@pytest.mark.parametrize("parts", [1, 40])
-def test_stored_folds_keep_every_row(spark, tmp_path, parts):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_stored_folds_keep_every_row_where_it_is(spark, tmp_path, parts):
     df = with_fold(rows(spark, parts=parts), 5, ["id"])
     table = stored_folds(df, ["id", "label"], f"{tmp_path}/t")
     assert table.columns == ["fold", "id", "label"]
-    assert table.select(df.columns).exceptAll(df).count() == 0 and table.count() == 1000
-    assert len(table.inputFiles()) == parts
-
-
-def test_unsplit_data_is_spread_over_the_cores(spark, tmp_path):
-    df = with_fold(rows(spark, 200_000, parts=1), 5, ["id"])
-    table = stored_folds(df, ["id", "label"], f"{tmp_path}/t")
-    with file_per_partition(spark):
-        assert table.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert table.count() == 200_000
+    assert sorted(map(tuple, table.select(df.columns).collect())) == sorted(map(tuple, df.collect()))
+    # A file per partition and fold, whatever the number of rows and cores.
+    assert len(table.inputFiles()) == 5 * parts == table.rdd.getNumPartitions()
 
 
 def test_random_fold_is_pinned_once_stored(spark, tmp_path):
@@ -81,11 +74,11 @@ def test_random_fold_is_pinned_once_stored(spark, tmp_path):
     assert table.exceptAll(table.repartition(5)).count() == 0
 
 
-def test_fold_filter_reaches_the_scan(spark, tmp_path):
+def test_held_out_rows_are_read_without_the_others(spark, tmp_path):
     table = stored_folds(with_fold(rows(spark), 5, ["id"]), ["id", "label"], f"{tmp_path}/t")
     train, held_out = fold_split(table, 2)
-    assert "Not(EqualTo(fold,2))" in plan_of(train)
-    assert "EqualTo(fold,2)" in plan_of(held_out)
+    assert "PartitionFilters: [isnotnull(fold" in plan_of(held_out)
+    assert (train.rdd.getNumPartitions(), held_out.rdd.getNumPartitions()) == (12, 3)
 
 
 def test_canonical_keeps_every_copy_and_splits_large_groups(spark):
@@ -119,14 +112,18 @@ def test_canonical_order_follows_from_the_rows(spark):
 def test_stored_in_canonical_order_at_any_size(spark, tmp_path):
     df = with_fold(rows(spark, parts=40), 5, ["id"])
     table = stored_folds(df, ["id", "label"], f"{tmp_path}/t", partitions=12)
-    assert len(table.inputFiles()) == 12 and table.count() == 1000
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    with file_per_partition(spark):
-        assert table.select("id").rdd.getNumPartitions() == 12
-    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
-    assert table.select("id").rdd.getNumPartitions() < 12
-
-
-def test_stored_without_a_shuffle_when_there_are_files_enough(spark, tmp_path):
-    stored_folds(with_fold(rows(spark, parts=40), 5, ["id"]), ["id", "label"], f"{tmp_path}/t")
-    assert not (tmp_path / "t" / "canonical").exists()
+    assert len(table.inputFiles()) == 60 and table.count() == 1000
+    assert table.select("id").rdd.getNumPartitions() == 60
+
+
+def test_own_session_leaves_the_settings_alone(spark):
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        own = file_per_partition(spark)
+        assert own.conf.get("spark.sql.shuffle.partitions") == "13"
+        assert own.conf.get(key) == spark.conf.get("spark.sql.files.maxPartitionBytes")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert spark.conf.get(key) == before

@@ -1,3 +1,11 @@
+import json
+import os
+import subprocess
+import sys
+import time
+import weakref
+from pathlib import Path
+
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator
@@ -8,7 +16,7 @@ from coppice.operators.folds import stored_folds, with_fold
 from coppice.operators.forest import DEPTHS, TREES, forest, grid
 from coppice.operators.metrics import confusion
 from coppice.operators.scoring import confusion_of_models, model_bytes, passes, vote_arrays
-from coppice.operators.search import best_map, search
+from coppice.operators.search import best_map, fold_confusion, search
 from coppice.plans.fixtures import ROW_KEY, separable
 from coppice.plans.queries import EXACT
 from plans_text import plan_of
@@ -119,11 +127,70 @@ def test_votes(spark, sf):
     assert sum(row.rawPrediction) == pytest.approx(3) and row.probability[5] == 1.0 and row.prediction == 5.0
 
 
+def trees_of(spark, folder, parts):
+    """Trees on one fixture, cut into so many partitions."""
+    df = with_fold(separable(spark, "/root/testdata/sf0.001").repartition(parts), 5, ROW_KEY)
+    table = stored_folds(df, [*ROW_KEY, *FEATURES, "quality"], f"{folder}/{parts}", partitions=3)
+    model = forest("quality", numTrees=3, maxDepth=6).fit(training_pair(table, FEATURES, "quality", 8))
+    return model.toDebugString.split("\n")[1:]
+
+
+LAYOUTS = (1, 2, 5, 20)
+ON_OTHER_CORES = """
+import json, sys
+from coppice.session import session
+from test_forest import LAYOUTS, trees_of
+conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "5"}
+spark = session("cores", sys.argv[1], conf)
+print("TREES", json.dumps([trees_of(spark, sys.argv[2], parts) for parts in LAYOUTS]))
+"""
+
+
 def test_same_rows_give_the_same_forest(spark, tmp_path):
-    trees = []
-    for parts in (1, 2, 5):
-        df = with_fold(separable(spark, "/root/testdata/sf0.001").repartition(parts), 5, ROW_KEY)
-        table = stored_folds(df, [*ROW_KEY, *FEATURES, "quality"], f"{tmp_path}/{parts}")
-        model = forest("quality", numTrees=3, maxDepth=6).fit(training_pair(table, FEATURES, "quality", 8))
-        trees.append(model.toDebugString.split("\n")[1:])
-    assert trees[0] == trees[1] == trees[2]
+    trees = [trees_of(spark, tmp_path, parts) for parts in LAYOUTS]
+    root = Path(__file__).resolve().parents[1]
+    env = os.environ | {"PYTHONPATH": f"{root}:{root}/tests"}
+    for cores in (2, 4, 8):
+        command = [sys.executable, "-c", ON_OTHER_CORES, f"local[{cores}]", f"{tmp_path}/{cores}"]
+        said = subprocess.run(command, env=env, capture_output=True, text=True, timeout=300, check=True).stdout
+        trees += json.loads(said.split("TREES ")[1])
+    assert all(other == trees[0] for other in trees)
+
+
+def test_forests_are_released_as_they_are_scored(spark, noisy, monkeypatch):
+    alive, most, scored = [], [], []
+
+    class Fitted:
+        pass
+
+    def fit(self, train, settings):
+        model = Fitted()
+        alive.append(weakref.ref(model))
+        most.append(sum(ref() is not None for ref in alive))
+        return model
+
+    def score(models, held_out, label):
+        scored.extend(models and [len(models)])
+        time.sleep(0.2)
+        empty = held_out.limit(0).selectExpr("0 as model", "0.0 as label", "0.0 as prediction", "0L as n")
+        return [empty]
+
+    monkeypatch.setattr("pyspark.ml.classification.RandomForestClassifier.fit", fit)
+    monkeypatch.setattr("coppice.operators.search.confusion_of_models", score)
+    rf = forest("quality")
+    fold_confusion(rf, noisy, "quality", grid(rf), 5, parallelism=3)
+    assert len(alive) == sum(scored) == 45 and max(most) <= 6
+
+
+def test_no_fit_begins_after_one_fails(spark, noisy, monkeypatch):
+    begun = []
+
+    def fit(self, train, settings):
+        begun.append(settings)
+        raise RuntimeError("no memory")
+
+    monkeypatch.setattr("pyspark.ml.classification.RandomForestClassifier.fit", fit)
+    rf = forest("quality")
+    with pytest.raises(RuntimeError, match="no memory"):
+        fold_confusion(rf, noisy, "quality", grid(rf), 5, parallelism=2)
+    assert len(begun) <= 4
