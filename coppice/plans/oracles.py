@@ -66,8 +66,11 @@ ORACLES: dict[str, str] = {
                CAST(p_size AS INTEGER) AS p_size, p_retailprice
         FROM part""",
     "scan_with_schema": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "scan_column_orders": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
     "inferred_types": """
-        SELECT count(*) AS n_rows, 'int' AS o_orderkey, 'int' AS o_custkey, 'string' AS o_orderstatus,
+        SELECT count(*) AS n_rows,
+               CASE WHEN max(o_orderkey) > 2147483647 THEN 'bigint' ELSE 'int' END AS o_orderkey,
+               CASE WHEN max(o_custkey) > 2147483647 THEN 'bigint' ELSE 'int' END AS o_custkey, 'string' AS o_orderstatus,
                'double' AS o_totalprice, 'timestamp' AS o_orderdate, 'string' AS o_orderpriority
         FROM orders""",
     "clean_columns": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
@@ -107,9 +110,14 @@ ORACLES: dict[str, str] = {
         SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ({RULE})""",
     "forest_predict": f"SELECT {KEY}, quality AS prediction FROM ({SEPARABLE})",
     "forest_vote": f"""
-        SELECT quality, count(*) AS n, 1.0::DOUBLE AS lowest_own_share, 5.0::DOUBLE AS lowest_vote_total,
-               5.0::DOUBLE AS highest_vote_total
-        FROM ({SEPARABLE}) GROUP BY quality""",
+        WITH c AS (
+          SELECT l_quantity > 35 AS above_35, count(*) AS n, count(*) FILTER (quality = 3) AS n3,
+                 count(*) FILTER (quality = 5) AS n5, count(*) FILTER (quality = 7) AS n7
+          FROM ({SEPARABLE}) GROUP BY 1)
+        SELECT above_35, n, round(n3 / n, 6) AS share_3, round(n5 / n, 6) AS share_5, round(n7 / n, 6) AS share_7,
+               round(n3 / n, 6) AS highest_share_3, round(n5 / n, 6) AS highest_share_5,
+               round(n7 / n, 6) AS highest_share_7, round(3 * n5 / n, 6) AS votes_5, 3.0::DOUBLE AS vote_total
+        FROM c""",
     "grid_search": f"""
         {by_fold_and_depth("(1), (3)")},
         m AS (SELECT max_depth, avg(f1) AS mean_f1, stddev_pop(f1) AS std_f1 FROM cells GROUP BY max_depth),
@@ -121,6 +129,19 @@ ORACLES: dict[str, str] = {
     "fold_scores": f"""
         {by_fold_and_depth("(1), (2)")}
         SELECT CAST(fold AS INTEGER) AS fold, CAST(max_depth AS INTEGER) AS max_depth, round(f1, 6) AS f1 FROM cells""",
+    "training_metrics": f"""
+        {by_fold_and_depth("(1), (3)")},
+        m AS (SELECT max_depth, avg(f1) AS mean_f1, stddev_pop(f1) AS std_f1 FROM cells GROUP BY max_depth),
+        g AS (SELECT num_trees, max_depth, mean_f1, std_f1,
+                     row_number() OVER (ORDER BY round(mean_f1, 9) DESC, num_trees, max_depth) AS place
+              FROM m, (VALUES (3), (5)) t(num_trees))
+        SELECT 'cross-validation' AS dataset, CAST(NULL AS INTEGER) AS fold, num_trees,
+               CAST(max_depth AS INTEGER) AS max_depth, round(mean_f1, 6) AS f1, round(std_f1, 6) AS std_f1,
+               place = 1 AS is_best, true AS one_stamp
+        FROM g
+        UNION ALL
+        SELECT 'fold', CAST(fold AS INTEGER), num_trees, CAST(max_depth AS INTEGER), round(f1, 6), NULL, NULL, true
+        FROM cells, (VALUES (3), (5)) t(num_trees)""",
     "holdout_metrics": f"""
         SELECT count(*) AS n_rows, 1.0::DOUBLE AS f1, 1.0::DOUBLE AS accuracy
         FROM lineitem WHERE {bucket("outer", KEY)} = 0""",
@@ -132,6 +153,19 @@ ORACLES: dict[str, str] = {
         a AS (SELECT CAST(sum(support) AS BIGINT) AS n_rows, round({F1}, 6) AS f1,
                      round(CAST(sum(hits) AS DOUBLE) / sum(support), 6) AS accuracy FROM s)
         SELECT run, a.*, true AS is_stamped FROM a, (VALUES ('first'), ('second')) r(run)""",
+    "document_features": rf"""
+        SELECT doc_id, n_chars, n_words, n_distinct, round(n_distinct / greatest(1, n_words), 6) AS distinct_share,
+               round(n_other / greatest(1, n_chars), 6) AS other_share, quality
+        FROM (
+          SELECT doc_id, n_chars, CAST(len(w) AS INTEGER) AS n_words, CAST(len(list_distinct(w)) AS INTEGER) AS n_distinct,
+                 length(regexp_replace(text, '[A-Za-z0-9 ]', '', 'g')) AS n_other
+          FROM (SELECT *, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM documents))
+        JOIN labels USING (doc_id)""",
+    "document_quality": f"""
+        WITH d AS (SELECT quality AS label, {bucket("outer", "doc_id")} AS part FROM documents JOIN labels USING (doc_id)),
+        u AS (SELECT label FROM d WHERE part <> 0 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+        {class_scores("SELECT label, (SELECT label FROM u) AS prediction FROM d WHERE part = 0")}
+        SELECT CAST(sum(support) AS BIGINT) AS n_rows, round({F1}, 6) AS majority_f1, true AS forest_is_better FROM s""",
     "train_and_score": f"""
         SELECT CASE WHEN part = 0 THEN 'test' ELSE 'validation' END AS dataset, count(*) AS n_rows,
                1.0::DOUBLE AS f1, 1.0::DOUBLE AS accuracy

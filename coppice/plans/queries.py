@@ -6,20 +6,22 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coppice.operators.columns import clean_columns, split_columns
 from coppice.operators.features import training_pair
 from coppice.operators.folds import fold_split, split_distribution, with_fold
 from coppice.operators.forest import forest
-from coppice.operators.labels import check_label, label_distribution, label_profile
+from coppice.operators.labels import check_label, label_distribution
+from coppice.operators.labels import label_profiles as profile_labels
 from coppice.operators.metrics import accuracy, confusion, per_class, summary, weighted_f1
 from coppice.operators.scoring import score, vote_arrays
 from coppice.operators.search import Search
 from coppice.plans.fixtures import ROW_KEY, document_quality, rule_predictions, separable, table
 from coppice.plans.jobs import evaluate, score_job, train_job, train_table
-from coppice.session import run_folder
+from coppice.plans.jobs import training_metrics as metrics_of
+from coppice.session import remove_folder, run_folder
 from coppice.sources.delimited import read_delimited, write_delimited
 from coppice.sources.store import load_model, save_model, write_metrics
 
@@ -28,6 +30,8 @@ from coppice.sources.store import load_model, save_model, write_metrics
 EXACT = {"maxBins": 64, "featureSubsetStrategy": "all"}
 UNUSED = [*ROW_KEY, "l_extendedprice"]
 PARALLELISM = 4
+# Partitions of the stored training tables, so that results do not depend on the input's layout.
+PARTITIONS = 8
 
 
 def _untidy(names: list[str]) -> list[str]:
@@ -52,10 +56,29 @@ def scan_with_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_columns(read_delimited(spark, _as_text(customer, "customer"), schema=customer.schema))
 
 
+def scan_column_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text whose files order their columns differently."""
+    supplier = table(spark, sf_dir, "supplier")
+    even = F.col("s_suppkey") % 2 == 0
+    back = supplier.filter(~even).select(*reversed(supplier.columns))
+    paths = [_as_text(supplier.filter(even), "supplier"), _as_text(back, "supplier-back")]
+    return clean_columns(read_delimited(spark, paths, schema=supplier.schema))
+
+
+def _kept(result: DataFrame, *folders: str) -> DataFrame:
+    """A result of few rows, computed now, and the folders it came from removed."""
+    spark = result.sparkSession
+    rows = spark.createDataFrame(result.collect(), result.schema)
+    for folder in folders:
+        remove_folder(spark, folder)
+    return rows
+
+
 def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = clean_columns(read_delimited(spark, _as_text(table(spark, sf_dir, "orders"), "orders")))
+    path = _as_text(table(spark, sf_dir, "orders"), "orders")
+    orders = clean_columns(read_delimited(spark, path))
     types = [F.max(F.typeof(name)).alias(name) for name in orders.columns]
-    return orders.agg(F.count("*").alias("n_rows"), *types)
+    return _kept(orders.agg(F.count("*").alias("n_rows"), *types), path)
 
 
 def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,14 +109,12 @@ def label_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = table(spark, sf_dir, "lineitem")
-    candidates = {
-        "good": separable(spark, sf_dir).select(F.col("quality").alias("label")),
-        "price": lineitem.select((F.col("l_extendedprice") - 50000).alias("label")),
-        "gaps": lineitem.select(F.when(F.col("l_tax") > 0, F.col("l_quantity") * 3).alias("label")),
-    }
-    profiles = [label_profile(df, "label").withColumn("candidate", F.lit(name)) for name, df in candidates.items()]
-    return reduce(DataFrame.unionByName, profiles)
+    candidates = separable(spark, sf_dir).select(
+        F.col("quality").alias("good"),
+        (F.col("l_extendedprice") - 50000).alias("price"),
+        F.when(F.col("l_tax") > 0, F.col("l_quantity") * 3).alias("gaps"),
+    )
+    return profile_labels(candidates, candidates.columns).withColumnRenamed("label", "candidate")
 
 
 def fold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,12 +149,12 @@ def accuracy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy(_rule_confusion(spark, sf_dir)).select(F.round("accuracy", 6).alias("accuracy"))
 
 
-def _fitted(spark: SparkSession, sf_dir: str, trees: int = 5, depth: int = 3):
+def _fitted(spark: SparkSession, sf_dir: str, trees: int = 5, depth: int = 3, **params):
     """One forest on the whole fixture, and the vectors it was trained on with their keys."""
-    df = separable(spark, sf_dir)
+    df = separable(spark, sf_dir).repartition(PARTITIONS, *ROW_KEY)
     features, label = split_columns(df, drop=UNUSED)
     vectors = training_pair(df, features, label, check_label(df, label), keep=ROW_KEY)
-    return forest(label, numTrees=trees, maxDepth=depth, **EXACT).fit(vectors), vectors, features, label
+    return forest(label, numTrees=trees, maxDepth=depth, **EXACT, **params).fit(vectors), vectors, features, label
 
 
 def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,22 +163,42 @@ def forest_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forest_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, vectors, _, label = _fitted(spark, sf_dir)
-    votes = vote_arrays(model.transform(vectors)).withColumn(label, F.col(label).cast("int"))
-    own = F.element_at("probability", F.col(label) + 1)
+    """Votes in the leaves of trees with one split, where they are shares of the leaf's rows.
+
+    Without bootstrap every tree sees all rows and splits above 35, so a leaf's shares
+    follow from counts; over 35 all rows are of one class, below they are of two.
+    """
+    model, vectors, _, _ = _fitted(spark, sf_dir, trees=3, depth=1, bootstrap=False)
+    votes = vote_arrays(model.transform(vectors))
     total = F.aggregate("rawPrediction", F.lit(0.0), lambda acc, x: acc + x)
-    return votes.groupBy(label).agg(
-        F.count("*").alias("n"),
-        F.round(F.min(own), 6).alias("lowest_own_share"),
-        F.round(F.min(total), 6).alias("lowest_vote_total"),
-        F.round(F.max(total), 6).alias("highest_vote_total"),
+    leaf = F.element_at(vector_to_array("features"), 1) > 35
+    shares = [F.element_at("probability", c + 1) for c in (3, 5, 7)]
+    return (
+        votes.select(leaf.alias("above_35"), F.array(*shares).alias("share"), total.alias("total"), "rawPrediction")
+        .groupBy("above_35")
+        .agg(
+            F.count("*").alias("n"),
+            *[F.round(F.min(F.col("share")[i]), 6).alias(f"share_{c}") for i, c in enumerate((3, 5, 7))],
+            *[F.round(F.max(F.col("share")[i]), 6).alias(f"highest_share_{c}") for i, c in enumerate((3, 5, 7))],
+            F.round(F.min(F.element_at("rawPrediction", 6)), 6).alias("votes_5"),
+            F.round(F.min("total"), 6).alias("vote_total"),
+        )
     )
 
 
 def _searched(df: DataFrame, trees: tuple[int, ...], depths: tuple[int, ...]) -> Search:
     """Search on the fixture or a part of it, with folds by row key."""
     return train_table(
-        df, "quality", UNUSED, trees, depths, key=ROW_KEY, salt="inner", parallelism=PARALLELISM, **EXACT
+        df,
+        "quality",
+        UNUSED,
+        trees,
+        depths,
+        key=ROW_KEY,
+        salt="inner",
+        parallelism=PARALLELISM,
+        partitions=PARTITIONS,
+        **EXACT,
     )
 
 
@@ -180,6 +221,25 @@ def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a training run stores: a row per param map, and one per param map and fold."""
+    path = run_folder(spark, "metrics")
+    write_metrics(metrics_of(_searched(separable(spark, sf_dir), (3, 5), (1, 3))), path)
+    stored = spark.read.json(path)
+    one_stamp = F.min("run_ts").over(Window.partitionBy()) == F.max("run_ts").over(Window.partitionBy())
+    rows = stored.select(
+        "dataset",
+        F.col("fold").cast("int").alias("fold"),
+        F.col("numTrees").cast("int").alias("num_trees"),
+        F.col("maxDepth").cast("int").alias("max_depth"),
+        F.round("f1", 6).alias("f1"),
+        F.round("std_f1", 6).alias("std_f1"),
+        "is_best",
+        one_stamp.alias("one_stamp"),
+    )
+    return _kept(rows, path)
+
+
 def holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = with_fold(separable(spark, sf_dir), 5, ROW_KEY, salt="outer", name="part")
     train, held_out = fold_split(df, 0, "part")
@@ -194,6 +254,8 @@ def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = {"bare forest": load_model(bare, features)}
     save_model(loaded["bare forest"], whole)
     loaded["whole model"] = load_model(whole)
+    for folder in (bare, whole):
+        remove_folder(spark, folder)
     values = [vector_to_array("features")[i].alias(name) for i, name in enumerate(features)]
     expected = model.transform(vectors).select(*values, F.col("prediction").alias("expected"))
     wrong = F.when(F.col("label") != F.col("prediction"), F.col("n")).otherwise(0)
@@ -210,18 +272,19 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_folder(spark, "metrics")
     for name in ("first", "second"):
         write_metrics(summary(_rule_confusion(spark, sf_dir)).withColumn("run", F.lit(name)), path)
-    stored = spark.read.json(path)
-    return stored.select(
+    stored = spark.read.json(path).select(
         "run",
         "n_rows",
         F.round("f1", 6).alias("f1"),
         F.round("accuracy", 6).alias("accuracy"),
         F.col("run_ts").isNotNull().alias("is_stamped"),
     )
+    return _kept(stored, path)
 
 
 def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both jobs over untidy text: fold 0 is the test file, fold 1 the validation file."""
+    """Both jobs, with their default grid, over untidy text: fold 0 is the test file, fold
+    1 the validation file."""
     part = F.col("part")
     dataset = F.when(part == 0, "test").when(part == 1, "validation").otherwise("train")
     rows = separable(spark, sf_dir)
@@ -236,31 +299,47 @@ def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         model,
         validation,
         drop=UNUSED,
-        trees=(3, 5),
-        depths=(1, 3),
         key=ROW_KEY,
         parallelism=PARALLELISM,
+        partitions=PARTITIONS,
         **EXACT,
     )
     scored = score_job(spark, test, model)
+    for path in (folder, model):
+        remove_folder(spark, path)
     return trained.validation.withColumn("dataset", F.lit("validation")).unionByName(
         scored.withColumn("dataset", F.lit("test"))
     )
 
 
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = [F.round(name, 6).alias(name) for name in ("distinct_share", "other_share")]
+    return document_quality(spark, sf_dir).select("doc_id", "n_chars", "n_words", "n_distinct", *rounded, "quality")
+
+
 def document_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on documents outside fold 0, score those inside; labels are not separable."""
+    """Search the default grid on documents outside fold 0, score those inside, and
+    compare with the most frequent label of the others; labels are not separable."""
     df = with_fold(document_quality(spark, sf_dir), 5, ["doc_id"], salt="outer", name="part")
     train, held_out = fold_split(df, 0, "part")
     found = train_table(
-        train.drop("part"), "quality", ["doc_id"], (10, 20), (3, 5), key=["doc_id"], parallelism=PARALLELISM
+        train.drop("part"), "quality", (), key=["doc_id"], parallelism=PARALLELISM, partitions=PARTITIONS
+    )
+    scored = evaluate(found.model, held_out, "quality").first()
+    counts = label_distribution(train, "quality")
+    usual = counts.orderBy(F.desc("n"), "quality").first()["quality"]
+    guessed = summary(confusion(held_out.withColumn("prediction", F.lit(usual)), "quality"))
+    return guessed.select(
+        F.lit(scored.n_rows).alias("n_rows"),
+        F.round("f1", 6).alias("majority_f1"),
+        (F.lit(scored.f1) > F.col("f1")).alias("forest_is_better"),
     )
-    return evaluate(found.model, held_out, "quality")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_delimited": scan_delimited,
     "scan_with_schema": scan_with_schema,
+    "scan_column_orders": scan_column_orders,
     "inferred_types": inferred_types,
     "clean_columns": clean_names,
     "feature_columns": feature_columns,
@@ -277,9 +356,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forest_vote": forest_vote,
     "grid_search": grid_search,
     "fold_scores": fold_scores,
+    "training_metrics": training_metrics,
     "holdout_metrics": holdout_metrics,
     "model_round_trip": model_round_trip,
     "metrics_sink": metrics_sink,
     "train_and_score": train_and_score,
+    "document_features": document_features,
     "document_quality": document_quality_scores,
 }
