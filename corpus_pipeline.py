@@ -37,7 +37,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id; of
-    equal rows one. Documents without words are no copies of each other and stay."""
+    equal rows one. Documents without words are no copies of each other and stay. Rows
+    with different texts under one doc_id stay or go together."""
     groups = similar_groups(docs)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = _having(docs, groups.filter(first))
