@@ -30,8 +30,8 @@ from coppice.llm.common import blank_words, pick, ship, stored
 from coppice.llm.components import connected
 
 WORDS, PERCENT = 5, 75
-# Counters of the order table, as a power of two: 4 MB, whatever the corpus.
-TABLE_BITS = 20
+# Counters of the order table, as a power of two: 2 MB, whatever the corpus.
+TABLE_BITS = 19
 # Bits of a signature per n-gram, at least.
 DENSITY = 4
 # Members of a tile that meet in one task; a larger tile is cut in blocks.
@@ -44,7 +44,9 @@ STAR = 2048
 MAX_SENT = 400_000
 # Word hashes a worker keeps.
 MAX_KEPT = 300_000
-_SUM_AT_A_TIME = 16
+# Classes, tiles or pairs that a task remembers, so as not to pass them on twice.
+MAX_SEEN = 200_000
+_SUM_AT_A_TIME = 8
 
 
 class _Hashes(dict):
@@ -168,7 +170,7 @@ def _sets(docs: DataFrame, counts: np.ndarray, words: int, percent: int, hot: in
         key = class_of(grams)
         if key in seen:
             return len(grams), key, None, None, None
-        if len(seen) < 1_000_000:
+        if len(seen) < MAX_SEEN:
             seen.add(key)
         often = small[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
         first = np.lexsort((grams, often))[: prefix_size(len(grams), percent)]
@@ -239,7 +241,7 @@ def _runs(gram, key, n, starts, seen: set[int], long_tile: int | None) -> Iterat
         if len(members) > 1:
             tile = class_of(members)
             if tile not in seen:
-                if len(seen) < 1_000_000:
+                if len(seen) < MAX_SEEN:
                     seen.add(tile)
                 yield tile, members, n[a:b][first]
 
@@ -255,8 +257,8 @@ def _members(tiles) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def _blocks(tiles: DataFrame, sets: DataFrame, size: int) -> DataFrame:
-    """Members with their signatures, dealt to the blocks they meet in: block, side, class, n, bitmap.
+def _blocks(tiles: DataFrame, size: int) -> DataFrame:
+    """Members dealt to the blocks they meet in: block, side, class, n.
 
     A tile of more than ``size`` members is cut by hash, and each piece meets itself and
     every other one; pieces of one block are told apart by ``side``.
@@ -270,64 +272,75 @@ def _blocks(tiles: DataFrame, sets: DataFrame, size: int) -> DataFrame:
         "class",
         "n",
     )
-    maps = sets.filter("bitmap is not null").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
-    return stored(met.join(maps, "class"), "blocks")
-
-
-def bounds(n: np.ndarray, bitmaps: list[np.ndarray], i: int, others: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlap of set ``i`` with others of about its size."""
-    out = np.empty(len(others), np.int64)
-    widths = np.array([len(bitmaps[j]) for j in others])
-    for width in np.unique(widths):
-        at = np.flatnonzero(widths == width)
-        narrow = min(int(width), len(bitmaps[i]))
-        mine = folded(bitmaps[i], narrow)
-        theirs = np.stack([folded(bitmaps[j], narrow) for j in others[at]])
-        only_mine = np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64)
-        only_theirs = np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64)
-        out[at] = np.minimum(n[i] - only_mine, n[others[at]] - only_theirs)
-    return out
+    return stored(met, "blocks")
+
+
+class Members:
+    """Sets of a block by size, with their bitmaps side by side where they are of one width."""
+
+    def __init__(self, n: np.ndarray, bitmaps: list[np.ndarray]):
+        self.n, self.bitmaps = n, bitmaps
+        widths = np.array([len(bitmap) for bitmap in bitmaps])
+        # A larger set has no narrower bitmap, so each width is a run.
+        self.runs = []
+        for width in np.unique(widths):
+            begin, end = np.searchsorted(widths, [width, width + 1])
+            self.runs.append((int(width), int(begin), np.stack(bitmaps[begin:end]).view(np.uint64)))
+
+    def bounds(self, i: int, low: int) -> np.ndarray:
+        """Upper bounds of the overlap of set ``i`` with each from ``low`` to before it."""
+        out = np.empty(i - low, np.int64)
+        for width, begin, maps in self.runs:
+            a, b = max(low, begin), min(i, begin + len(maps))
+            if a < b:
+                mine, theirs = folded(self.bitmaps[i], width).view(np.uint64), maps[a - begin : b - begin]
+                only_mine = np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64)
+                only_theirs = np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64)
+                out[a - low : b - low] = np.minimum(self.n[i] - only_mine, self.n[a:b] - only_theirs)
+        return out
 
 
-def _meet(blocks: DataFrame, percent: int, roots: bool) -> DataFrame:
-    """Pairs of a block that the bound allows: a, b, bound.
+def _meet(blocks: DataFrame, maps: DataFrame, percent: int, roots: bool) -> DataFrame:
+    """Pairs of a block that the bound allows: a, b, bound. Signatures join their members
+    here, so that only those of members that meet are moved.
 
     Without ``roots`` only the likeliest partner of each class among those before it by
     size; with them every pair whose roots differ.
     """
 
     def compare(rows: dict[str, list]) -> list[tuple]:
-        order = sorted(range(len(rows["class"])), key=lambda k: (rows["n"][k], rows["class"][k]))
-        key = np.array([rows["class"][k] for k in order], np.int64)
-        n = np.array([rows["n"][k] for k in order], np.int64)
-        side = np.array([rows["side"][k] for k in order])
-        root = np.array([rows["root"][k] for k in order], np.int64) if roots else key
-        bitmaps = [np.frombuffer(rows["bitmap"][k], np.uint8) for k in order]
+        order = np.lexsort((rows["class"], rows["n"]))
+        key, n, side = (np.array(rows[name], np.int64)[order] for name in ("class", "n", "side"))
+        root = np.array(rows["root"], np.int64)[order] if roots else key
+        members = Members(n, [np.frombuffer(rows["bitmap"][k], np.uint8) for k in order])
         out = []
         for i in range(1, len(key)):
             # Smaller sets that are large enough: one band of sizes.
             low = int(np.searchsorted(n, -(-percent * n[i] // 100)))
-            others = np.arange(low, i)
-            others = others[((side[others] == 0) | (side[others] != side[i])) & (root[others] != root[i]) & (key[others] != key[i])]
-            if not len(others):
+            meet = (root[low:i] != root[i]) & (key[low:i] != key[i]) & ((side[low:i] == 0) | (side[low:i] != side[i]))
+            if not meet.any():
                 continue
-            bound = bounds(n, bitmaps, i, others)
-            fits = np.flatnonzero(similar(bound, n[i], n[others], percent))
+            bound = members.bounds(i, low)
+            fits = np.flatnonzero(meet & similar(bound, n[i], n[low:i], percent))
             if len(fits) and not roots:
-                share = bound[fits] / (n[i] + n[others[fits]] - bound[fits])
+                share = bound[fits] / (n[i] + n[low + fits] - bound[fits])
                 fits = fits[[int(np.argmax(share))]]
-            out += [(int(key[others[f]]), int(key[i]), int(bound[f])) for f in fits]
+            out += [(int(key[low + f]), int(key[i]), int(bound[f])) for f in fits]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for rows in _groups(batches, ["block"]):
-            found = compare(rows)
+            # Tiles overlap; a pair leaves a task once, as long as the memory for that lasts.
+            found = [pair for pair in compare(rows) if pair not in seen]
+            if len(seen) < MAX_SEEN:
+                seen.update(found)
             if found:
                 a, b, bound = zip(*found)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "bound": pa.array(bound, pa.int64())})
 
     columns = ["block", "side", "class", "n", "bitmap", *(["root"] if roots else [])]
-    dealt = blocks.select(columns).repartition("block").sortWithinPartitions("block")
+    dealt = blocks.join(maps, "class").select(columns).repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, "a long, b long, bound long")
 
 
@@ -413,9 +426,11 @@ def similar_groups(
     ship(docs.sparkSession)
     sets = _sets(docs, _counts(docs, words), words, percent, hot)
     classes = stored(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
-    blocks = _blocks(_tiles(sets), sets, tile)
+    blocks = _blocks(_tiles(sets), tile)
+    maps = sets.filter("bitmap is not null").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
+    maps = stored(maps.join(blocks.select("class").distinct(), "class"), "signatures")
 
-    likeliest = _meet(blocks, percent, roots=False).groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
+    likeliest = _meet(blocks, maps, percent, roots=False).groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
     first = _checked(likeliest, docs, classes, words, percent)
     nodes = classes.select(F.col("class").alias("node"), F.col("doc_id").alias("label"))
     found = connected(nodes, first)
@@ -423,7 +438,8 @@ def similar_groups(
     roots = blocks.join(found.select(F.col("node").alias("class"), "root"), "class", "left")
     roots = roots.withColumn("root", F.coalesce("root", "class"))
     apart = roots.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    rest = _meet(roots.join(apart.select("block"), "block", "left_semi"), percent, roots=True)
+    open_blocks = stored(roots.join(apart.select("block"), "block", "left_semi"), "open")
+    rest = _meet(open_blocks, maps, percent, roots=True)
     links = first.union(_checked(rest, docs, classes, words, percent))
     found = connected(nodes, links)
 
