@@ -14,18 +14,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from coppice.llm.common import pick, ship, stored
+from coppice.llm.common import pick, ship, sliced, stored
 
 # Words of the shortest passage that counts as repeated.
 MIN_WORDS = 25
 _UNIT = re.compile(r"(?s).*?(?:[.!?] |\n)|.+\Z")
 KEY = ["doc_id", "version"]
+# Occurrences from which a paragraph is sent to every task, and how many can be at most.
+OFTEN, MAX_FREQUENT = 500, 50_000
 
 
 def paragraphs(text: str, min_words: int) -> list[tuple[int, int, int, str]]:
@@ -53,7 +56,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(made)
-        for batch in batches:
+        for batch in sliced(batches):
             owners, columns = [], [[] for _ in arrow]
             for i, text in enumerate(batch.column("text").to_pylist()):
                 found = paragraphs(text, min_words)
@@ -76,7 +79,32 @@ def _batch(batch: pa.RecordBatch, owners: list[int], columns: Sequence[list], ar
     return pa.RecordBatch.from_arrays([ids, *arrays], names=["doc_id", *arrow.names])
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def _frequent_spans(rows: DataFrame, frequent: dict[bytes, tuple]) -> DataFrame:
+    """Later occurrences of the most frequent paragraphs, those of a document that touch
+    as one span. They are looked up in each task, so no key of the join is hot."""
+    made = StructType([*[rows.schema[name] for name in (*KEY, "begin", "end")], *StructType.fromDDL("kept_doc_id long, kept_begin int")])
+    digests = pa.array(list(frequent), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(made)
+        for batch in batches:
+            hits = batch.filter(pc.is_in(batch.column("digest"), digests))
+            out: list[list] = []
+            for doc_id, version, begin, end, digest in zip(*[column.to_pylist() for column in hits.columns]):
+                kept = frequent[digest]
+                if kept == (doc_id, version, begin):
+                    continue
+                if out and out[-1][:2] == [doc_id, version] and out[-1][2] <= begin <= out[-1][3]:
+                    out[-1][3] = max(end, out[-1][3])
+                else:
+                    out.append([doc_id, version, begin, end, kept[0], kept[2]])
+            columns = list(zip(*out)) if out else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
+
+    return rows.select(*KEY, "begin", "end", "digest").mapInArrow(run, made)
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, often: int = OFTEN) -> DataFrame:
     """A row per passage to remove: doc_id, version, begin, end (code points), kept_doc_id,
     kept_begin (the earliest occurrence of what the passage begins with).
 
@@ -84,14 +112,24 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     are one document. A null doc_id ranks after all others; a null, empty or short text has no
     paragraphs; other columns are ignored. First occurrences are found by an aggregate
     that is combined in each task before its shuffle, so a passage of a third of all
-    documents is no hot group; only digests that repeat are joined back.
+    documents is no hot group. Digests that repeat are joined back; those that occur
+    ``often`` or more, or make up more than a :data:`MAX_FREQUENT`-th of all
+    paragraphs where that is more, are sent to every task instead.
     """
     rows = stored(occurrences(docs, min_words), "paragraphs")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "version", "begin")
-    places = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("final"))
-    several = stored(places.filter(F.col("first") != F.col("final")).select("digest", "first"), "repeated")
-    later = rows.join(several, "digest").filter(rank != F.col("first"))
-    found = F.struct("begin", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.begin").alias("kept_begin"))
+    places = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("final"), F.count("*").alias("n"))
+    several = stored(places.filter(F.col("first") != F.col("final")).select("digest", "first", "n"), "repeated")
+    often = max(often, -(-rows.count() // MAX_FREQUENT))
+    frequent = {
+        bytes(row.digest): (row.first.doc_id, bytes(row.first.version), row.first.begin)
+        for row in several.filter(F.col("n") >= often).collect()
+    }
+    met = rows.join(several.filter(F.col("n") < often), "digest").filter(rank != F.col("first"))
+    later = met.select(*KEY, "begin", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.begin").alias("kept_begin"))
+    if frequent:
+        later = later.unionByName(_frequent_spans(rows, frequent))
+    found = F.struct("begin", "end", "kept_doc_id", "kept_begin")
     # All paragraphs of one document, as many as its sentences at most.
     spans = later.groupBy(*KEY).agg(F.array_sort(F.collect_set(found)).alias("spans"))
     merged = F.aggregate(
