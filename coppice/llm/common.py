@@ -66,6 +66,13 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few texts are held as Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_texts(docs: DataFrame, start: Callable[[], Callable[[list[str | None]], Sequence[tuple]]], types: str) -> DataFrame:
     """doc_id and the columns that a function makes of each row's whole text; narrow.
 
@@ -80,10 +87,10 @@ def map_texts(docs: DataFrame, start: Callable[[], Callable[[list[str | None]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = start()
         arrow = to_arrow_schema(made)
-        for batch in batches:
-            found = function(batch.column("text").to_pylist())
-            columns: list[Any] = list(zip(*found)) if found else [()] * len(arrow)
+        for part in sliced(batches):
+            found = function(part.column("text").to_pylist())
+            columns: list[Any] = list(zip(*found))
             arrays = [pa.array(values, field.type) for values, field in zip(columns, arrow)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *arrow.names])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", *arrow.names])
 
     return rows.mapInArrow(run, schema)

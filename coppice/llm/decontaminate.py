@@ -27,7 +27,7 @@ SLACK = 2
 # Bytes of benchmark text whose windows may go to the tasks at a time.
 MAX_ITEM_BYTES = 16 * 1024 * 1024
 # Words indexed together.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 
 
 class Windows(NamedTuple):
