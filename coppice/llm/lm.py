@@ -26,8 +26,10 @@ from coppice.llm.common import blank_words, pick, ship, stored
 
 # Words whose counts go to every task, at 16 bytes; the counts of all others are joined.
 MAX_FREQUENT = 200_000
-CLASSES, SIZE, NOISE = 512, 16, 64
+CLASSES, SIZE, NOISE = 512, 16, 32
 BATCH, RATE, LEAST_STEPS = 4096, 0.1, 200
+# Squared steps that a parameter starts with, so that its first ones are small.
+SQUARES = 1e-3
 # Tokens that a task trains on at a time, and words it counts before it passes them on.
 CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 400_000
 # Trained models added up by one task.
@@ -186,35 +188,43 @@ def nce(weights: Weights, codes: np.ndarray, unigram: np.ndarray, rng: np.random
     kinds, times = np.repeat(kinds, lots), np.repeat(times / lots, lots)
     passes = -(-LEAST_STEPS // -(-len(kinds) // BATCH))
     order = np.concatenate([rng.permutation(len(kinds)) for _ in range(passes)])
-    log_noise = np.log(NOISE * unigram)
+    log_noise = np.log(NOISE * unigram).astype(np.float32)
+    times = times.astype(np.float32)
     for start in range(0, len(order), BATCH):
         at = order[start : start + BATCH]
         code, often = kinds[at], times[at]
         often = often / often.sum()
         w2, w1, word = code // (n * n), code // n % n, code % n
-        r2, r1 = weights.context[w2], weights.context[w1]
-        q = r1 @ weights.turn[0] + r2 @ weights.turn[1]
+        context, turn, target, bias = (part.astype(np.float32) for part in weights)
+        r2, r1 = context[w2], context[w1]
+        q = r1 @ turn[0] + r2 @ turn[1]
         noise = rng.choice(n, NOISE, p=unigram)
-        real = (q * weights.target[word]).sum(1) + weights.bias[word] - log_noise[word]
-        false = q @ weights.target[noise].T + weights.bias[noise] - log_noise[noise]
+        known, other = target[word], target[noise]
+        real = np.einsum("ij,ij->i", q, known) + (bias - log_noise)[word]
+        false = q @ other.T + (bias - log_noise)[noise]
         up = often / (1 + np.exp(np.clip(real, -30, 30)))
-        down = often[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
-        dq = up[:, None] * weights.target[word] - down @ weights.target[noise]
-        grad = Weights(*[np.zeros_like(part) for part in weights])
-        np.add.at(grad.target, word, up[:, None] * q)
-        np.add.at(grad.target, noise, -(down.T @ q))
-        np.add.at(grad.bias, word, up)
-        np.add.at(grad.bias, noise, -down.sum(0))
-        np.add.at(grad.context, w1, dq @ weights.turn[0].T)
-        np.add.at(grad.context, w2, dq @ weights.turn[1].T)
-        grad.turn[0] += r1.T @ dq
-        grad.turn[1] += r2.T @ dq
+        down = often[:, None] / (1 + np.exp(np.clip(-false, -30, 30)))
+        dq = up[:, None] * known - down @ other
+        both = np.concatenate([word, noise])
+        grad = Weights(
+            _added(np.concatenate([w1, w2]), np.concatenate([dq @ turn[0].T, dq @ turn[1].T]), n),
+            np.stack([r1.T @ dq, r2.T @ dq]),
+            _added(both, np.concatenate([up[:, None] * q, -(down.T @ q)]), n),
+            np.bincount(both, np.concatenate([up, -down.sum(0)]), n),
+        )
         for part, square, step in zip(weights, squares, grad):
             square += step * step
             part += RATE * step / (np.sqrt(square) + 1e-6)
     return weights
 
 
+def _added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Values added up by row."""
+    width = values.shape[1]
+    slots = (rows[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(slots, values.ravel(), n * width).reshape(n, width)
+
+
 def train(docs: DataFrame, known: Lexicon) -> Weights:
     """Each task trains from the same beginning on all its texts, a chunk at a time; the
     models are averaged by tokens, some at a time, level by level."""
@@ -223,7 +233,7 @@ def train(docs: DataFrame, known: Lexicon) -> Weights:
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(*[part.copy() for part in start])
-        squares = Weights(*[np.full_like(part, 1e-8) for part in start])
+        squares = Weights(*[np.full_like(part, SQUARES) for part in start])
         rng = np.random.default_rng(7)
         seen, waiting, classes = 0, 0, []
         for batch in batches:

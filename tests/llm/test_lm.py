@@ -65,7 +65,7 @@ def test_noise_contrast_finds_the_shares():
     codes = np.array([(0 * 3 + 1) * 3 + 1, (0 * 3 + 2) * 3 + 2] * 3000)
     unigram = np.array([0.1, 0.45, 0.45])
     weights = lm.beginning(unigram, 4)
-    squares = lm.Weights(*[np.full_like(part, 1e-8) for part in weights])
+    squares = lm.Weights(*[np.full_like(part, lm.SQUARES) for part in weights])
     lm.nce(weights, codes, unigram, rng, squares)
     known = lm.Lexicon(np.array([lm.hash_of(lm.END)]), np.array([1]), np.array([1]), unigram, 1, 1, 1, 1.0)
     chance = np.exp(lm.Scorer(weights, known).log_probabilities(codes[:2]))
