@@ -66,3 +66,29 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     for some, known in ((empty, labels), (odd, labels.filter("false"))):
         assert len(Q.score_quality(some, known).collect()) == some.count()
     assert Q.score_quality(odd, labels, limit=1).count() == len(odd_rows)
+
+
+def test_statistics_cover_more_rows_than_the_sample(spark, make):
+    """Weights may come from a sample; mean, spread and threshold come from all labelled rows."""
+    rng = np.random.default_rng(5)
+    word = lambda odd: "".join(rng.choice(list("abcdefgh!" if odd else "abcdefgh"), 4))
+    rows = [(i, " ".join(word(i % 3 == 0) for _ in range(rng.integers(3, 30)))) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0 or i % 2)) for i, _ in rows], "doc_id long, quality int")
+    features = Q.statistics(make(rows)).cache()
+    x = np.array([Q.features(text) for _, text in rows])
+    good = np.array([r.quality > 0 for r in labels.orderBy("doc_id").collect()])
+    for limit in (120, 1000):
+        model = Q.train(features, labels, F.lit(True), limit)
+        assert np.allclose(model.mean, x.mean(0), atol=1e-9) and np.allclose(model.spread, np.maximum(x.std(0), 1e-6), atol=1e-6)
+        raw = np.sort(model.raw(x))
+        assert model.threshold == (raw[(~good).sum() - 1] + raw[(~good).sum()]) / 2
+
+
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_order_statistics_are_exact(spark, most):
+    rng = np.random.default_rng(6)
+    raw = np.concatenate([rng.normal(size=60), np.full(20, 0.25), [0.0, -0.0, -0.25, 1e300, -1e-300]])
+    keys = spark.createDataFrame([(int(k),) for k in Q._keys(raw)], "key long")
+    want = np.sort(raw)
+    for rank in (0, 30, int(np.searchsorted(want, 0.25)), int(np.searchsorted(want, 0.25)) + 19, len(raw) - 1):
+        assert Q.order_statistics(keys, rank, most) == (want[rank], want[min(rank + 1, len(raw) - 1)])
