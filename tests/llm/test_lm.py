@@ -85,3 +85,19 @@ def test_without_training_rows(make):
     rows = lm.score_texts(make([(held[0], "a b"), (held[1], None)])).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens) for r in rows} == {(3, 0, 0), (1, 0, 0)}
     assert all(r.base_score == 0 and np.isfinite(r.score) for r in rows)
+
+
+def test_a_step_sees_64_noise_words():
+    drawn = []
+
+    class Draws:
+        permutation = staticmethod(np.arange)
+
+        def choice(self, n, size, p):
+            drawn.append(size)
+            return np.random.default_rng(3).choice(n, size, p=p)
+
+    unigram = np.array([0.2, 0.4, 0.4])
+    weights = lm.beginning(unigram, 4)
+    lm.nce(weights, np.array([5, 14, 22]), unigram, Draws(), lm.Weights(*[np.full_like(part, lm.SQUARES) for part in weights]))
+    assert set(drawn) == {64}
