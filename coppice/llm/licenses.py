@@ -46,8 +46,9 @@ FREEDOM = {
 }
 UNKNOWN = 0.2
 TAG = "spdx license identifier"
-_TAGGED = re.compile(r"spdx-license-identifier[ \t]*:([^\r\n]*)", re.IGNORECASE)
+_TAGGED = re.compile(r"spdx-license-identifier[ \t]*:", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*", re.IGNORECASE)
+_PART = re.compile(_TOKEN.pattern + r"|[\r\n]", re.IGNORECASE)
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
 
@@ -108,15 +109,41 @@ def evaluate(expression: str) -> tuple[float, set[str]]:
     return stack.pop()
 
 
+def beginning(text: str, at: int) -> str:
+    """The longest valid expression that begins at a place of a text, on its line; empty
+    if there is none. Reading stops at the first token that cannot go on the expression, and after one
+    that ends a sentence."""
+    tokens, valid, depth, operand_next = [], 0, 0, True
+    for match in _PART.finditer(text, at):
+        token = match[0].rstrip(".:-")
+        word = token.lower()
+        if word in ("", "\r", "\n") or _TAGGED.match(text, match.start()):
+            break
+        if word == "(" or operand_next:
+            if not operand_next or word == ")" or word in _BINDING:
+                break
+            depth += word == "("
+            operand_next = word == "("
+        elif word == ")":
+            if not depth:
+                break
+            depth -= 1
+        elif word in _BINDING:
+            operand_next = True
+        else:
+            break
+        tokens.append(token)
+        if not operand_next and not depth:
+            valid = len(tokens)
+        if token != match[0]:
+            break
+    return " ".join(tokens[:valid])
+
+
 def tagged(text: str) -> list[tuple[float, set[str]]]:
-    """Every identifier tag of a text, evaluated; one that cannot be parsed is left out."""
-    found = []
-    for match in _TAGGED.finditer(text):
-        try:
-            found.append(evaluate(match[1]))
-        except ValueError:
-            continue
-    return found
+    """Every identifier tag of a text, its longest valid beginning evaluated; one without is left out."""
+    found = [beginning(text, match.end()) for match in _TAGGED.finditer(text)]
+    return [evaluate(expression) for expression in found if expression]
 
 
 def automaton(phrases: Mapping[str, str]) -> ahocorasick.Automaton:

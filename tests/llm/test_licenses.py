@@ -3,7 +3,7 @@ import re
 import pytest
 
 from coppice.llm.common import pick
-from coppice.llm.licenses import BASE_PHRASES, evaluate, family, license_scan, to_postfix
+from coppice.llm.licenses import BASE_PHRASES, beginning, evaluate, family, license_scan, tagged, to_postfix
 
 
 def test_shunting_yard():
@@ -71,3 +71,12 @@ def test_labels_and_score(make, empty):
         5: ("mit", "gpl,mit", 0.4),
     }
     assert license_scan(empty).collect() == []
+
+
+def test_text_after_a_tag():
+    tag = "SPDX-License-Identifier:"
+    assert tagged(f"{tag} MIT. Copyright 2020 A. Person") == [(1.0, {"mit"})]
+    assert tagged(f"{tag} (MIT OR GPL-2.0) this file is {tag} Apache-2.0 */ int x") == [(1.0, {"mit", "gpl"}), (0.9, {"apache"})]
+    assert tagged(f"{tag} MIT OR\nGPL-2.0") == [(1.0, {"mit"})] and tagged(f"{tag} AND MIT") == tagged(f"{tag}\nMIT") == []
+    for text, want in [("MIT OR", "MIT"), ("(MIT", ""), ("MIT)", "MIT"), ("MIT GPL", "MIT"), ("MIT (GPL)", "MIT"), ("()", ""), ("((MIT) AND BSD", "")]:
+        assert beginning(text, 0) == want
