@@ -157,10 +157,26 @@ SELECT doc_id, CAST(min("begin") AS INTEGER) AS "begin", CAST(max("end") AS INTE
 FROM s GROUP BY doc_id, span
 """
 
+# Twenty bits of the digest at a time are four letters.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, max(page_id) OVER (PARTITION BY hex) AS kept,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(hex, (i // 4) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)
+           for i in range(32)], '') AS payload_digest
+  FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM b
+"""
+
 ORACLES: dict[str, str] = {
     "op2_mix": MIX,
     "op4_jaccard_join": JACCARD,
     "op6_decontaminate": DECONTAMINATE,
     "op8_url_filter": URLS,
     "op9_substring_dedup": REPEATS,
+    "op13_warc": WARC,
 }

@@ -17,9 +17,12 @@ from coppice.llm.lm import score_texts
 from coppice.llm.mixing import mix
 from coppice.llm.oracles import ORACLES
 from coppice.llm.quality import score_quality
+from coppice.llm.runs import periodic_runs, planted
 from coppice.llm.substrings import repeats
 from coppice.llm.tokens import load_pieces, token_counts
 from coppice.llm.urls import Rule, judge_urls
+from coppice.llm.warc import archived
+from coppice.llm.whiten import whiten
 
 # The rules of op8.
 URL_RULES = [
@@ -90,6 +93,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), planted)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mix": op2_mix,
@@ -101,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_whiten": op11_whiten,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc": op13_warc,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
