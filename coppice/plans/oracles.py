@@ -60,6 +60,15 @@ def by_fold_and_depth(depths: str) -> str:
     return f"WITH {scores}, cells AS (SELECT cell // 100 AS fold, cell % 100 AS max_depth, {F1} AS f1 FROM s GROUP BY cell)"
 
 
+GRID = f"""
+{by_fold_and_depth("(1), (3)")},
+m AS (SELECT max_depth, avg(f1) AS mean_f1, stddev_pop(f1) AS std_f1 FROM cells GROUP BY max_depth),
+g AS (SELECT num_trees, CAST(max_depth AS INTEGER) AS max_depth, mean_f1, std_f1,
+             row_number() OVER (ORDER BY round(mean_f1, 9) DESC, num_trees, max_depth) AS place
+      FROM m, (VALUES (3), (5)) t(num_trees))
+SELECT num_trees, max_depth, round(mean_f1, 6) AS mean_f1, round(std_f1, 6) AS std_f1, place = 1 AS is_best
+FROM g"""
+
 ORACLES: dict[str, str] = {
     "scan_delimited": """
         SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_brand, p_type,
@@ -118,14 +127,9 @@ ORACLES: dict[str, str] = {
                round(n3 / n, 6) AS highest_share_3, round(n5 / n, 6) AS highest_share_5,
                round(n7 / n, 6) AS highest_share_7, round(3 * n5 / n, 6) AS votes_5, 3.0::DOUBLE AS vote_total
         FROM c""",
-    "grid_search": f"""
-        {by_fold_and_depth("(1), (3)")},
-        m AS (SELECT max_depth, avg(f1) AS mean_f1, stddev_pop(f1) AS std_f1 FROM cells GROUP BY max_depth),
-        g AS (SELECT num_trees, CAST(max_depth AS INTEGER) AS max_depth, mean_f1, std_f1,
-                     row_number() OVER (ORDER BY round(mean_f1, 9) DESC, num_trees, max_depth) AS place
-              FROM m, (VALUES (3), (5)) t(num_trees))
-        SELECT num_trees, max_depth, round(mean_f1, 6) AS mean_f1, round(std_f1, 6) AS std_f1, place = 1 AS is_best
-        FROM g""",
+    "grid_search": GRID,
+    "nested_search": GRID,
+    "resumed_search": f"SELECT *, 20 AS n_parts FROM ({GRID})",
     "fold_scores": f"""
         {by_fold_and_depth("(1), (2)")}
         SELECT CAST(fold AS INTEGER) AS fold, CAST(max_depth AS INTEGER) AS max_depth, round(f1, 6) AS f1 FROM cells""",

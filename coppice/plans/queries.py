@@ -186,7 +186,7 @@ def forest_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _searched(df: DataFrame, trees: tuple[int, ...], depths: tuple[int, ...]) -> Search:
+def _searched(df: DataFrame, trees: tuple[int, ...], depths: tuple[int, ...], **more) -> Search:
     """Search on the fixture or a part of it, with folds by row key."""
     return train_table(
         df,
@@ -199,11 +199,31 @@ def _searched(df: DataFrame, trees: tuple[int, ...], depths: tuple[int, ...]) ->
         parallelism=PARALLELISM,
         partitions=PARTITIONS,
         **EXACT,
+        **more,
     )
 
 
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _searched(separable(spark, sf_dir), (3, 5), (1, 3)).scores.select(
+    return _map_scores(_searched(separable(spark, sf_dir), (3, 5), (1, 3)))
+
+
+def nested_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid search from one fit per fold; no bootstrap, so that it equals separate fits."""
+    return _map_scores(_searched(separable(spark, sf_dir), (3, 5), (1, 3), nested=True, bootstrap=False))
+
+
+def resumed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of two maps, and one of four that finds these two in its ledger."""
+    ledger = run_folder(spark, "ledger")
+    rows = separable(spark, sf_dir)
+    _searched(rows, (3,), (1, 3), ledger=ledger)
+    found = _searched(rows, (3, 5), (1, 3), ledger=ledger)
+    n_parts = spark.read.parquet(ledger).select("search", "fold", "settings", "entry").distinct().count()
+    return _kept(_map_scores(found).withColumn("n_parts", F.lit(n_parts)), ledger)
+
+
+def _map_scores(found: Search) -> DataFrame:
+    return found.scores.select(
         F.col("numTrees").cast("int").alias("num_trees"),
         F.col("maxDepth").cast("int").alias("max_depth"),
         F.round("mean_f1", 6).alias("mean_f1"),
@@ -355,6 +375,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forest_predict": forest_predict,
     "forest_vote": forest_vote,
     "grid_search": grid_search,
+    "nested_search": nested_search,
+    "resumed_search": resumed_search,
     "fold_scores": fold_scores,
     "training_metrics": training_metrics,
     "holdout_metrics": holdout_metrics,

@@ -39,6 +39,8 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     train.add_argument("--parallelism", type=int, default=1, help="fits in training at a time")
     train.add_argument("--cache", action="store_true", help="keep the vectors in executor storage")
     train.add_argument("--partitions", type=int, help="canonical row order in so many partitions")
+    train.add_argument("--ledger", help="folder that records finished fits; a search begun again makes only the others")
+    train.add_argument("--nested", action="store_true", help="one fit per fold; smaller forests are read off the largest")
     train.add_argument("--max-memory-mb", type=int, default=256, help="split statistics gathered per pass")
     score = jobs.add_parser("score", parents=[common])
     score.add_argument("--features", type=_names, help="feature columns in training order, for a bare forest")
@@ -78,6 +80,8 @@ def main(argv: list[str] | None = None) -> None:
         parallelism=args.parallelism,
         cache=args.cache,
         partitions=args.partitions,
+        ledger=args.ledger,
+        nested=args.nested,
         maxMemoryInMB=args.max_memory_mb,
     )
     trained.scores.show(trained.scores.count(), truncate=False)

@@ -1,0 +1,159 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from coppice.operators.features import training_pair
+from coppice.operators.folds import stored_folds, with_fold
+from coppice.operators.forest import forest, grid
+from coppice.operators.ledger import Ledger, fingerprint
+from coppice.operators.nested import NestedForests, cut_tree
+from coppice.operators.search import search
+from coppice.plans.fixtures import ROW_KEY, separable
+from coppice.plans.jobs import train_table
+
+FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+WHOLE = {"bootstrap": False, "featureSubsetStrategy": "all"}
+
+
+@pytest.fixture(scope="module")
+def noisy(spark, tmp_path_factory):
+    """A label that no forest learns without error, stored with folds."""
+    df = separable(spark, "/root/testdata/sf0.001")
+    label = F.when(F.col("l_orderkey") % 4 == 0, F.col("l_linenumber") % 3).otherwise(F.col("quality"))
+    df = with_fold(df.withColumn("quality", label), 3, ROW_KEY)
+    return stored_folds(df, [*ROW_KEY, *FEATURES, "quality"], f"{tmp_path_factory.mktemp('nested')}/t", partitions=2)
+
+
+def same(one, other):
+    """The same rows; the last bits of a score depend on the order in which classes are added."""
+    rounded = lambda df: [[round(v, 12) if isinstance(v, float) else v for v in row] for row in df.collect()]
+    return rounded(one) == rounded(other)
+
+
+def test_cut_tree():
+    """A root with a leaf and an inner node whose leaves predict the same as each other."""
+    left, right = np.array([1, -1, 3, -1, -1]), np.array([2, -1, 4, -1, -1])
+    differs = np.array([1.0, 0.0, 1.0, 1.0, 2.0])
+    assert [a.tolist() for a in cut_tree(left, right, differs, 2)] == [[True] * 5, [1, -1, 3, -1, -1], [2, -1, 4, -1, -1]]
+    assert [a.tolist() for a in cut_tree(left, right, differs, 1)] == [[True] * 3 + [False] * 2, [1, -1, -1], [2, -1, -1]]
+    assert [a.tolist() for a in cut_tree(left, right, differs, 0)] == [[True] + [False] * 4, [-1], [-1]]
+    # At depth 1 the two leaves predict the same, and so they are one.
+    same = np.array([1.0, 1.0, 1.0, 1.0, 2.0])
+    assert cut_tree(left, right, same, 1)[0].tolist() == [True] + [False] * 4
+    assert cut_tree(left, right, same, 2)[0].all()
+
+
+def test_nested_forests_equal_separate_fits(spark, noisy, tmp_path):
+    """Same trees, node by node, and same votes to the last bit."""
+    vectors = training_pair(noisy, FEATURES, "quality", 8, keep=ROW_KEY)
+    rf = forest("quality", seed=3, **WHOLE)
+    maps = [(trees, depth) for trees in (1, 3) for depth in (1, 4, 8)]
+    largest = rf.fit(vectors, {rf.numTrees: 3, rf.maxDepth: 8})
+    nested = NestedForests(largest, maps, f"{tmp_path}/n")
+    for (trees, depth), found, size in zip(maps, nested.load(range(len(maps))), nested.sizes):
+        alone = rf.fit(vectors, {rf.numTrees: trees, rf.maxDepth: depth})
+        assert [t.toDebugString.split("\n")[1:] for t in found.trees] == [t.toDebugString.split("\n")[1:] for t in alone.trees]
+        assert found.totalNumNodes == alone.totalNumNodes == size
+        assert (found.getOrDefault("numTrees"), found.getOrDefault("maxDepth")) == (trees, depth)
+        columns = [*ROW_KEY, "rawPrediction", "probability", "prediction"]
+        votes = [sorted(map(str, model.transform(vectors).select(columns).collect())) for model in (found, alone)]
+        assert votes[0] == votes[1]
+
+
+def test_nested_search_has_the_scores_of_the_search(spark, noisy, tmp_path):
+    rf = forest("quality", seed=3, **WHOLE)
+    maps = grid(rf, (2, 4), (1, 5))
+    plain = search(noisy, FEATURES, "quality", rf, maps, 3, parallelism=3)
+    nested = search(noisy, FEATURES, "quality", rf, maps, 3, parallelism=2, nested=f"{tmp_path}/n")
+    assert same(nested.scores, plain.scores) and same(nested.fold_scores, plain.fold_scores)
+
+
+def test_nested_search_fits_once_per_fold(spark, noisy, monkeypatch):
+    """Also where separate fits would give other forests, the best of which is fitted at last."""
+    fits = counted_fits(monkeypatch)
+    found = train_table(noisy.drop("fold"), "quality", ROW_KEY, (2, 5), (1, 4), folds=3, nested=True)
+    assert [sorted(fit) for fit in fits] == [[4, 5]] * 3 + [sorted(fits[-1])]
+    assert found.scores.count() == 4 and found.scores.filter("is_best").count() == 1
+
+
+def test_nested_search_takes_trees_and_depth_only(spark, noisy):
+    rf = forest("quality")
+    with pytest.raises(ValueError, match="alone"):
+        search(noisy, FEATURES, "quality", rf, [{rf.numTrees: 2}], 3, nested="/nowhere")
+
+
+def counted_fits(monkeypatch):
+    """Settings of each fit, as numbers of trees and depth."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    fits, fit = [], RandomForestClassifier.fit
+
+    def counted(self, train, settings):
+        fits.append(list(settings.values()))
+        return fit(self, train, settings)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", counted)
+    return fits
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_a_stopped_search_goes_on(spark, noisy, tmp_path, monkeypatch, nested):
+    """Stopped after some parts, a search makes only the others, and gives the same scores."""
+    rf = forest("quality", seed=3)
+    maps = grid(rf, (2, 3), (1, 4))
+    ledger = f"{tmp_path}/ledger"
+
+    def go(**more):
+        nodes = f"{tmp_path}/nodes-{len(more)}-{np.random.default_rng().integers(1 << 40)}" if nested else None
+        return search(noisy, FEATURES, "quality", rf, maps, 3, nested=nodes, **more)
+
+    expected = go()
+    add, added = Ledger.add, []
+
+    def failing(self, *part):
+        if len(added) == 5:
+            raise Stopped
+        added.append(part[:2])
+        add(self, *part)
+
+    monkeypatch.setattr(Ledger, "add", failing)
+    with pytest.raises(Stopped):
+        go(ledger=ledger)
+    monkeypatch.setattr(Ledger, "add", add)
+    fits = counted_fits(monkeypatch)
+    again = go(ledger=ledger)
+    # 12 parts, of which 5 are recorded; nested, the first of the three folds is whole. And the refit.
+    assert len(fits) == (3 if nested else 8)
+    assert same(again.scores, expected.scores) and same(again.fold_scores, expected.fold_scores)
+    fits.clear()
+    assert same(go(ledger=ledger).scores, expected.scores) and len(fits) == 1
+
+
+def test_a_ledger_is_for_one_table_and_one_search(spark, noisy, tmp_path):
+    rf = forest("quality", seed=3)
+    one = Ledger(f"{tmp_path}/l", noisy, rf, "quality", 3)
+    assert one.path == Ledger(f"{tmp_path}/l/", noisy, forest("quality", seed=3), "quality", 3).path
+    others = [
+        Ledger(f"{tmp_path}/l", noisy, forest("quality", seed=4), "quality", 3),
+        Ledger(f"{tmp_path}/l", noisy, forest("quality", seed=3, maxBins=16), "quality", 3),
+        Ledger(f"{tmp_path}/l", noisy, rf, "quality", 5),
+        Ledger(f"{tmp_path}/l", noisy.filter("l_quantity > 1"), rf, "quality", 3),
+        Ledger(f"{tmp_path}/l", noisy.withColumn("l_tax", F.col("l_tax") + 1), rf, "quality", 3),
+    ]
+    assert len({ledger.path for ledger in [one, *others]}) == 6
+    assert fingerprint(noisy) == fingerprint(noisy.repartition(7))
+
+
+def test_ledger_rows(spark, noisy, tmp_path):
+    """A part without rows is done; one that was recorded twice counts once."""
+    ledger = Ledger(f"{tmp_path}/l", noisy, forest("quality"))
+    assert ledger.done() == {}
+    ledger.add(0, "a", [(1.0, 1.0, 5), (1.0, 0.0, 2)])
+    ledger.add(0, "a", [(1.0, 1.0, 5), (1.0, 0.0, 2)])
+    ledger.add(2, "b", [])
+    found = ledger.done()
+    assert {part: sorted(counts) for part, counts in found.items()} == {(0, "a"): [(1.0, 0.0, 2), (1.0, 1.0, 5)], (2, "b"): []}
