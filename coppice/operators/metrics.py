@@ -66,3 +66,32 @@ def summary(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.sum(F.col("support") * F.col("f1")) / support, F.lit(0.0)).alias("f1"),
         F.coalesce(F.sum("hits") / support, F.lit(0.0)).alias("accuracy"),
     )
+
+
+def observed_columns(label: str, classes: int, prediction: str = "prediction") -> list[Column]:
+    """Aggregates from which :func:`observed_summary` has the metrics, without a group-by, so that
+    they can be taken from rows on their way to a file. Predictions are below ``classes``."""
+    value, claimed = (F.col(quoted(name)).cast("double") for name in (label, prediction))
+    columns = [F.count("*").alias("n"), F.count_if(value.isNull() | claimed.isNull()).alias("n_null")]
+    for c in range(classes):
+        columns += [
+            F.count_if(value == c).alias(f"support_{c}"),
+            F.count_if(claimed == c).alias(f"claimed_{c}"),
+            F.count_if((value == c) & (claimed == c)).alias(f"hits_{c}"),
+        ]
+    return columns
+
+
+def observed_summary(found: dict[str, int], classes: int) -> tuple[int, float, float]:
+    """n_rows, f1, accuracy as :func:`summary` has them; a null fails. A label that the model
+    does not know is never hit, so its score is 0, and its rows count."""
+    if found["n_null"]:
+        raise ValueError(f"{found['n_null']} rows have a null label or prediction")
+    total = 0.0
+    for c in range(classes):
+        support, claimed, hits = (found[f"{name}_{c}"] for name in ("support", "claimed", "hits"))
+        # Twice the product over the sum of precision and recall.
+        total += support * (2 * hits / (support + claimed) if hits else 0.0)
+    n = found["n"]
+    hits = sum(found[f"hits_{c}"] for c in range(classes))
+    return n, total / n if n else 0.0, hits / n if n else 0.0

@@ -82,6 +82,19 @@ ORACLES: dict[str, str] = {
                CASE WHEN max(o_custkey) > 2147483647 THEN 'bigint' ELSE 'int' END AS o_custkey, 'string' AS o_orderstatus,
                'double' AS o_totalprice, 'timestamp' AS o_orderdate, 'string' AS o_orderpriority
         FROM orders""",
+    "staged_rows": """
+        SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus,
+               o_totalprice, o_orderdate, o_orderpriority
+        FROM orders""",
+    "rejected_rows": """
+        WITH l AS (
+          SELECT o_orderkey % 10 AS digit, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS c, o_orderstatus AS s
+          FROM orders)
+        SELECT CASE digit WHEN 0 THEN concat_ws(';', k, c) WHEN 1 THEN concat_ws(';', k, c, s, 'more')
+                          ELSE concat_ws(';', k, 'none', s) END AS line,
+               CASE digit WHEN 0 THEN 'short' WHEN 1 THEN 'long' ELSE 'value' END AS reason,
+               (SELECT count(*) FROM l WHERE digit > 2) AS n_rows, (SELECT count(*) FROM l WHERE digit < 3) AS n_rejected
+        FROM l WHERE digit < 3""",
     "clean_columns": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
     "feature_columns": f"SELECT l_quantity, l_discount, l_tax, quality FROM ({SEPARABLE})",
     "assemble_vector": f"SELECT l_quantity AS f0, l_discount AS f1, l_tax AS f2, quality FROM ({SEPARABLE})",
@@ -157,6 +170,16 @@ ORACLES: dict[str, str] = {
         a AS (SELECT CAST(sum(support) AS BIGINT) AS n_rows, round({F1}, 6) AS f1,
                      round(CAST(sum(hits) AS DOUBLE) / sum(support), 6) AS accuracy FROM s)
         SELECT run, a.*, true AS is_stamped FROM a, (VALUES ('first'), ('second')) r(run)""",
+    "metrics_by_run": f"""
+        WITH {class_scores(RULE)},
+        a AS (SELECT CAST(sum(support) AS BIGINT) AS n_rows, round({F1}, 6) AS f1,
+                     round(CAST(sum(hits) AS DOUBLE) / sum(support), 6) AS accuracy FROM s)
+        SELECT run_id, a.* FROM a, (VALUES ('first'), ('second')) r(run_id)""",
+    "prediction_sink": f"""
+        SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_partkey AS BIGINT) AS l_partkey,
+               CAST(l_suppkey AS BIGINT) AS l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, quality AS prediction,
+               8 AS n_classes, count(*) OVER () AS n_rows, 1.0::DOUBLE AS f1, 1.0::DOUBLE AS accuracy
+        FROM ({SEPARABLE})""",
     "document_features": rf"""
         SELECT doc_id, n_chars, n_words, n_distinct, round(n_distinct / greatest(1, n_words), 6) AS distinct_share,
                round(n_other / greatest(1, n_chars), 6) AS other_share, quality

@@ -22,8 +22,9 @@ from coppice.plans.fixtures import ROW_KEY, document_quality, rule_predictions,
 from coppice.plans.jobs import evaluate, score_job, train_job, train_table
 from coppice.plans.jobs import training_metrics as metrics_of
 from coppice.session import remove_folder, run_folder
-from coppice.sources.delimited import read_delimited, write_delimited
-from coppice.sources.store import load_model, save_model, write_metrics
+from coppice.sources.delimited import read_delimited, widened, write_delimited
+from coppice.sources.staged import stage_delimited
+from coppice.sources.store import load_model, publish_model, save_model, write_metrics
 
 # The fixture is learned exactly when every quantity has its own bin and every tree
 # may split on it.
@@ -76,9 +77,36 @@ def _kept(result: DataFrame, *folders: str) -> DataFrame:
 
 def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _as_text(table(spark, sf_dir, "orders"), "orders")
-    orders = clean_columns(read_delimited(spark, path))
+    folder = run_folder(spark, "typed")
+    orders = clean_columns(stage_delimited(spark, path, folder).rows)
     types = [F.max(F.typeof(name)).alias(name) for name in orders.columns]
-    return _kept(orders.agg(F.count("*").alias("n_rows"), *types), path)
+    return _kept(orders.agg(F.count("*").alias("n_rows"), *types), path, folder)
+
+
+def staged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text whose types are found over its stored columns."""
+    text = _as_text(table(spark, sf_dir, "orders"), "orders")
+    return clean_columns(stage_delimited(spark, text, run_folder(spark, "typed")).rows)
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with rows that lack a field, have one too many, or a word for a number."""
+    key = F.col("o_orderkey")
+    fields = [key.cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")]
+    line = (
+        F.when(key % 10 == 0, F.concat_ws(";", *fields[:2]))
+        .when(key % 10 == 1, F.concat_ws(";", *fields, F.lit("more")))
+        .when(key % 10 == 2, F.concat_ws(";", fields[0], F.lit("none"), fields[2]))
+        .otherwise(F.concat_ws(";", *fields))
+    )
+    path, folder = run_folder(spark, "text"), run_folder(spark, "parted")
+    # One column whose name is the header, so that lines are written as they are.
+    lines = table(spark, sf_dir, "orders").select(line.alias("o_orderkey;o_custkey;o_orderstatus"))
+    lines.write.options(header=True, sep="\u0001", quote="", escapeQuotes=False).csv(path)
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
+    found = stage_delimited(spark, path, folder, schema=schema)
+    numbers = [F.lit(found.n_rows).alias("n_rows"), F.lit(found.n_rejected).alias("n_rejected")]
+    return found.rejected.select("line", "reason", *numbers)
 
 
 def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,6 +330,37 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(stored, path)
 
 
+def metrics_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs, one of which is written again by a driver that takes its first try for lost."""
+    path = run_folder(spark, "metrics")
+    for run in ("first", "second", "first"):
+        write_metrics(summary(_rule_confusion(spark, sf_dir)), path, run_id=run)
+    stored = spark.read.json(path)
+    rounded = [F.round(name, 6).alias(name) for name in ("f1", "accuracy")]
+    return _kept(stored.select("run_id", "n_rows", *rounded), path)
+
+
+def prediction_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the scoring job stores, with the metrics it takes from them on their way."""
+    model, _, features, _ = _fitted(spark, sf_dir)
+    bare = run_folder(spark, "forest")
+    model.write().overwrite().save(bare)
+    published = run_folder(spark, "model")
+    publish_model(load_model(bare, features), published, widened(separable(spark, sf_dir).schema))
+    text, stored = _as_text(separable(spark, sf_dir), "scored"), run_folder(spark, "predictions")
+    metrics = score_job(spark, text, published, predictions_path=stored).first()
+    for folder in (bare, published, text):
+        remove_folder(spark, folder)
+    return spark.read.parquet(stored).select(
+        *[F.col(name).cast("bigint").alias(name) for name in ROW_KEY],
+        F.col("prediction").cast("int").alias("prediction"),
+        F.size("probability").alias("n_classes"),
+        F.lit(metrics.n_rows).alias("n_rows"),
+        F.lit(metrics.f1).alias("f1"),
+        F.lit(metrics.accuracy).alias("accuracy"),
+    )
+
+
 def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both jobs, with their default grid, over untidy text: fold 0 is the test file, fold
     1 the validation file."""
@@ -361,6 +420,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_with_schema": scan_with_schema,
     "scan_column_orders": scan_column_orders,
     "inferred_types": inferred_types,
+    "staged_rows": staged_rows,
+    "rejected_rows": rejected_rows,
     "clean_columns": clean_names,
     "feature_columns": feature_columns,
     "assemble_vector": assemble_vector,
@@ -382,6 +443,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "holdout_metrics": holdout_metrics,
     "model_round_trip": model_round_trip,
     "metrics_sink": metrics_sink,
+    "metrics_by_run": metrics_by_run,
+    "prediction_sink": prediction_sink,
     "train_and_score": train_and_score,
     "document_features": document_features,
     "document_quality": document_quality_scores,

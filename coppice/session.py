@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_own_folders: set[tuple[str, str]] = set()
 _local_folder: tempfile.TemporaryDirectory | None = None
 
 
@@ -41,15 +42,29 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path for one run's intermediate data.
 
     It lies in the folder that ``spark.checkpoint.dir`` names, which every executor
-    reaches. Only a local master may do without that setting: a folder of this
-    machine would be invisible to the executors of a cluster.
+    reaches, and goes when the driver ends, if not before: what is read lazily cannot go
+    earlier. Only a local master may do without that setting: a folder of this machine
+    would be invisible to the executors of a cluster.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_root()
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark, root.rstrip('/'))}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession, root: str) -> str:
+    """This application's folder below the shared one, which its file system deletes when the driver ends."""
+    application = spark.sparkContext.applicationId
+    path = f"{root}/coppice-{application}"
+    if (application, root) not in _own_folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        _own_folders.add((application, root))
+    return path
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
@@ -58,6 +73,23 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def create_file(spark: SparkSession, path: str) -> None:
+    """Make an empty file, and the folders above it."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(file.getParent())
+    system.create(file, True).close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(folder)]
+
+
 def file_per_partition(spark: SparkSession) -> SparkSession:
     """A session of the same application whose scans take one file per partition, and
     split only larger ones; the given session keeps its settings.

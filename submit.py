@@ -22,6 +22,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     common.add_argument("--data", required=True, help="delimited text, any Hadoop path")
     common.add_argument("--model", required=True, help="where the model is saved")
     common.add_argument("--metrics", help="folder to which a stamped metrics row is appended")
+    common.add_argument("--run-id", help="a run's metrics replace those of an earlier try of the same id")
     common.add_argument("--sep", default=";")
     common.add_argument("--schema", help="column types as DDL; spares the pass that infers them")
     common.add_argument("--option", action="append", default=[], metavar="KEY=VALUE", help="for the text reader")
@@ -39,10 +40,13 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     train.add_argument("--parallelism", type=int, default=1, help="fits in training at a time")
     train.add_argument("--cache", action="store_true", help="keep the vectors in executor storage")
     train.add_argument("--partitions", type=int, help="canonical row order in so many partitions")
+    train.add_argument("--rejected", help="folder for rows that cannot be read, which are then no training rows")
+    train.add_argument("--max-rejected", type=float, default=1.0, help="share of such rows from which the job fails")
     train.add_argument("--ledger", help="folder that records finished fits; a search begun again makes only the others")
     train.add_argument("--nested", action="store_true", help="one fit per fold; smaller forests are read off the largest")
     train.add_argument("--max-memory-mb", type=int, default=256, help="split statistics gathered per pass")
     score = jobs.add_parser("score", parents=[common])
+    score.add_argument("--predictions", help="folder for the scored rows, as parquet")
     score.add_argument("--features", type=_names, help="feature columns in training order, for a bare forest")
     return parser.parse_args(argv)
 
@@ -60,10 +64,11 @@ def main(argv: list[str] | None = None) -> None:
         "sep": args.sep,
         "schema": args.schema,
         "label": args.label,
+        "run_id": args.run_id,
         "options": dict(option.split("=", 1) for option in args.option),
     }
     if args.job == "score":
-        _report("Test", score_job(spark, args.data, args.model, features=args.features, **shared))
+        _report("Test", score_job(spark, args.data, args.model, features=args.features, predictions_path=args.predictions, **shared))
         return
     trained = train_job(
         spark,
@@ -71,6 +76,8 @@ def main(argv: list[str] | None = None) -> None:
         args.model,
         args.validation,
         **shared,
+        rejected_path=args.rejected,
+        max_rejected=args.max_rejected,
         drop=args.drop,
         key=args.key,
         trees=args.trees,
