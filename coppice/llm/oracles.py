@@ -124,37 +124,70 @@ SELECT page_id, host, path, rule,
 FROM r
 """
 
+def _matching(cells: str) -> str:
+    """Length of the run of true values a list of comparisons begins with."""
+    return f"coalesce(nullif(list_position({cells}, false), 0) - 1, len({cells}))"
+
+
+def _merged(source: str, left: str, right: str) -> str:
+    """Spans of ``source`` that overlap or touch as one per (doc_id, span)."""
+    return f"""
+  SELECT doc_id, min(s) AS s, max(e) AS e, min({left}) AS l, min({right}) AS r
+  FROM (
+    SELECT *, sum(CASE WHEN reached IS NULL OR s > reached THEN 1 ELSE 0 END)
+              OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS span
+    FROM (
+      SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+      FROM {source}))
+  GROUP BY doc_id, span"""
+
+
+_EQUAL_LEFT = "list_transform(range(1, least(25, s, l.ks) + 1), lambda t: x.w[s - t + 1] = y.w[l.ks - t + 1])"
+_EQUAL_RIGHT = "list_transform(range(1, least(25, len(x.w) - e, len(z.w) - r.ke) + 1), lambda t: x.w[e + t] = z.w[r.ke + t])"
+
 REPEATS = rf"""
 WITH d AS (
-  SELECT doc_id, {_words(BLANK_WORD)} AS w, regexp_extract_all(text, '(?s).*?(?:[.!?] |\n)|.+\z') AS units
+  SELECT doc_id, text, {_words(BLANK_WORD)} AS w, regexp_extract_all(text, '(?s).*?(?:[.!?] |\n)|.+\z') AS units
   FROM documents WHERE text IS NOT NULL),
 u AS (
-  SELECT doc_id, i, length(units[i]) AS chars, len(regexp_extract_all(units[i], '{BLANK_WORD}')) AS n
+  SELECT doc_id, i, len(regexp_extract_all(units[i], '{BLANK_WORD}')) AS n
   FROM d, unnest(range(1, len(units) + 1)) t(i)),
 c AS (
-  SELECT *, sum(chars) OVER o AS ends, sum(n) OVER o AS upto
-  FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM u),
 x AS (SELECT * FROM c WHERE n > 0),
-p AS (
-  SELECT a.doc_id, a.ends - a.chars AS "begin", b.ends AS "end", a.upto - a.n AS before, b.upto AS upto
-  FROM x a ASOF JOIN x b ON a.doc_id = b.doc_id AND b.upto >= a.upto - a.n + 25),
+lines AS (
+  SELECT a.doc_id, a.upto - a.n AS s, b.upto AS e FROM x a ASOF JOIN x b ON a.doc_id = b.doc_id AND b.upto >= a.upto - a.n + 25),
+k AS (
+  SELECT doc_id, len(w) - 24 AS places, j, {{'k': substr(md5(w[j + 1]), 1, 8), 'j': j}} AS key
+  FROM d, unnest(range(0, len(w) - 24)) t(j)),
+cut AS (
+  SELECT DISTINCT doc_id, best.j AS s, best.j + 25 AS e
+  FROM (
+    SELECT doc_id, j, places, min(key) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS best FROM k)
+  WHERE j = 0 OR j + 25 <= places),
 q AS (
-  SELECT p.doc_id, "begin", "end", md5(array_to_string(w[before + 1:upto], ' ')) AS digest
-  FROM p JOIN d ON d.doc_id = p.doc_id),
-f AS (SELECT digest, min({{'d': doc_id, 'b': "begin"}}) AS first FROM q GROUP BY digest),
-l AS (
-  SELECT doc_id, "begin", "end", first.d AS kept_doc_id, first.b AS kept_begin
-  FROM q JOIN f USING (digest) WHERE {{'d': doc_id, 'b': "begin"}} <> first),
-m AS (
-  SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "begin" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
-  FROM l),
-s AS (
-  SELECT *, sum(CASE WHEN reached IS NULL OR "begin" > reached THEN 1 ELSE 0 END)
-            OVER (PARTITION BY doc_id ORDER BY "begin" ROWS UNBOUNDED PRECEDING) AS span
-  FROM m)
-SELECT doc_id, CAST(min("begin") AS INTEGER) AS "begin", CAST(max("end") AS INTEGER) AS "end",
-       arg_min(kept_doc_id, "begin") AS kept_doc_id, CAST(arg_min(kept_begin, "begin") AS INTEGER) AS kept_begin
-FROM s GROUP BY doc_id, span
+  SELECT doc_id, s, e, md5(array_to_string(w[s + 1:e], ' ')) AS digest
+  FROM (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM lines
+        UNION SELECT doc_id, CAST(s AS BIGINT), CAST(e AS BIGINT) FROM cut) JOIN d USING (doc_id)),
+f AS (SELECT digest, min({{'d': doc_id, 's': s}}) AS first FROM q GROUP BY digest),
+g AS (
+  SELECT doc_id, s AS place, e, first.d AS kd, first.s AS ks, first.s + e - s AS ke, doc_id = first.d AND s < first.s + e - s AS clipped
+  FROM q JOIN f USING (digest) WHERE {{'d': doc_id, 's': s}} <> first),
+o AS (SELECT doc_id, CASE WHEN clipped THEN ke ELSE place END AS s, e, clipped, kd, ks, ke FROM g),
+m AS ({_merged("o", "{'s': s, 'c': clipped, 'kd': kd, 'ks': ks}", "{'e': -e, 'kd': kd, 'ke': ke}")}),
+v AS (
+  SELECT m.doc_id, s - CASE WHEN l.c THEN 0 ELSE {_matching(_EQUAL_LEFT)} END AS s, e + {_matching(_EQUAL_RIGHT)} AS e,
+         l.kd AS kd, l.ks - CASE WHEN l.c THEN 0 ELSE {_matching(_EQUAL_LEFT)} END AS ks, l.c AS c
+  FROM m JOIN d x ON x.doc_id = m.doc_id JOIN d y ON y.doc_id = l.kd JOIN d z ON z.doc_id = r.kd),
+n AS ({_merged("v", "{'s': s, 'c': c, 'kd': kd, 'ks': ks}", "{'e': -e}")}),
+places AS (
+  SELECT doc_id, text, w, list_transform(regexp_extract_all(text, '[\x20\x09-\x0D]*{BLANK_WORD}'), lambda piece: length(piece)) AS sizes,
+         list_transform(regexp_extract_all(text, '{BLANK_WORD}'), lambda word: length(word)) AS words
+  FROM d)
+SELECT doc_id, CAST(list_sum(sizes[1:s + 1]) - words[s + 1] AS INTEGER) AS "begin",
+       CAST(CASE WHEN e < len(words) THEN list_sum(sizes[1:e + 1]) - words[e + 1] ELSE length(text) END AS INTEGER) AS "end",
+       l.kd AS kept_doc_id, CAST(l.ks AS INTEGER) AS kept_word
+FROM n JOIN places USING (doc_id)
 """
 
 # Twenty bits of the digest at a time are four letters.

@@ -86,7 +86,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "begin", "end", "kept_doc_id", "kept_begin")
+    return found.select("doc_id", "begin", "end", "kept_doc_id", "kept_word")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

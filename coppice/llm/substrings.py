@@ -1,14 +1,18 @@
-"""Substring dedup by hashing paragraphs of normalised sentences.
+"""Substring dedup by hashing runs of words: lines and sentences, and runs cut by content.
 
-A text is cut after every line end and every sentence end, without loss. From each unit on, the
-shortest run of units that reaches a minimum of words is a paragraph; its digest is that
-of its words in lower case with single blanks. So a repeated passage is found wherever it
-stands, on lines of its own or inside other text. Digests are grouped over all
-documents; the earliest occurrence by (doc_id, text digest, place) stays, all others go.
+Two kinds of runs are hashed, as words in lower case with single blanks. From each line or
+sentence on, the shortest run of whole ones that reaches a minimum of words. And of every
+so many places in a row, the run of the minimum's words that begins with the word of the
+smallest hash: which one that is follows from the words alone, so a passage of twice the minimum holds one
+wherever it begins and ends. Digests are grouped over all documents; the earliest
+occurrence by (doc_id, text, place) stays, all others go. Runs of a document that touch
+make a passage, and it is widened word by word as far as the words beside it are those
+beside the occurrence that stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 
@@ -19,177 +23,347 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from coppice.llm.common import pick, ship, sliced, stored
 
-# Words of the shortest passage that counts as repeated.
+# Words of the shortest passage that counts as repeated, and the most a passage is widened by on a side.
 MIN_WORDS = 25
 _UNIT = re.compile(r"(?s).*?(?:[.!?] |\n)|.+\Z")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEY = ["doc_id", "version"]
-# Occurrences from which a paragraph is sent to every task, and how many can be at most.
+# Occurrences from which a run is sent to every task, and how many can be at most.
 OFTEN, MAX_FREQUENT = 500, 50_000
+# Words whose places in the order of hashes a worker keeps.
+MAX_KEPT = 50_000
 
 
-def paragraphs(text: str, min_words: int) -> list[tuple[int, int, int, str]]:
-    """Begin, end (code points), words and normalised text of each paragraph."""
-    units = _UNIT.findall(text)
-    words = [unit.encode().lower().split() for unit in units]
-    ends = np.cumsum([len(unit) for unit in units]).tolist()
-    upto = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(int)
-    # The first unit with which a run reaches the minimum.
-    last = np.searchsorted(upto, upto[:-1] + min_words).tolist()
-    out = []
-    for i, j in enumerate(last):
-        if j <= len(units) and words[i]:
-            run = b" ".join([word for unit in words[i:j] for word in unit])
-            out.append((ends[i] - len(units[i]), ends[j - 1], int(upto[j] - upto[i]), run))
-    return out
+class _Ranks(dict):
+    """Place of a word in the order of hashes: the first eight digits of its md5."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MAX_KEPT:
+            self.clear()
+        value = self[word] = int(hashlib.md5(word).hexdigest()[:8], 16)
+        return value
+
+
+_ranks = _Ranks()
+
+
+def chosen_starts(words: Sequence[bytes], min_words: int) -> list[int]:
+    """First words of the runs cut by content: of any ``min_words`` places in a row at which
+    a whole run can begin, the first one of the smallest hash."""
+    places = len(words) - min_words + 1
+    if places < 1:
+        return []
+    ranks = np.fromiter(map(_ranks.__getitem__, words[:places]), np.int64, places)
+    width = min(min_words, places)
+    least = np.lib.stride_tricks.sliding_window_view(ranks, width).argmin(axis=1)
+    return np.unique(least + np.arange(len(least))).tolist()
+
+
+def runs(text: str, min_words: int) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """A text's words, and first word and end of each of its runs, in order."""
+    counts = [len(unit.encode().split()) for unit in _UNIT.findall(text)]
+    words = text.encode().lower().split()
+    upto = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+    # The first line or sentence with which a run reaches the minimum.
+    last = np.searchsorted(upto, upto[:-1] + min_words)
+    whole = [(int(upto[i]), int(upto[j])) for i, j in enumerate(last.tolist()) if j <= len(counts) and counts[i]]
+    cut = [(start, start + min_words) for start in chosen_starts(words, min_words)]
+    return words, sorted({*whole, *cut})
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row per paragraph: doc_id, version (digest of the text), begin, end, n_words, digest; narrow."""
+    """A row per run: doc_id, version (hash of the text), start, n_words, digest; narrow."""
     ship(docs.sparkSession)
-    rows = pick(docs, "doc_id", "text").filter("text is not null")
-    made = StructType.fromDDL("version binary, begin int, end int, n_words int, digest binary")
+    rows = pick(docs, "doc_id", "text").filter("text is not null").withColumn("version", F.xxhash64("text"))
+    made = StructType.fromDDL("version long, start int, n_words int, digest binary")
     schema = StructType([rows.schema["doc_id"], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(made)
-        for batch in sliced(batches):
-            owners, columns = [], [[] for _ in arrow]
+        for batch in sliced(batches, 500):
+            owners, starts, sizes, digests = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                found = paragraphs(text, min_words)
-                version = xxhash.xxh64_digest(text.encode()) if found else b""
-                for begin, end, n, run in found:
+                words, found = runs(text, min_words)
+                for start, end in found:
                     owners.append(i)
-                    for column, value in zip(columns, (version, begin, end, n, xxhash.xxh3_128_digest(run))):
-                        column.append(value)
-                if len(owners) >= 200_000:
-                    yield _batch(batch, owners, columns, arrow)
-                    owners, columns = [], [[] for _ in arrow]
-            yield _batch(batch, owners, columns, arrow)
+                    starts.append(start)
+                    sizes.append(end - start)
+                    digests.append(xxhash.xxh3_128_digest(b" ".join(words[start:end])))
+                if len(owners) >= 50_000:
+                    yield _batch(batch, owners, (starts, sizes, digests), arrow)
+                    owners, starts, sizes, digests = [], [], [], []
+            yield _batch(batch, owners, (starts, sizes, digests), arrow)
 
     return rows.mapInArrow(run, schema)
 
 
 def _batch(batch: pa.RecordBatch, owners: list[int], columns: Sequence[list], arrow: pa.Schema) -> pa.RecordBatch:
-    ids = batch.column("doc_id").take(pa.array(owners, pa.int64()))
-    arrays = [pa.array(values, field.type) for values, field in zip(columns, arrow)]
-    return pa.RecordBatch.from_arrays([ids, *arrays], names=["doc_id", *arrow.names])
+    at = pa.array(owners, pa.int64())
+    arrays = [pa.array(values, field.type) for values, field in zip(columns, list(arrow)[1:])]
+    ids = [batch.column(name).take(at) for name in KEY]
+    return pa.RecordBatch.from_arrays([*ids, *arrays], names=["doc_id", *arrow.names])
+
+
+# A repeated run or passage: its words [start, end), and for either side the place that stays and
+# the words beside which those beside the passage may equal; ``open`` is false where a passage
+# begins right behind the occurrence that stays.
+def _span_type(id_type) -> StructType:
+    place = StructType([StructField("doc_id", id_type), StructField("version", LongType()), StructField("at", IntegerType())])
+    return StructType.fromDDL("start int, end int, open boolean").add("left", place).add("right", place)
+
+
+def _later(rows: DataFrame) -> DataFrame:
+    """Of occurrences with ``first`` those that go: doc_id, version, span."""
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    stop = F.col("first.start") + F.col("n_words")
+    clipped = same & (F.col("start") < stop)
+    place = lambda at: F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"), at.cast("int").alias("at"))
+    span = F.struct(
+        F.when(clipped, stop).otherwise(F.col("start")).cast("int").alias("start"),
+        (F.col("start") + F.col("n_words")).cast("int").alias("end"),
+        (~clipped).alias("open"),
+        place(F.col("first.start")).alias("left"),
+        place(stop).alias("right"),
+    )
+    return rows.filter(~(same & (F.col("start") == F.col("first.start")))).select(*KEY, span.alias("span"))
 
 
 def _frequent_spans(rows: DataFrame, frequent: dict[bytes, tuple]) -> DataFrame:
-    """Later occurrences of the most frequent paragraphs, those of a document that touch
-    as one span. They are looked up in each task, so no key of the join is hot."""
-    made = StructType([*[rows.schema[name] for name in (*KEY, "begin", "end")], *StructType.fromDDL("kept_doc_id long, kept_begin int")])
+    """Later occurrences of the most frequent runs, those of a document that touch as one
+    span. They are looked up in each task, so no key of the join is hot."""
+    id_type = rows.schema["doc_id"].dataType
+    made = StructType([rows.schema["doc_id"], rows.schema["version"], StructField("span", _span_type(id_type))])
     digests = pa.array(list(frequent), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(made)
         for batch in batches:
             hits = batch.filter(pc.is_in(batch.column("digest"), digests))
-            out: list[list] = []
-            for doc_id, version, begin, end, digest in zip(*[column.to_pylist() for column in hits.columns]):
-                kept = frequent[digest]
-                if kept == (doc_id, version, begin):
+            out: list[tuple] = []
+            for doc_id, version, start, n, digest in zip(*[column.to_pylist() for column in hits.columns]):
+                kept_id, kept_version, kept = frequent[digest]
+                same = (doc_id, version) == (kept_id, kept_version)
+                if same and start == kept:
                     continue
-                if out and out[-1][:2] == [doc_id, version] and out[-1][2] <= begin <= out[-1][3]:
-                    out[-1][3] = max(end, out[-1][3])
+                clipped = same and start < kept + n
+                left, right = ({"doc_id": kept_id, "version": kept_version, "at": at} for at in (kept, kept + n))
+                span = {"start": kept + n if clipped else start, "end": start + n, "open": not clipped, "left": left, "right": right}
+                if out and out[-1][:2] == (doc_id, version) and _touches(out[-1][2], span):
+                    out[-1] = (doc_id, version, _joined(out[-1][2], span))
                 else:
-                    out.append([doc_id, version, begin, end, kept[0], kept[2]])
+                    out.append((doc_id, version, span))
             columns = list(zip(*out)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
 
-    return rows.select(*KEY, "begin", "end", "digest").mapInArrow(run, made)
+    return rows.select(*KEY, "start", "n_words", "digest").mapInArrow(run, made)
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, often: int = OFTEN) -> DataFrame:
-    """A row per passage to remove: doc_id, version, begin, end (code points), kept_doc_id,
-    kept_begin (the earliest occurrence of what the passage begins with).
+def _rank(place: dict) -> tuple:
+    return (place["doc_id"] is None, *([] if place["doc_id"] is None else [place["doc_id"]]), place["version"], place["at"])
 
-    Paragraphs that overlap or touch are one passage. Rows that agree in doc_id and text
-    are one document. A null doc_id ranks after all others; a null, empty or short text has no
-    paragraphs; other columns are ignored. First occurrences are found by an aggregate
-    that is combined in each task before its shuffle, so a passage of a third of all
-    documents is no hot group. Digests that repeat are joined back; those that occur
-    ``often`` or more, or make up more than a :data:`MAX_FREQUENT`-th of all
-    paragraphs where that is more, are sent to every task instead.
-    """
-    rows = stored(occurrences(docs, min_words), "paragraphs")
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "version", "begin")
+
+def _left_rank(span: dict) -> tuple:
+    return (span["start"], not span["open"], _rank(span["left"]))
+
+
+def _touches(one: dict, other: dict) -> bool:
+    return other["start"] <= one["end"] and one["start"] <= other["end"]
+
+
+def _joined(one: dict, other: dict) -> dict:
+    """Two spans as one: the left side of the one that begins first, the right side of the
+    one that ends last; of equals those of the earliest place that stays."""
+    a = min(one, other, key=_left_rank)
+    b = min(one, other, key=lambda span: (-span["end"], _rank(span["right"])))
+    return {"start": a["start"], "end": b["end"], "open": a["open"], "left": a["left"], "right": b["right"]}
+
+
+def merged(spans: Sequence[dict]) -> list[dict]:
+    """Spans that overlap or touch as one, in order."""
+    out: list[dict] = []
+    for span in sorted(spans, key=_left_rank):
+        if out and span["start"] <= out[-1]["end"]:
+            out[-1] = _joined(out[-1], span)
+        else:
+            out.append(span)
+    return out
+
+
+def _passages(docs: DataFrame, min_words: int, often: int) -> DataFrame:
+    """Per document with something to remove: doc_id, version, ``spans`` (to widen) each with
+    the words beside the places that stay, as hashes, nearest first."""
+    rows = stored(occurrences(docs, min_words), "runs")
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "version", "start")
     places = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("final"), F.count("*").alias("n"))
     several = stored(places.filter(F.col("first") != F.col("final")).select("digest", "first", "n"), "repeated")
     often = max(often, -(-rows.count() // MAX_FREQUENT))
     frequent = {
-        bytes(row.digest): (row.first.doc_id, bytes(row.first.version), row.first.begin)
+        bytes(row.digest): (row.first.doc_id, row.first.version, row.first.start)
         for row in several.filter(F.col("n") >= often).collect()
     }
-    met = rows.join(several.filter(F.col("n") < often), "digest").filter(rank != F.col("first"))
-    later = met.select(*KEY, "begin", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.begin").alias("kept_begin"))
+    met = _later(rows.join(several.filter(F.col("n") < often).drop("n"), "digest"))
     if frequent:
-        later = later.unionByName(_frequent_spans(rows, frequent))
-    found = F.struct("begin", "end", "kept_doc_id", "kept_begin")
-    # All paragraphs of one document, as many as its sentences at most.
-    spans = later.groupBy(*KEY).agg(F.array_sort(F.collect_set(found)).alias("spans"))
-    merged = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<begin:int,end:int,kept_doc_id:bigint,kept_begin:int>>)"),
-        _absorb,
-    )
-    return spans.select(*KEY, F.inline(merged))
+        met = met.unionByName(_frequent_spans(rows, frequent))
+    id_type = rows.schema["doc_id"].dataType
+    span_type = _span_type(id_type)
 
+    # All runs of one document, as many as its words at most.
+    @F.pandas_udf(ArrayType(span_type))
+    def merge(lists):
+        return lists.map(lambda spans: merged([_plain(span) for span in spans]))
 
-def _absorb(done, span):
-    """Add a span to the list of those before it, sorted by begin."""
-    top = F.element_at(done, -1)
-    grown = F.struct(
-        top["begin"].alias("begin"),
-        F.greatest(top["end"], span["end"]).alias("end"),
-        top["kept_doc_id"].alias("kept_doc_id"),
-        top["kept_begin"].alias("kept_begin"),
-    )
-    touches = (F.size(done) > 0) & (span["begin"] <= F.try_element_at(done, F.lit(-1))["end"])
-    return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(
-        F.concat(done, F.array(span))
-    )
+    spans = met.groupBy(*KEY).agg(F.collect_set("span").alias("spans")).select(*KEY, merge("spans").alias("spans"))
+    spans = stored(spans, "spans")
+    each = spans.select(*KEY, F.posexplode("spans").alias("i", "span"))
+    wanted = each.filter("span.open").select("span.left.*", F.lit(-1).alias("side")).union(each.select("span.right.*", F.lit(1).alias("side")))
+    beside = _contexts(docs, wanted, min_words)
+    for side, name in ((-1, "left"), (1, "right")):
+        own = beside.filter(F.col("side") == side).select(
+            *[F.col(c).alias(f"_{c}") for c in ("doc_id", "version", "at")], F.col("words").alias(f"{name}_words")
+        )
+        place = f"span.{name}"
+        same = (
+            F.col(f"{place}.doc_id").eqNullSafe(F.col("_doc_id"))
+            & (F.col(f"{place}.version") == F.col("_version"))
+            & (F.col(f"{place}.at") == F.col("_at"))
+        )
+        each = each.join(own, same, "left").drop("_doc_id", "_version", "_at")
+    both = F.struct("i", "span", "left_words", "right_words")
+    return each.groupBy(*KEY).agg(F.array_sort(F.collect_list(both)).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with repeated passages cut out of ``text``, and ``removed``:
-    the cut spans as begin and end in the original text, an empty list where none is. A
-    column of that name is replaced; all others stay as they are."""
-    spans = repeats(docs, min_words).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "_spans")
-    ship(docs.sparkSession)
+def _plain(span) -> dict:
+    """A span as it comes from Spark, in the same form as one made here."""
+    return {**{k: span[k] for k in ("start", "end", "open")}, "left": dict(span["left"]), "right": dict(span["right"])}
+
+
+def word_hash(word: bytes) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64))
+
+
+def _contexts(docs: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """doc_id, version, at, side, and the hashes of up to ``most`` words before or from ``at``."""
+    asked = wanted.distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "side")).alias("asked"))
+    asked = asked.toDF("_id", "_version", "asked")
+    rows = pick(docs, "doc_id", "text").filter("text is not null").withColumn("version", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+    met = rows.join(asked, same).select(*KEY, "text", "asked")
+    made = StructType([rows.schema["doc_id"], *StructType.fromDDL("version long, at int, side int, words array<long>")])
 
-    @F.pandas_udf("binary")
-    def version(texts):
-        return texts.map(lambda text: None if text is None else xxhash.xxh64_digest(text.encode()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(made)
+        for batch in sliced(batches, 200):
+            out = []
+            for doc_id, version, text, places in zip(*[column.to_pylist() for column in batch.columns]):
+                words = text.encode().lower().split()
+                for place in places:
+                    at = place["at"]
+                    near = words[max(at - most, 0) : at][::-1] if place["side"] < 0 else words[at : at + most]
+                    out.append((doc_id, version, at, place["side"], [word_hash(word) for word in near]))
+            columns = list(zip(*out)) if out else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
+    # Rows that agree are one document.
+    found = met.mapInArrow(run, made).dropDuplicates(["doc_id", "version", "at", "side"])
+    return stored(found, "beside")
 
-        return pd.Series([_cut(text, found) for text, found in zip(texts, spans)], index=texts.index, dtype=object)
 
-    none = F.expr("cast(array() as array<struct<begin:int,end:int>>)")
+def widened(text: str, spans: Sequence[dict]) -> list[tuple]:
+    """The passages to cut from a text: begin, end (code points), the doc_id that keeps the
+    first of each and the number of the word it begins with there."""
+    words = text.encode().lower().split()
+    grown = []
+    for item in spans:
+        span = _plain(item["span"])
+        start, end = span["start"], span["end"]
+        more = 0
+        if span["open"]:
+            for hashed in item["left_words"] or ():
+                if start - more < 1 or word_hash(words[start - more - 1]) != hashed:
+                    break
+                more += 1
+        span["start"], span["left"]["at"] = start - more, span["left"]["at"] - more
+        for hashed in item["right_words"] or ():
+            if end >= len(words) or word_hash(words[end]) != hashed:
+                break
+            end += 1
+        span["end"] = end
+        grown.append(span)
+    begins = [match.start() for match in _WORD.finditer(text)] + [len(text)]
+    return [(begins[s["start"]], begins[s["end"]], s["left"]["doc_id"], s["left"]["at"]) for s in merged(grown)]
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> tuple[DataFrame, int, int]:
+    """The rows of ``docs`` by position, with ``_spans`` last; the positions of doc_id and text."""
     names = docs.columns
     plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    text = F.col(f"_{names.index('text')}")
-    same = F.col(f"_{names.index('doc_id')}").eqNullSafe(F.col("_id")) & (F.col("_row_version") == F.col("_version"))
-    joined = plain.withColumn("_row_version", version(text)).join(spans, same, "left")
-    left = F.when(F.col("_spans").isNull(), text).otherwise(cut(text, "_spans"))
-    columns = {i: F.col(f"_{i}") for i in range(len(names)) if names[i] != "removed"} | {names.index("text"): left}
-    kept = [column.alias(names[i]) for i, column in sorted(columns.items())]
-    return joined.select(*kept, F.coalesce("_spans", none).alias("removed"))
-
-
-def _cut(text: str | None, spans) -> str | None:
-    if spans is None or text is None:
-        return text
-    out, at = [], 0
-    for span in spans:
-        out.append(text[at : span["begin"]])
-        at = span["end"]
-    return "".join([*out, text[at:]])
+    doc_id, text = names.index("doc_id"), names.index("text")
+    asked = spans.toDF("_id", "_version", "_spans")
+    same = F.col(f"_{doc_id}").eqNullSafe(F.col("_id")) & (F.xxhash64(f"_{text}") == F.col("_version"))
+    return plain.join(asked, same, how).drop("_id"), doc_id, text
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, often: int = OFTEN) -> DataFrame:
+    """A row per passage to remove: doc_id, version, begin, end (code points, up to the next
+    word), kept_doc_id, kept_word (the document that keeps what the passage begins with,
+    and the number of the word it begins with there).
+
+    Every passage of twice ``min_words`` less one words that an earlier document holds is found, and of
+    ``min_words`` where it has whole lines or sentences. What occurs again in a document while its first
+    occurrence goes on is cut from that one's end. Rows that agree in doc_id and text are
+    one document. A null doc_id ranks after all others; a null, empty or short text has no
+    passages; a very long one is read whole by one task; ties go to the smaller text hash; an empty table gives
+    no rows; other columns are ignored. First occurrences are found by an aggregate
+    that is combined in each task before its shuffle, so a passage of a third of all
+    documents is no hot group. Digests that repeat are joined back; those that occur
+    ``often`` or more, or make up more than a :data:`MAX_FREQUENT`-th of all
+    runs where that is more, are sent to every task instead.
+    """
+    met, *_ = _with_spans(pick(docs, "doc_id", "text"), _passages(docs, min_words, often), "inner")
+    id_field = pick(docs, "doc_id").schema["doc_id"]
+    made = StructType(
+        [id_field, *StructType.fromDDL("version long, begin int, end int"), StructField("kept_doc_id", id_field.dataType)]
+    ).add("kept_word", IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(made)
+        for batch in sliced(batches, 200):
+            out = []
+            for doc_id, text, version, spans in zip(*[column.to_pylist() for column in batch.columns]):
+                out += [(doc_id, version, *passage) for passage in widened(text, spans)]
+            columns = list(zip(*out)) if out else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
+
+    return met.mapInArrow(run, made).dropDuplicates([*KEY, "begin"])
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut out of ``text``, and ``removed``:
+    the cut spans as begin and end in the original text, an empty list where none is. A
+    column of that name is replaced; all others stay as they are. What counts as repeated,
+    and odd rows, are as in :func:`repeats`; a null text stays null."""
+    met, _, text = _with_spans(docs, _passages(docs, min_words, OFTEN), "left")
+    names, n = docs.columns, len(docs.columns)
+    removed = StructField("_removed", ArrayType(StructType.fromDDL("begin int, end int")))
+    made = StructType([*met.schema.fields[:n], removed])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(made)
+        for batch in sliced(batches, 200):
+            texts, cuts = batch.column(text).to_pylist(), []
+            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                found = widened(texts[i], spans) if spans else []
+                for begin, end, *_ in reversed(found):
+                    texts[i] = texts[i][:begin] + texts[i][end:]
+                cuts.append([{"begin": begin, "end": end} for begin, end, *_ in found])
+            columns = [*batch.columns[:n], pa.array(cuts, arrow.field("_removed").type)]
+            columns[text] = pa.array(texts, arrow.field(f"_{text}").type)
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    cut = met.mapInArrow(run, made)
+    kept = [F.col(f"_{i}").alias(name) for i, name in enumerate(names) if name != "removed"]
+    return cut.select(*kept, F.col("_removed").alias("removed"))

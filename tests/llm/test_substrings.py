@@ -1,10 +1,12 @@
+import hashlib
 import random
 import re
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from coppice.llm.substrings import _UNIT, paragraphs, repeats, without_repeats
+from coppice.llm.substrings import _UNIT, repeats, runs, without_repeats
 
 MIN = 6
 
@@ -17,37 +19,83 @@ def test_units_lose_nothing(text):
     assert all(re.fullmatch(r"(?s).*([.!?] |\n)", unit) for unit in units[:-1])
 
 
+def runs_of(text, least):
+    """(start, end) of each run, by the words of the rule, one place at a time."""
+    counts = [len(unit.encode().split()) for unit in _UNIT.findall(text)]
+    words = text.encode().lower().split()
+    out, before = set(), 0
+    for i, n in enumerate(counts):
+        end = before
+        for more in counts[i:]:
+            end += more
+            if end - before >= least:
+                break
+        if n and end - before >= least:
+            out.add((before, end))
+        before += n
+    rank = [hashlib.md5(word).hexdigest()[:8] for word in words]
+    places = len(words) - least + 1
+    for first in range(max(places - least + 1, min(places, 1))):
+        window = range(first, min(first + least, places))
+        start = min(window, key=lambda j: (rank[j], j))
+        out.add((start, start + least))
+    return words, sorted(out)
+
+
+def version(text):
+    value = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return value - (1 << 64) if value >> 63 else value
+
+
+def merge(spans):
+    """Spans that overlap or touch as one; see the operator for which sides it takes."""
+    out = []
+    for span in sorted(spans):
+        if out and span[0] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], span[1])
+            out[-1]["of"].append(span)
+        else:
+            out.append({"start": span[0], "end": span[1], "of": [span]})
+    return out
+
+
 def brute(rows, least):
-    """Spans to remove per (doc_id, text), by a dictionary of all paragraphs."""
-    first, places = {}, []
-    docs = sorted({(i is None, i or 0, t) for i, t in rows if t})
-    import xxhash
-
-    docs.sort(key=lambda d: (d[0], d[1], xxhash.xxh64_digest(d[2].encode())))
-    for none, i, text in docs:
-        key = (None if none else i, text)
-        units = _UNIT.findall(text)
-        at = 0
-        for a, unit in enumerate(units):
-            words, end = [], at
-            for b in range(a, len(units)):
-                words += units[b].encode().lower().split()
-                end += len(units[b])
-                if len(words) >= least:
-                    break
-            if len(words) >= least and unit.split():
-                places.append((key, at, end, b" ".join(words)))
-                first.setdefault(b" ".join(words), (key, at))
-            at += len(unit)
-    spans = {}
-    for key, a, b, run in places:
-        if first[run] != (key, a):
-            found = spans.setdefault(key, [])
-            if found and a <= found[-1][1]:
-                found[-1][1] = max(b, found[-1][1])
-            else:
-                found.append([a, b, first[run][0][0], first[run][1]])
-    return spans
+    """Spans to remove per (doc_id, text): begin, end, kept_doc_id, kept_word."""
+    docs = {(i is None, i or 0, version(t)): (i, t) for i, t in rows if t}
+    found = {key: runs_of(text, least) for key, (_, text) in docs.items()}
+    first = {}
+    for key in sorted(docs):
+        words, runs = found[key]
+        for a, b in runs:
+            first.setdefault(tuple(words[a:b]), (key, a))
+    out = {}
+    for key, (doc_id, text) in docs.items():
+        words, runs = found[key]
+        spans = []
+        for a, b in runs:
+            kept, at = first[tuple(words[a:b])]
+            if (kept, at) != (key, a):
+                clipped = kept == key and a < at + b - a
+                spans.append((at + b - a if clipped else a, b, clipped, kept, at, at + b - a))
+        grown = []
+        for span in merge(spans):
+            start, clipped, kept, at = min((a, clipped, kept, at) for a, b, clipped, kept, at, _ in span["of"])
+            _, right, to = min((-b, kept, to) for a, b, _, kept, _, to in span["of"])
+            end, left = span["end"], 0
+            while not clipped and left < least and start - left > 0 and at - left > 0 and words[start - left - 1] == found[kept][0][at - left - 1]:
+                left += 1
+            more, there = 0, found[right][0]
+            while more < least and end + more < len(words) and to + more < len(there) and words[end + more] == there[to + more]:
+                more += 1
+            grown.append((start - left, end + more, clipped, kept, at - left))
+        begins = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
+        spans = []
+        for span in merge(grown):
+            _, _, kept, at = min((a, clipped, kept, at) for a, b, clipped, kept, at in span["of"])
+            spans.append([begins[span["start"]], begins[span["end"]], docs[kept][0], at])
+        if spans:
+            out[doc_id, text] = spans
+    return out
 
 
 def made_rows(seed):
@@ -67,7 +115,7 @@ def test_spans_and_cuts_as_by_brute_force(make, odd, odd_rows, empty):
     for docs, rows in [(make(made_rows(seed)), made_rows(seed)) for seed in range(3)] + [(odd, odd_rows)]:
         want = brute(rows, MIN)
         for often in (500, 5, 1):
-            found = [(r.doc_id, r.begin, r.end, r.kept_doc_id, r.kept_begin) for r in repeats(docs, MIN, often).collect()]
+            found = [(r.doc_id, r.begin, r.end, r.kept_doc_id, r.kept_word) for r in repeats(docs, MIN, often).collect()]
             assert sorted(found, key=repr) == sorted(((key[0], *span) for key, spans in want.items() for span in spans), key=repr)
         cut = without_repeats(docs, MIN).collect()
         expected = []
@@ -82,20 +130,57 @@ def test_spans_and_cuts_as_by_brute_force(make, odd, odd_rows, empty):
     assert without_repeats(odd).columns == [*odd.columns, "removed"]
 
 
+def words_of(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+
+
 def test_passage_inside_a_line_is_found(make):
-    rng = random.Random(9)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    passage = " ".join(" ".join(word() for _ in range(9)) + "." for _ in range(7))
-    rows = [(i, " ".join(word() for _ in range(40)) + " " + passage + " " + " ".join(word() for _ in range(40))) for i in range(4)]
-    rows.append((9, " ".join(word() for _ in range(90))))
+    """Word by word, from the middle of a sentence to the middle of another."""
+    passage = " ".join(" ".join(words_of(9, 90 + i)) + "." for i in range(7))
+    rows = [(i, " ".join(words_of(40, i)) + " " + passage + " " + " ".join(words_of(40, 50 + i))) for i in range(4)]
+    rows.append((9, " ".join(words_of(90, 200))))
     found = repeats(make(rows)).collect()
-    assert sorted(r.doc_id for r in found) == [1, 2, 3] and {r.kept_doc_id for r in found} == {0}
+    assert sorted(r.doc_id for r in found) == [1, 2, 3] and {(r.kept_doc_id, r.kept_word) for r in found} == {(0, 40)}
     for r in found:
-        # All but the sentence that the text before runs into.
-        assert dict(rows)[r.doc_id][r.begin : r.end].strip() == passage.split(". ", 1)[1]
+        assert dict(rows)[r.doc_id][r.begin : r.end] == passage + " "
+    left = {r.doc_id: r.text for r in without_repeats(make(rows)).collect()}
+    assert left[2] == " ".join(words_of(40, 2) + words_of(40, 52)) and left[0] == rows[0][1] and left[9] == rows[4][1]
+
+
+def test_every_passage_of_49_words_is_found_wherever_it_stands(make):
+    """No line or sentence end, other words before and behind, and each length."""
+    rows, passages = [], {}
+    for i in range(60):
+        passage = words_of(49 + i % 30, 1000 + i)
+        passages[100 + i] = passage
+        for doc_id in (i, 100 + i):
+            rows.append((doc_id, " ".join(words_of(doc_id % 7, 3 * doc_id) + passage + words_of(doc_id % 11, 3 * doc_id + 1))))
+    found = {r.doc_id: dict(rows)[r.doc_id][r.begin : r.end].split() for r in repeats(make(rows)).collect()}
+    assert found == passages
 
 
-def test_paragraphs_reach_the_minimum():
+def test_shorter_passages_without_line_ends_may_stay(make):
+    rows = [(i, " ".join(words_of(10, i) + words_of(24, 77) + words_of(30, 30 + i))) for i in range(20)]
+    assert repeats(make(rows)).collect() == []
+
+
+def test_first_occurrence_stays_whole_where_it_goes_on_repeating(make):
+    """Words that repeat with a short period: what is cut begins where the first run ends."""
+    text = "x " + " ".join(["la", "li", "lu"] * 40) + " y"
+    (row,) = without_repeats(make([(1, text)])).collect()
+    assert row.text.split()[:26] == text.split()[:26] and row.text.split()[-1] == "y" and len(row.text.split()) < 60
+
+
+def test_runs():
     text = "a b c. d e. f g h i. j"
-    assert [(text[a:b], n) for a, b, n, _ in paragraphs(text, 4)] == [("a b c. d e. ", 5), ("d e. f g h i. ", 6), ("f g h i. ", 4)]
-    assert paragraphs("", 1) == [] and paragraphs("a b", 3) == []
+    words, found = runs(text, 4)
+    assert words == [b"a", b"b", b"c.", b"d", b"e.", b"f", b"g", b"h", b"i.", b"j"] and found == runs_of(text, 4)[1]
+    assert {(0, 5), (3, 9), (5, 9)} <= set(found)
+    assert runs("", 1) == ([], []) and runs("a b", 3)[1] == []
+
+
+def test_text_ids(spark):
+    text = " ".join(words_of(60, 5))
+    out = repeats(spark.createDataFrame([("b", text), ("a", text), (None, text)], "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.kept_doc_id, r.begin, r.end) for r in out) == [("None", "a", 0, len(text)), ("b", "a", 0, len(text))]
