@@ -1,27 +1,30 @@
 """N-gram Jaccard join: documents whose sets of word n-grams overlap enough, all of them.
 
-1. Every n-gram of the corpus is counted in a table of fixed size, by hash. Rare ones
-   first, that gives an order of all n-grams.
+1. Every n-gram of the corpus meets its holders by hash, in packed lists, and so its exact
+   number of holders is known; equal sets are one holder. Rare ones first, that gives an order of all
+   n-grams. Those of very many rows, by a table of counters of fixed size, are ordered
+   last, by that table, and are not gathered.
 2. Two sets that overlap enough share one of the first n-grams, in that order, of each
    (the prefix: what may be missing, and one more). Sets that share one form a tile;
-   since the order puts frequent n-grams last, a passage many documents share makes no
-   tile unless they hold little else. Equal sets are one class and take part once.
+   a set with enough n-grams of its own is in none, and a passage many documents share makes no
+   tile unless they hold little else.
 3. In a tile, cut by size, sets meet as hashed bitmaps: bits that one has and the other
    lacks bound the overlap from above. A tile too large for a task is cut in blocks, and
    blocks meet in pairs.
 4. What the bound leaves is decided by intersecting the sorted n-gram arrays. First each
    class with its likeliest partner only, which links most of a group without all its
-   pairs; then every pair of a tile that is still in different components.
+   pairs; then, inside the block, pairs that are still in different components, and a
+   block returns the links that join components, fewer than it has members.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -30,20 +33,25 @@ from coppice.llm.common import blank_words, pick, ship, stored
 from coppice.llm.components import connected
 
 WORDS, PERCENT = 5, 75
-# Counters of the order table, as a power of two: 2 MB, whatever the corpus.
+# Counters that tell the most frequent n-grams, as a power of two: 2 MB, whatever the corpus.
 TABLE_BITS = 19
+# Bits of an n-gram's hash by which its holders meet.
+KEY_BITS = 48
+# N-grams gathered in one list and in one group of lists, and documents in one list.
+LIST_GRAMS, GROUP_GRAMS, LIST_DOCS = 2_000_000, 1_000_000, 60_000
 # Bits of a signature per n-gram, at least.
 DENSITY = 4
-# Members of a tile that meet in one task; a larger tile is cut in blocks.
-TILE = 1024
-# N-grams whose counter is so far above the mean make tiles of their own, undealt.
+# Members of a tile, and n-grams of them, that meet in one task; a larger tile is cut in blocks.
+TILE, BLOCK_GRAMS = 1024, 1_000_000
+# N-grams whose counter is so far above the mean are ordered last and make tiles undealt.
 HOT = 1_000_000
+_LAST = 1 << 40
 # Links checked beside one center in a task.
 STAR = 2048
-# Involved classes that may be sent to every task, at 40 bytes or so each.
-MAX_SENT = 400_000
+# Places of involved classes that may be sent to every task, at 40 bytes or so each.
+MAX_SENT = 200_000
 # Word hashes a worker keeps.
-MAX_KEPT = 300_000
+MAX_KEPT = 50_000
 # Classes, tiles or pairs that a task remembers, so as not to pass them on twice.
 MAX_SEEN = 200_000
 _SUM_AT_A_TIME = 8
@@ -113,20 +121,49 @@ def similar(common: int | np.ndarray, n_a, n_b, percent: int):
     return 100 * common >= percent * (n_a + n_b - common)
 
 
-def _counts(docs: DataFrame, words: int) -> np.ndarray:
-    """How often each counter's n-grams occur in the whole corpus. The tasks' tables are
-    added some at a time, level by level, so that no task holds many."""
+def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """Per row: doc_id, version (hash of the text), n, class and, on the first row of a class in
+    each task, its signature. And how often each counter's n-grams occur in the whole corpus."""
     size = 1 << TABLE_BITS
+    rows = pick(docs, "doc_id", "text").withColumn("version", F.xxhash64("text"))
+    id_field = rows.schema["doc_id"]
+    made = StructType([id_field, *StructType.fromDDL("version long, n long, class long, bitmap binary, counts binary")])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, np.int64)
+    def one(grams: np.ndarray, seen: set[int]) -> tuple:
+        if not len(grams):
+            return 0, None, None, None
+        key = class_of(grams)
+        if key in seen:
+            return len(grams), key, None, None
+        if len(seen) < MAX_SEEN:
+            seen.add(key)
+        return len(grams), key, signature(grams), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(made)
+        table, seen = np.zeros(size, np.int64), set()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                found = [shingles(text, words) for text in batch.column("text").slice(start, 1000).to_pylist()]
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                found = [shingles(text, words) for text in part.column("text").to_pylist()]
                 slots = (np.concatenate(found) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
                 table += np.bincount(slots, minlength=size)
+                columns = list(zip(*[one(grams, seen) for grams in found]))
+                arrays = [pa.array(values, field.type) for values, field in zip(columns, list(arrow)[2:])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), *arrays], schema=arrow)
         if table.any():
-            yield pa.RecordBatch.from_pydict({"counts": pa.array([_packed(table)], pa.binary())})
+            last = [pa.nulls(1, field.type) for field in arrow]
+            last[-1] = pa.array([_packed(table)], pa.binary())
+            yield pa.RecordBatch.from_arrays(last, schema=arrow)
+
+    found = stored(rows.mapInArrow(run, made), "sets")
+    tables = found.filter("counts is not null").select("counts")
+    return found.filter("counts is null").drop("counts"), _added(tables)
+
+
+def _added(tables: DataFrame) -> np.ndarray:
+    """The tasks' tables added up, some at a time, level by level, so that no task holds many."""
+    size = 1 << TABLE_BITS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size, np.int64)
@@ -135,13 +172,12 @@ def _counts(docs: DataFrame, words: int) -> np.ndarray:
                 table += _unpacked(data.as_py())
         yield pa.RecordBatch.from_pydict({"counts": pa.array([_packed(table)], pa.binary())})
 
-    tables = stored(pick(docs, "text").mapInArrow(count, "counts binary"), "counts")
     n = tables.count()
-    while n > 1:
+    while n > _SUM_AT_A_TIME:
         n = -(-n // _SUM_AT_A_TIME)
         tables = stored(tables.repartition(n).mapInArrow(add, "counts binary"), "counts")
     total = np.zeros(size, np.int64)
-    for row in tables.collect():  # one row, or one per partition that got none
+    for row in tables.toLocalIterator():
         total += _unpacked(row.counts)
     return total
 
@@ -154,41 +190,171 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint32 if len(data) == 4 << TABLE_BITS else np.int64).astype(np.int64)
 
 
-def _sets(docs: DataFrame, counts: np.ndarray, words: int, percent: int, hot: int) -> DataFrame:
-    """Per row: doc_id, n, class; and, on the first row of a class in each task, its
-    prefix, those of the prefix that are hot, and its signature. Narrow."""
-    rows = pick(docs, "doc_id", "text")
-    made = StructType.fromDDL("n long, class long, prefix array<long>, hot array<long>, bitmap binary")
-    schema = StructType([rows.schema["doc_id"], *made])
-    above = counts.mean() + max(hot, 8 * counts.mean() ** 0.5)
-    small = counts.astype(np.uint32) if counts.max() < 1 << 32 else counts
+def _lists(docs: DataFrame, counts: np.ndarray, words: int, percent: int, hot: int, groups: int) -> DataFrame:
+    """Packed lists of n-grams with their holders, by group of hashes: group, data; narrow.
 
-    def one(text: str | None, seen: set[int]) -> tuple:
-        grams = shingles(text, words)
-        if not len(grams):
-            return 0, None, None, None, None
-        key = class_of(grams)
-        if key in seen:
-            return len(grams), key, None, None, None
-        if len(seen) < MAX_SEEN:
-            seen.add(key)
-        often = small[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-        first = np.lexsort((grams, often))[: prefix_size(len(grams), percent)]
-        is_hot = often[first] > above
-        chosen = grams[first].view(np.int64)
-        return len(grams), key, chosen[~is_hot], chosen[is_hot], signature(grams)
+    A class comes once per task, as long as the memory for that lasts. Frequent n-grams
+    are packed with their order, in lists of their own, which are not gathered by n-gram.
+    """
+    rows = pick(docs, "text")
+    above = counts.mean() + max(hot, 8 * counts.mean() ** 0.5)
+    often = np.flatnonzero(counts > above)
+    is_often = np.zeros(len(counts), bool)
+    is_often[often] = True
+    order = dict(zip(often.tolist(), counts[often].tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(made)
         seen: set[int] = set()
+        waiting = _Waiting(groups)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                columns = list(zip(*[one(text, seen) for text in part.column("text").to_pylist()]))
-                arrays = [pa.array(values, field.type) for values, field in zip(columns, arrow)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=schema.names)
+            for start in range(0, batch.num_rows, 500):
+                for text in batch.column("text").slice(start, 500).to_pylist():
+                    grams = shingles(text, words)
+                    if not len(grams):
+                        continue
+                    key = class_of(grams)
+                    if key in seen:
+                        continue
+                    if len(seen) < MAX_SEEN:
+                        seen.add(key)
+                    slots = (grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+                    last = is_often[slots]
+                    keys = np.unique(grams >> np.uint64(64 - KEY_BITS))
+                    # Of so many first keys the rare ones are not known yet; of all keys so many are left.
+                    need = prefix_size(len(grams), percent) - len(keys)
+                    rare = np.unique(grams[~last] >> np.uint64(64 - KEY_BITS)) if last.any() else keys
+                    waiting.add(key, len(grams), need, rare)
+                    if last.any():
+                        late = {int(g >> np.uint64(64 - KEY_BITS)): order[int(s)] for g, s in zip(grams[last], slots[last])}
+                        waiting.add_late(key, len(grams), need, {k: v for k, v in late.items() if k not in set(rare.tolist())})
+                    if waiting.full():
+                        yield from waiting.out()
+        yield from waiting.out()
+
+    return rows.mapInArrow(run, "group int, data binary")
+
+
+class _Waiting:
+    """Holders and their n-grams until there are enough for lists."""
+
+    def __init__(self, groups: int):
+        self.groups = groups
+        self.clear()
+
+    def clear(self) -> None:
+        self.holders, self.keys, self.late, self.n = [], [], [], 0
+
+    def add(self, key: int, n: int, need: int, keys: np.ndarray) -> None:
+        self.holders.append((key, n, need))
+        self.keys.append(keys)
+        self.n += len(keys)
+
+    def add_late(self, key: int, n: int, need: int, late: dict[int, int]) -> None:
+        self.late += [(key, n, need, gram, _LAST + often) for gram, often in late.items()]
+
+    def full(self) -> bool:
+        return self.n >= LIST_GRAMS or len(self.holders) >= LIST_DOCS
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if not self.holders:
+            return
+        holders = np.array(self.holders, np.int64)
+        keys = np.concatenate(self.keys)
+        owner = np.repeat(np.arange(len(holders), dtype=np.uint16), [len(k) for k in self.keys])
+        group = group_of(keys, self.groups)
+        places = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[places], np.arange(self.groups + 1))
+        names, data = [], []
+        for g in range(self.groups):
+            at = places[edges[g] : edges[g + 1]]
+            if len(at):
+                names.append(g)
+                data.append(packed_list(keys[at], owner[at], holders))
+        if self.late:
+            names.append(int(holders[0, 0] % self.groups))
+            data.append(b"L" + np.array(self.late, np.int64).tobytes())
+        self.clear()
+        for start in range(0, len(names), 64):
+            columns = {"group": pa.array(names[start : start + 64], pa.int32()), "data": pa.array(data[start : start + 64], pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+
+def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each key, even in size."""
+    return ((keys >> np.uint64(16)) * np.uint64(groups) >> np.uint64(KEY_BITS - 16)).astype(np.int64)
+
+
+def packed_list(keys: np.ndarray, owner: np.ndarray, holders: np.ndarray) -> bytes:
+    """Keys of six bytes, a holder's number for each, and the holders that occur."""
+    present, number = np.unique(owner, return_inverse=True)
+    table = holders[present]
+    sizes = np.array([len(keys), len(present)], np.int64)
+    parts = [(keys >> np.uint64(16)).astype(np.uint32), (keys & np.uint64(0xFFFF)).astype(np.uint16), number.astype(np.uint16)]
+    parts += [table[:, 0], table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)]
+    return b"K" + sizes.tobytes() + b"".join(part.tobytes() for part in parts)
+
+
+def unpacked_list(data: bytes) -> np.ndarray:
+    """Rows of class, n, need, key and, for frequent n-grams, their order (else 0)."""
+    if data[:1] == b"L":
+        return np.frombuffer(data, np.int64, offset=1).reshape(-1, 5)
+    n, m = (int(v) for v in np.frombuffer(data, np.int64, 2, 1))
+    at, arrays = 17, []
+    for kind, size in ((np.uint32, n), (np.uint16, n), (np.uint16, n), (np.int64, m), (np.int32, m), (np.int32, m)):
+        arrays.append(np.frombuffer(data, kind, size, at))
+        at += size * np.dtype(kind).itemsize
+    high, low, number, key, sizes, need = arrays
+    out = np.zeros((n, 5), np.int64)
+    out[:, 0], out[:, 1], out[:, 2] = key[number], sizes[number], need[number]
+    out[:, 3] = (high.astype(np.int64) << 16) | low
+    return out
+
+
+def held_by_several(rows: np.ndarray) -> np.ndarray:
+    """Of the rows of whole groups, those of keys with two classes or more, once each, with
+    the number of classes as their order."""
+    rows = rows[np.lexsort((rows[:, 0], rows[:, 3]))]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:, [0, 3]] != rows[:-1, [0, 3]]).any(axis=1)
+    rows = rows[first]
+    starts = np.flatnonzero(np.concatenate(([True], rows[1:, 3] != rows[:-1, 3]))) if len(rows) else np.zeros(0, np.int64)
+    holders = np.diff(np.append(starts, len(rows)))
+    rows = rows.copy()
+    rows[:, 4] = np.repeat(holders, holders)
+    return rows[rows[:, 4] > 1]
+
+
+def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int, hot: int) -> DataFrame:
+    """Per class that may have a partner: class, n, its prefix without n-grams of its own, and
+    those of the prefix that are frequent."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(4 * partitions, -(-int(counts.sum()) // GROUP_GRAMS))
+    dealt = _lists(docs, counts, words, percent, hot, groups).repartition(max(partitions, groups // 4), "group")
 
-    return stored(rows.mapInArrow(run, schema), "sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for group, data in zip(batch.column("group").to_pylist(), batch.column("data").to_pylist()):
+                lists.setdefault(-1 if data[:1] == b"L" else group, []).append(data)
+        for group in list(lists):
+            rows = np.concatenate([unpacked_list(data) for data in lists.pop(group)])
+            rows = np.unique(rows, axis=0) if group < 0 else held_by_several(rows)
+            for start in range(0, len(rows), 100_000):
+                columns = zip(("class", "n", "need", "gram", "often"), rows[start : start + 100_000].T)
+                yield pa.RecordBatch.from_pydict({name: pa.array(np.ascontiguousarray(c), pa.int64()) for name, c in columns})
+
+    shared = dealt.mapInArrow(run, "class long, n long, need long, gram long, often long")
+    own = Window.partitionBy("class")
+    # A frequent n-gram comes once from each task that met the class.
+    ranked = shared.dropDuplicates(["class", "gram"]).select(
+        "*", F.row_number().over(own.orderBy("often", "gram")).alias("place"), F.count("*").over(own).alias("shared")
+    )
+    chosen = ranked.filter(F.col("place") <= F.col("need") + F.col("shared"))
+    late = F.col("often") >= _LAST
+    return chosen.groupBy("class", "n").agg(
+        F.collect_list(F.when(~late, F.col("gram"))).alias("prefix"), F.collect_list(F.when(late, F.col("gram"))).alias("hot")
+    )
 
 
 def _tiles(sets: DataFrame, most: int = 100_000) -> DataFrame:
@@ -260,10 +426,11 @@ def _members(tiles) -> pa.RecordBatch:
 def _blocks(tiles: DataFrame, size: int) -> DataFrame:
     """Members dealt to the blocks they meet in: block, side, class, n.
 
-    A tile of more than ``size`` members is cut by hash, and each piece meets itself and
+    A tile of more than ``size`` members, or of very many n-grams, is cut by hash, and each piece meets itself and
     every other one; pieces of one block are told apart by ``side``.
     """
-    counted = tiles.groupBy("tile").agg(F.ceil(F.count("*") / size).cast("int").alias("pieces"))
+    pieces = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    counted = stored(tiles.groupBy("tile").agg(pieces.alias("pieces")), "sizes")
     cut = tiles.join(counted, "tile").withColumn("piece", F.pmod(F.xxhash64("class", "tile"), F.col("pieces")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     met = cut.withColumn("other", other).select(
@@ -300,48 +467,116 @@ class Members:
         return out
 
 
-def _meet(blocks: DataFrame, maps: DataFrame, percent: int, roots: bool) -> DataFrame:
-    """Pairs of a block that the bound allows: a, b, bound. Signatures join their members
-    here, so that only those of members that meet are moved.
+def _band(n: np.ndarray, side: np.ndarray, i: int, percent: int) -> tuple[int, np.ndarray]:
+    """Of the sets before one by size, the first that is large enough, and which meet it."""
+    low = int(np.searchsorted(n[:i], -(-percent * n[i] // 100)))
+    return low, (side[low:i] == 0) | (side[low:i] != side[i])
 
-    Without ``roots`` only the likeliest partner of each class among those before it by
-    size; with them every pair whose roots differ.
-    """
+
+def _likeliest(blocks: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Per class of a block its likeliest partner among those before it by size that the bound
+    allows: a, b, bound. Signatures join their members here, so that only those of members that meet are moved."""
 
     def compare(rows: dict[str, list]) -> list[tuple]:
         order = np.lexsort((rows["class"], rows["n"]))
         key, n, side = (np.array(rows[name], np.int64)[order] for name in ("class", "n", "side"))
-        root = np.array(rows["root"], np.int64)[order] if roots else key
         members = Members(n, [np.frombuffer(rows["bitmap"][k], np.uint8) for k in order])
         out = []
         for i in range(1, len(key)):
-            # Smaller sets that are large enough: one band of sizes.
-            low = int(np.searchsorted(n, -(-percent * n[i] // 100)))
-            meet = (root[low:i] != root[i]) & (key[low:i] != key[i]) & ((side[low:i] == 0) | (side[low:i] != side[i]))
+            low, meet = _band(n, side, i, percent)
+            meet &= key[low:i] != key[i]
             if not meet.any():
                 continue
             bound = members.bounds(i, low)
             fits = np.flatnonzero(meet & similar(bound, n[i], n[low:i], percent))
-            if len(fits) and not roots:
+            if len(fits):
                 share = bound[fits] / (n[i] + n[low + fits] - bound[fits])
-                fits = fits[[int(np.argmax(share))]]
-            out += [(int(key[low + f]), int(key[i]), int(bound[f])) for f in fits]
+                best = fits[int(np.argmax(share))]
+                out.append((int(key[low + best]), int(key[i]), int(bound[best])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
+        # The best of each class so far; tiles overlap, and a class leaves a task once if the memory for that lasts.
+        best: dict[int, tuple[float, int]] = {}
         for rows in _groups(batches, ["block"]):
-            # Tiles overlap; a pair leaves a task once, as long as the memory for that lasts.
-            found = [pair for pair in compare(rows) if pair not in seen]
-            if len(seen) < MAX_SEEN:
-                seen.update(found)
+            for a, b, bound in compare(rows):
+                best[b] = max(best.get(b, (0, 0)), (bound, a))
+            if len(best) >= MAX_SEEN:
+                yield _pairs([(a, b, bound) for b, (bound, a) in best.items()], ("a", "b", "bound"))
+                best = {}
+        yield _pairs([(a, b, bound) for b, (bound, a) in best.items()], ("a", "b", "bound"))
+
+    dealt = blocks.join(maps, "class").select("block", "side", "class", "n", "bitmap")
+    dealt = dealt.repartition("block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "a long, b long, bound long")
+
+
+def _pairs(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
+
+
+def spanning(key: np.ndarray, n: np.ndarray, side: np.ndarray, root: np.ndarray, grams: list[np.ndarray], percent: int, failed: set) -> list[tuple]:
+    """Links of a block that join components, by exact intersection of what the bound leaves;
+    fewer than members. Members come by size; ``failed`` remembers pairs that are not similar."""
+    members = Members(n, [np.frombuffer(signature(g), np.uint8) for g in grams])
+    root = root.copy()
+    out = []
+    for i in range(1, len(key)):
+        low, meet = _band(n, side, i, percent)
+        if not (meet & (root[low:i] != root[i])).any():
+            continue
+        fits = low + np.flatnonzero(meet & similar(members.bounds(i, low), n[i], n[low:i], percent))
+        for j in fits.tolist():
+            pair = (int(key[j]), int(key[i]))
+            if root[j] == root[i] or pair in failed:
+                continue
+            if similar(len(np.intersect1d(grams[j], grams[i], assume_unique=True)), n[j], n[i], percent):
+                out.append(pair)
+                root[root == root[i]] = root[j]
+            elif len(failed) < MAX_SEEN:
+                failed.add(pair)
+    return out
+
+
+def _joining(blocks: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components, from blocks whose members have ``root``. The
+    n-grams of the members come to the block, and no pair leaves it unverified."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed: set[tuple] = set()
+        done: set[tuple] = set()
+        for rows in _groups(batches, ["block"]):
+            order = np.lexsort((rows["class"], rows["n"]))
+            key, n, side, root = (np.array(rows[name], np.int64)[order] for name in ("class", "n", "side", "root"))
+            grams = [np.frombuffer(rows["grams"][k], np.uint64) for k in order]
+            found = [pair for pair in spanning(key, n, side, root, grams, percent, failed) if pair not in done]
+            if len(done) < MAX_SEEN:
+                done.update(found)
             if found:
-                a, b, bound = zip(*found)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "bound": pa.array(bound, pa.int64())})
+                yield _pairs(found, ("a", "b"))
 
-    columns = ["block", "side", "class", "n", "bitmap", *(["root"] if roots else [])]
-    dealt = blocks.join(maps, "class").select(columns).repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a long, b long, bound long")
+    columns = ["block", "side", "class", "n", "root", "grams"]
+    dealt = blocks.join(arrays, "class").select(columns).repartition("block").sortWithinPartitions("block")
+    return stored(dealt.mapInArrow(run, "a long, b long"), "joining")
+
+
+def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """class and its sorted n-grams (eight bytes each), from the text of the row that stands for it."""
+    rows = pick(docs, "doc_id", "text")
+    asked = wanted.select("class", F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+    same = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
+    met = rows.join(asked, same).select("class", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                grams = [shingles(text, words).tobytes() for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(grams, pa.binary())], names=["class", "grams"])
+
+    # Rows that agree stand for one class together.
+    return stored(met.mapInArrow(run, "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams")), "grams")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, list]]:
@@ -380,11 +615,14 @@ def _checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     centers = pieces.select(
         F.col("a").alias("class"), F.col("a").alias("star"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
     )
-    places = leaves.union(centers).join(classes.select("class", F.col("doc_id").alias("_id")), "class")
-    places = stored(places.groupBy("_id", "class").agg(F.collect_list(F.struct("star", "piece")).alias("places")), "places")
-    wanted = F.broadcast(places) if places.count() <= MAX_SENT else places
+    stands = classes.select("class", F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+    places = stored(leaves.union(centers).join(stands, "class"), "places")
+    few = places.count() <= MAX_SENT
+    places = places.groupBy("_id", "_version", "class").agg(F.collect_list(F.struct("star", "piece")).alias("places"))
+    wanted = F.broadcast(places) if few else places
     texts = pick(docs, "doc_id", "text")
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("_id"))).select("class", "text", F.explode("places").alias("place"))
+    same = texts["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
+    texts = texts.join(wanted, same).select("class", "text", F.explode("places").alias("place"))
     dealt = texts.select("place.*", "class", "text").repartition("star", "piece")
     dealt = dealt.sortWithinPartitions("star", "piece", (F.col("class") != F.col("star")).cast("int"), "class")
 
@@ -398,8 +636,6 @@ def _checked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
                 if key == done:
                     continue
                 grams = shingles(text, words)
-                if class_of(grams) != key:
-                    continue  # another text under the same doc_id
                 done = key
                 if key == star:
                     center = grams
@@ -424,13 +660,16 @@ def similar_groups(
     others; repeated rows each give a row and are linked; other columns are ignored.
     """
     ship(docs.sparkSession)
-    sets = _sets(docs, _counts(docs, words), words, percent, hot)
-    classes = stored(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")
-    blocks = _blocks(_tiles(sets), tile)
-    maps = sets.filter("bitmap is not null").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
-    maps = stored(maps.join(blocks.select("class").distinct(), "class"), "signatures")
-
-    likeliest = _meet(blocks, maps, percent, roots=False).groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
+    sets, counts = _sets(docs, words)
+    known = sets.filter("class is not null")
+    stands = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")).alias("stands")
+    classes = known.groupBy("class").agg(stands).select("class", "stands.doc_id", "stands.version")
+    classes = stored(classes, "classes")
+    blocks = _blocks(_tiles(_prefixes(docs, counts, words, percent, hot)), tile)
+    maps = known.filter("bitmap is not null").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
+    maps = stored(maps.join(blocks.select("class").distinct(), "class", "left_semi"), "signatures")
+
+    likeliest = _likeliest(blocks, maps, percent).groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
     first = _checked(likeliest, docs, classes, words, percent)
     nodes = classes.select(F.col("class").alias("node"), F.col("doc_id").alias("label"))
     found = connected(nodes, first)
@@ -439,8 +678,8 @@ def similar_groups(
     roots = roots.withColumn("root", F.coalesce("root", "class"))
     apart = roots.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     open_blocks = stored(roots.join(apart.select("block"), "block", "left_semi"), "open")
-    rest = _meet(open_blocks, maps, percent, roots=True)
-    links = first.union(_checked(rest, docs, classes, words, percent))
+    wanted = classes.join(open_blocks.select("class").distinct(), "class", "left_semi")
+    links = first.union(_joining(open_blocks, _arrays(docs, wanted, words), percent))
     found = connected(nodes, links)
 
     members = sets.select("doc_id", "n", "class").join(classes.select("class", F.col("doc_id").alias("lowest")), "class", "left")
