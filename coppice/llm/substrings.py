@@ -20,227 +20,274 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from coppice.llm.common import pick, ship, sliced, stored
 
 # Words of the shortest passage that counts as repeated, and the most a passage is widened by on a side.
 MIN_WORDS = 25
-_UNIT = re.compile(r"(?s).*?(?:[.!?] |\n)|.+\Z")
+_END = re.compile(rb"[.!?] |\n")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 KEY = ["doc_id", "version"]
+DIGEST = ["digest", "check"]
 # Occurrences from which a run is sent to every task, and how many can be at most.
 OFTEN, MAX_FREQUENT = 500, 50_000
-# Words whose places in the order of hashes a worker keeps.
+# Words whose hashes a worker keeps.
 MAX_KEPT = 50_000
+# Fixed odd factors of the two hashes of a run.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-class _Ranks(dict):
-    """Place of a word in the order of hashes: the first eight digits of its md5."""
+class _Hashes(dict):
+    """The first 64 bits of a word's md5, of which the first 32 give its place in the order of hashes."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MAX_KEPT:
             self.clear()
-        value = self[word] = int(hashlib.md5(word).hexdigest()[:8], 16)
+        value = self[word] = int.from_bytes(hashlib.md5(word).digest()[:8], "big")
         return value
 
 
-_ranks = _Ranks()
+_hashes = _Hashes()
 
 
-def chosen_starts(words: Sequence[bytes], min_words: int) -> list[int]:
+def chosen_starts(hashes: np.ndarray, min_words: int) -> np.ndarray:
     """First words of the runs cut by content: of any ``min_words`` places in a row at which
     a whole run can begin, the first one of the smallest hash."""
-    places = len(words) - min_words + 1
+    places = len(hashes) - min_words + 1
     if places < 1:
-        return []
-    ranks = np.fromiter(map(_ranks.__getitem__, words[:places]), np.int64, places)
+        return np.zeros(0, np.int64)
+    ranks = hashes[:places] >> np.uint64(32)
     width = min(min_words, places)
     least = np.lib.stride_tricks.sliding_window_view(ranks, width).argmin(axis=1)
-    return np.unique(least + np.arange(len(least))).tolist()
+    return np.unique(least + np.arange(len(least)))
+
+
+def runs(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of a text's words, and first word and end of each of its runs, in order."""
+    data = text.encode().lower()
+    words = data.split()
+    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    if len(words) < min_words:
+        return hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = _BLANK[np.frombuffer(data, np.uint8)]
+    begins = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    # Words before the end of each line or sentence.
+    ends = np.fromiter((match.end() for match in _END.finditer(data)), np.int64)
+    upto = np.concatenate(([0], np.searchsorted(begins, ends), [len(words)]))
+    upto = np.unique(upto)
+    # The first line or sentence with which a run reaches the minimum.
+    last = np.searchsorted(upto, upto + min_words)
+    whole = last < len(upto)
+    cut = chosen_starts(hashes, min_words)
+    starts = np.concatenate([upto[whole], cut])
+    stops = np.concatenate([upto[last[whole]], cut + min_words])
+    both = np.unique((starts << 32) | stops)
+    return hashes, both >> 32, both & 0xFFFFFFFF
+
+
+def digests(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each run, signed, from one pass of sums over all words."""
+    out = []
+    for factor in _FACTORS:
+        n = len(hashes)
+        powers, back = (np.full(n + 1, f, np.uint64) for f in (factor, pow(factor, -1, 1 << 64)))
+        powers[0] = back[0] = 1
+        powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(hashes ^ np.uint64(factor)) * powers[:n], dtype=np.uint64)))
+        # Runs of other lengths differ too.
+        out.append(_mixed((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64)).view(np.int64))
+    return out
 
 
-def runs(text: str, min_words: int) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """A text's words, and first word and end of each of its runs, in order."""
-    counts = [len(unit.encode().split()) for unit in _UNIT.findall(text)]
-    words = text.encode().lower().split()
-    upto = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-    # The first line or sentence with which a run reaches the minimum.
-    last = np.searchsorted(upto, upto[:-1] + min_words)
-    whole = [(int(upto[i]), int(upto[j])) for i, j in enumerate(last.tolist()) if j <= len(counts) and counts[i]]
-    cut = [(start, start + min_words) for start in chosen_starts(words, min_words)]
-    return words, sorted({*whole, *cut})
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row per run: doc_id, version (hash of the text), start, n_words, digest; narrow."""
+    """A row per run: doc_id, version (hash of the text), start, n_words, digest, check; narrow."""
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").filter("text is not null").withColumn("version", F.xxhash64("text"))
-    made = StructType.fromDDL("version long, start int, n_words int, digest binary")
+    made = StructType.fromDDL("version long, start int, n_words int, digest long, check long")
     schema = StructType([rows.schema["doc_id"], *made])
 
+    def out(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(np.repeat([i for i, *_ in parts], [len(starts) for _, starts, *_ in parts]).astype(np.int64))
+        columns = [np.concatenate(column) if column else np.zeros(0, np.int64) for column in list(zip(*parts))[1:]] or [np.zeros(0, np.int64)] * 4
+        arrays = [pa.array(column, field.type) for column, field in zip(columns, list(to_arrow_schema(made))[1:])]
+        return pa.RecordBatch.from_arrays([*[batch.column(name).take(at) for name in KEY], *arrays], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(made)
         for batch in sliced(batches, 500):
-            owners, starts, sizes, digests = [], [], [], []
+            parts, n = [], 0
             for i, text in enumerate(batch.column("text").to_pylist()):
-                words, found = runs(text, min_words)
-                for start, end in found:
-                    owners.append(i)
-                    starts.append(start)
-                    sizes.append(end - start)
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(words[start:end])))
-                if len(owners) >= 50_000:
-                    yield _batch(batch, owners, (starts, sizes, digests), arrow)
-                    owners, starts, sizes, digests = [], [], [], []
-            yield _batch(batch, owners, (starts, sizes, digests), arrow)
+                hashes, starts, stops = runs(text, min_words)
+                if len(starts):
+                    sizes = (stops - starts).astype(np.int32)
+                    parts.append((i, starts.astype(np.int32), sizes, *digests(hashes, starts, stops)))
+                    n += len(starts)
+                if n >= 50_000:
+                    yield out(batch, parts)
+                    parts, n = [], 0
+            yield out(batch, parts)
 
     return rows.mapInArrow(run, schema)
 
 
-def _batch(batch: pa.RecordBatch, owners: list[int], columns: Sequence[list], arrow: pa.Schema) -> pa.RecordBatch:
-    at = pa.array(owners, pa.int64())
-    arrays = [pa.array(values, field.type) for values, field in zip(columns, list(arrow)[1:])]
-    ids = [batch.column(name).take(at) for name in KEY]
-    return pa.RecordBatch.from_arrays([*ids, *arrays], names=["doc_id", *arrow.names])
-
-
-# A repeated run or passage: its words [start, end), and for either side the place that stays and
-# the words beside which those beside the passage may equal; ``open`` is false where a passage
-# begins right behind the occurrence that stays.
+# A repeated run or passage goes from word ``start`` to before ``-right.stop``. ``left`` is the
+# place that stays, beside which the words before the passage may be the same; ``closed`` where a passage
+# begins right behind the occurrence that stays. ``right`` is the same for its end. So of
+# spans that begin, or end, together the smallest struct decides.
 def _span_type(id_type) -> StructType:
-    place = StructType([StructField("doc_id", id_type), StructField("version", LongType()), StructField("at", IntegerType())])
-    return StructType.fromDDL("start int, end int, open boolean").add("left", place).add("right", place)
+    place = [StructField("none", BooleanType()), StructField("doc_id", id_type), StructField("version", LongType()), StructField("at", IntegerType())]
+    return StructType(
+        [
+            StructField("start", IntegerType()),
+            StructField("closed", BooleanType()),
+            StructField("left", StructType(place)),
+            StructField("right", StructType([StructField("stop", IntegerType()), *place])),
+        ]
+    )
 
 
 def _later(rows: DataFrame) -> DataFrame:
     """Of occurrences with ``first`` those that go: doc_id, version, span."""
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
     stop = F.col("first.start") + F.col("n_words")
-    clipped = same & (F.col("start") < stop)
-    place = lambda at: F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"), at.cast("int").alias("at"))
+    end = F.col("start") + F.col("n_words")
+    closed = same & (F.col("start") < stop)
+    place = lambda at: [F.col("first.none"), F.col("first.doc_id"), F.col("first.version"), at.cast("int").alias("at")]
     span = F.struct(
-        F.when(clipped, stop).otherwise(F.col("start")).cast("int").alias("start"),
-        (F.col("start") + F.col("n_words")).cast("int").alias("end"),
-        (~clipped).alias("open"),
-        place(F.col("first.start")).alias("left"),
-        place(stop).alias("right"),
+        F.when(closed, stop).otherwise(F.col("start")).cast("int").alias("start"),
+        closed.alias("closed"),
+        F.struct(*place(F.col("first.start"))).alias("left"),
+        F.struct((-end).cast("int").alias("stop"), *place(stop)).alias("right"),
     )
     return rows.filter(~(same & (F.col("start") == F.col("first.start")))).select(*KEY, span.alias("span"))
 
 
-def _frequent_spans(rows: DataFrame, frequent: dict[bytes, tuple]) -> DataFrame:
+def _frequent_spans(rows: DataFrame, frequent: dict[tuple, tuple]) -> DataFrame:
     """Later occurrences of the most frequent runs, those of a document that touch as one
     span. They are looked up in each task, so no key of the join is hot."""
     id_type = rows.schema["doc_id"].dataType
     made = StructType([rows.schema["doc_id"], rows.schema["version"], StructField("span", _span_type(id_type))])
-    digests = pa.array(list(frequent), pa.binary())
+    digests = pa.array([digest for digest, _ in frequent], pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(made)
         for batch in batches:
             hits = batch.filter(pc.is_in(batch.column("digest"), digests))
             out: list[tuple] = []
-            for doc_id, version, start, n, digest in zip(*[column.to_pylist() for column in hits.columns]):
-                kept_id, kept_version, kept = frequent[digest]
+            for doc_id, version, start, n, digest, check in zip(*[column.to_pylist() for column in hits.columns]):
+                if (digest, check) not in frequent:
+                    continue
+                kept_id, kept_version, kept = frequent[digest, check]
                 same = (doc_id, version) == (kept_id, kept_version)
                 if same and start == kept:
                     continue
-                clipped = same and start < kept + n
-                left, right = ({"doc_id": kept_id, "version": kept_version, "at": at} for at in (kept, kept + n))
-                span = {"start": kept + n if clipped else start, "end": start + n, "open": not clipped, "left": left, "right": right}
-                if out and out[-1][:2] == (doc_id, version) and _touches(out[-1][2], span):
+                closed = same and start < kept + n
+                left, right = (
+                    {"none": kept_id is None, "doc_id": kept_id, "version": kept_version, "at": at} for at in (kept, kept + n)
+                )
+                span = {"start": kept + n if closed else start, "closed": closed, "left": left, "right": {"stop": -start - n, **right}}
+                if out and out[-1][:2] == (doc_id, version) and _touch(out[-1][2], span):
                     out[-1] = (doc_id, version, _joined(out[-1][2], span))
                 else:
                     out.append((doc_id, version, span))
             columns = list(zip(*out)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
 
-    return rows.select(*KEY, "start", "n_words", "digest").mapInArrow(run, made)
+    return rows.select(*KEY, "start", "n_words", *DIGEST).mapInArrow(run, made)
 
 
 def _rank(place: dict) -> tuple:
-    return (place["doc_id"] is None, *([] if place["doc_id"] is None else [place["doc_id"]]), place["version"], place["at"])
+    return (place["none"], *([] if place["none"] else [place["doc_id"]]), place["version"], place["at"])
 
 
 def _left_rank(span: dict) -> tuple:
-    return (span["start"], not span["open"], _rank(span["left"]))
+    return (span["start"], span["closed"], _rank(span["left"]))
 
 
-def _touches(one: dict, other: dict) -> bool:
-    return other["start"] <= one["end"] and one["start"] <= other["end"]
+def _touch(one: dict, other: dict) -> bool:
+    return other["start"] <= -one["right"]["stop"] and one["start"] <= -other["right"]["stop"]
 
 
 def _joined(one: dict, other: dict) -> dict:
     """Two spans as one: the left side of the one that begins first, the right side of the
     one that ends last; of equals those of the earliest place that stays."""
-    a = min(one, other, key=_left_rank)
-    b = min(one, other, key=lambda span: (-span["end"], _rank(span["right"])))
-    return {"start": a["start"], "end": b["end"], "open": a["open"], "left": a["left"], "right": b["right"]}
+    right = min(one["right"], other["right"], key=lambda right: (right["stop"], _rank(right)))
+    return {**min(one, other, key=_left_rank), "right": right}
 
 
 def merged(spans: Sequence[dict]) -> list[dict]:
     """Spans that overlap or touch as one, in order."""
     out: list[dict] = []
     for span in sorted(spans, key=_left_rank):
-        if out and span["start"] <= out[-1]["end"]:
+        if out and span["start"] <= -out[-1]["right"]["stop"]:
             out[-1] = _joined(out[-1], span)
         else:
             out.append(span)
     return out
 
 
+def _absorb(done: Column, span: Column) -> Column:
+    """:func:`merged` for one more span, in Spark; spans come sorted."""
+    top = F.try_element_at(done, F.lit(-1))
+    grown = F.struct(
+        top["start"].alias("start"),
+        top["closed"].alias("closed"),
+        top["left"].alias("left"),
+        F.least(top["right"], span["right"]).alias("right"),
+    )
+    touches = (F.size(done) > 0) & (span["start"] <= -top["right"]["stop"])
+    return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(
+        F.concat(done, F.array(span))
+    )
+
+
 def _passages(docs: DataFrame, min_words: int, often: int) -> DataFrame:
     """Per document with something to remove: doc_id, version, ``spans`` (to widen) each with
     the words beside the places that stay, as hashes, nearest first."""
     rows = stored(occurrences(docs, min_words), "runs")
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "version", "start")
-    places = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("final"), F.count("*").alias("n"))
-    several = stored(places.filter(F.col("first") != F.col("final")).select("digest", "first", "n"), "repeated")
+    # Half a digest finds what may repeat; both halves and the place decide.
+    counts = rows.groupBy("digest").agg(F.count("*").alias("n"))
+    several = stored(counts.filter("n > 1"), "repeated")
     often = max(often, -(-rows.count() // MAX_FREQUENT))
-    frequent = {
-        bytes(row.digest): (row.first.doc_id, row.first.version, row.first.start)
-        for row in several.filter(F.col("n") >= often).collect()
-    }
-    met = _later(rows.join(several.filter(F.col("n") < often).drop("n"), "digest"))
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "start")).alias("first")
+    rare = rows.join(several.filter(F.col("n") < often).drop("n"), "digest")
+    firsts = rare.groupBy(*DIGEST).agg(rank, F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = _later(rare.join(firsts, DIGEST))
+    hot = several.filter(F.col("n") >= often).drop("n")
+    found = rows.join(F.broadcast(hot), "digest").groupBy(*DIGEST).agg(rank).collect()
+    frequent = {(row.digest, row.check): (row.first.doc_id, row.first.version, row.first.start) for row in found}
     if frequent:
         met = met.unionByName(_frequent_spans(rows, frequent))
-    id_type = rows.schema["doc_id"].dataType
-    span_type = _span_type(id_type)
-
     # All runs of one document, as many as its words at most.
-    @F.pandas_udf(ArrayType(span_type))
-    def merge(lists):
-        return lists.map(lambda spans: merged([_plain(span) for span in spans]))
-
-    spans = met.groupBy(*KEY).agg(F.collect_set("span").alias("spans")).select(*KEY, merge("spans").alias("spans"))
+    none = F.array().cast(ArrayType(_span_type(rows.schema["doc_id"].dataType)))
+    spans = met.groupBy(*KEY).agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    spans = spans.select(*KEY, F.aggregate("spans", none, _absorb).alias("spans"))
     spans = stored(spans, "spans")
     each = spans.select(*KEY, F.posexplode("spans").alias("i", "span"))
-    wanted = each.filter("span.open").select("span.left.*", F.lit(-1).alias("side")).union(each.select("span.right.*", F.lit(1).alias("side")))
-    beside = _contexts(docs, wanted, min_words)
+    place = lambda side: [F.col(f"span.{side}.{name}") for name in (*KEY, "at")]
+    wanted = each.filter("not span.closed").select(*place("left"), F.lit(-1).alias("side"))
+    beside = _contexts(docs, wanted.union(each.select(*place("right"), F.lit(1).alias("side"))), min_words)
     for side, name in ((-1, "left"), (1, "right")):
         own = beside.filter(F.col("side") == side).select(
-            *[F.col(c).alias(f"_{c}") for c in ("doc_id", "version", "at")], F.col("words").alias(f"{name}_words")
-        )
-        place = f"span.{name}"
-        same = (
-            F.col(f"{place}.doc_id").eqNullSafe(F.col("_doc_id"))
-            & (F.col(f"{place}.version") == F.col("_version"))
-            & (F.col(f"{place}.at") == F.col("_at"))
+            *[F.col(c).alias(f"_{c}") for c in (*KEY, "at")], F.col("words").alias(f"{name}_words")
         )
+        doc_id, version, at = place(name)
+        same = doc_id.eqNullSafe(F.col("_doc_id")) & (version == F.col("_version")) & (at == F.col("_at"))
         each = each.join(own, same, "left").drop("_doc_id", "_version", "_at")
     both = F.struct("i", "span", "left_words", "right_words")
     return each.groupBy(*KEY).agg(F.array_sort(F.collect_list(both)).alias("spans"))
 
 
-def _plain(span) -> dict:
-    """A span as it comes from Spark, in the same form as one made here."""
-    return {**{k: span[k] for k in ("start", "end", "open")}, "left": dict(span["left"]), "right": dict(span["right"])}
-
-
 def word_hash(word: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64))
 
@@ -278,23 +325,20 @@ def widened(text: str, spans: Sequence[dict]) -> list[tuple]:
     words = text.encode().lower().split()
     grown = []
     for item in spans:
-        span = _plain(item["span"])
-        start, end = span["start"], span["end"]
-        more = 0
-        if span["open"]:
-            for hashed in item["left_words"] or ():
-                if start - more < 1 or word_hash(words[start - more - 1]) != hashed:
-                    break
-                more += 1
-        span["start"], span["left"]["at"] = start - more, span["left"]["at"] - more
+        span = item["span"]
+        start, end, more = span["start"], -span["right"]["stop"], 0
+        for hashed in () if span["closed"] else item["left_words"] or ():
+            if start - more < 1 or word_hash(words[start - more - 1]) != hashed:
+                break
+            more += 1
         for hashed in item["right_words"] or ():
             if end >= len(words) or word_hash(words[end]) != hashed:
                 break
             end += 1
-        span["end"] = end
-        grown.append(span)
+        left = {**span["left"], "at": span["left"]["at"] - more}
+        grown.append({"start": start - more, "closed": span["closed"], "left": left, "right": {**span["right"], "stop": -end}})
     begins = [match.start() for match in _WORD.finditer(text)] + [len(text)]
-    return [(begins[s["start"]], begins[s["end"]], s["left"]["doc_id"], s["left"]["at"]) for s in merged(grown)]
+    return [(begins[s["start"]], begins[-s["right"]["stop"]], s["left"]["doc_id"], s["left"]["at"]) for s in merged(grown)]
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> tuple[DataFrame, int, int]:

@@ -6,7 +6,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from coppice.llm.substrings import _UNIT, repeats, runs, without_repeats
+from coppice.llm.substrings import digests, repeats, runs, without_repeats
+
+# A line or sentence, or what is left behind the last one.
+_UNIT = re.compile(r"(?s).*?(?:[.!?] |\n)|.+\Z")
 
 MIN = 6
 
@@ -172,12 +175,16 @@ def test_first_occurrence_stays_whole_where_it_goes_on_repeating(make):
     assert row.text.split()[:26] == text.split()[:26] and row.text.split()[-1] == "y" and len(row.text.split()) < 60
 
 
-def test_runs():
-    text = "a b c. d e. f g h i. j"
-    words, found = runs(text, 4)
-    assert words == [b"a", b"b", b"c.", b"d", b"e.", b"f", b"g", b"h", b"i.", b"j"] and found == runs_of(text, 4)[1]
-    assert {(0, 5), (3, 9), (5, 9)} <= set(found)
-    assert runs("", 1) == ([], []) and runs("a b", 3)[1] == []
+@settings(max_examples=200, deadline=None)
+@given(st.text("abÀ.!? \n\t\x0b", max_size=80), st.integers(1, 9))
+def test_runs(text, least):
+    hashes, starts, stops = runs(text, least)
+    words, expected = runs_of(text, least)
+    assert list(zip(starts.tolist(), stops.tolist())) == expected and len(hashes) == len(words)
+    same = {}
+    for a, b, *found in zip(starts.tolist(), stops.tolist(), *digests(hashes, starts, stops)):
+        assert same.setdefault(tuple(words[a:b]), tuple(found)) == tuple(found)
+    assert len(set(same.values())) == len(same)
 
 
 def test_text_ids(spark):
