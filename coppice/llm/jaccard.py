@@ -24,28 +24,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from coppice.llm.common import blank_words, pick, ship, stored
+from coppice.llm.common import blank_words, pick, ship, sliced, stored
 from coppice.llm.components import connected
 
 WORDS, PERCENT = 5, 75
 # Counters that tell the most frequent n-grams, as a power of two: 2 MB, whatever the corpus.
 TABLE_BITS = 19
-# Bits of an n-gram's hash by which its holders meet.
-KEY_BITS = 48
-# N-grams gathered in one list and in one group of lists, and documents in one list.
+# N-grams in one packed list and, on average, in one group of hashes; documents in one list.
 LIST_GRAMS, GROUP_GRAMS, LIST_DOCS = 2_000_000, 1_000_000, 60_000
+MAX_GROUPS = 1 << 16
 # Bits of a signature per n-gram, at least.
 DENSITY = 4
 # Members of a tile, and n-grams of them, that meet in one task; a larger tile is cut in blocks.
 TILE, BLOCK_GRAMS = 1024, 1_000_000
 # N-grams whose counter is so far above the mean are ordered last and make tiles undealt.
 HOT = 1_000_000
-_LAST = 1 << 40
 # Links checked beside one center in a task.
 STAR = 2048
 # Places of involved classes that may be sent to every task, at 40 bytes or so each.
@@ -190,176 +189,210 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint32 if len(data) == 4 << TABLE_BITS else np.int64).astype(np.int64)
 
 
-def _lists(docs: DataFrame, counts: np.ndarray, words: int, percent: int, hot: int, groups: int) -> DataFrame:
-    """Packed lists of n-grams with their holders, by group of hashes: group, data; narrow.
+def keys_of(grams: np.ndarray, groups: int) -> np.ndarray:
+    """Sorted distinct keys of n-grams: the group of their hash, and 32 bits of its place there."""
+    high, low = grams >> np.uint64(32), grams & np.uint64(0xFFFFFFFF)
+    return np.unique(high * np.uint64(groups) + ((low * np.uint64(groups)) >> np.uint64(32)))
 
-    A class comes once per task, as long as the memory for that lasts. Frequent n-grams
-    are packed with their order, in lists of their own, which are not gathered by n-gram.
-    """
-    rows = pick(docs, "text")
-    above = counts.mean() + max(hot, 8 * counts.mean() ** 0.5)
-    often = np.flatnonzero(counts > above)
-    is_often = np.zeros(len(counts), bool)
-    is_often[often] = True
-    order = dict(zip(often.tolist(), counts[often].tolist()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        waiting = _Waiting(groups)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                for text in batch.column("text").slice(start, 500).to_pylist():
-                    grams = shingles(text, words)
-                    if not len(grams):
-                        continue
-                    key = class_of(grams)
-                    if key in seen:
-                        continue
-                    if len(seen) < MAX_SEEN:
-                        seen.add(key)
-                    slots = (grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-                    last = is_often[slots]
-                    keys = np.unique(grams >> np.uint64(64 - KEY_BITS))
-                    # Of so many first keys the rare ones are not known yet; of all keys so many are left.
-                    need = prefix_size(len(grams), percent) - len(keys)
-                    rare = np.unique(grams[~last] >> np.uint64(64 - KEY_BITS)) if last.any() else keys
-                    waiting.add(key, len(grams), need, rare)
-                    if last.any():
-                        late = {int(g >> np.uint64(64 - KEY_BITS)): order[int(s)] for g, s in zip(grams[last], slots[last])}
-                        waiting.add_late(key, len(grams), need, {k: v for k, v in late.items() if k not in set(rare.tolist())})
-                    if waiting.full():
-                        yield from waiting.out()
-        yield from waiting.out()
-
-    return rows.mapInArrow(run, "group int, data binary")
+def slots_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The counter of the first hash that has each key."""
+    whole, rest = np.divmod(keys, np.uint64(groups))
+    first = (whole << np.uint64(32)) + (rest << np.uint64(32)) // np.uint64(groups)
+    return (first >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-class _Waiting:
-    """Holders and their n-grams until there are enough for lists."""
+class _Chunk:
+    """Classes of a task and their keys, until there are enough to pack."""
 
-    def __init__(self, groups: int):
-        self.groups = groups
+    def __init__(self, groups: int, orders: np.ndarray):
+        self.groups, self.orders = groups, orders
         self.clear()
 
     def clear(self) -> None:
         self.holders, self.keys, self.late, self.n = [], [], [], 0
 
-    def add(self, key: int, n: int, need: int, keys: np.ndarray) -> None:
-        self.holders.append((key, n, need))
+    def add(self, grams: np.ndarray, percent: int) -> None:
+        keys = keys_of(grams, self.groups)
+        order = self.orders[slots_of(keys, self.groups)]
+        late = order > 0
+        # So many of the first keys there are in the prefix, less all keys.
+        self.holders.append((class_of(grams), len(grams), prefix_size(len(grams), percent) - len(keys)))
+        if late.any():
+            number = np.full(int(late.sum()), len(self.holders) - 1, np.int64)
+            self.late.append(np.stack([number, keys[late].astype(np.int64), order[late]]))
+            keys = keys[~late]
         self.keys.append(keys)
         self.n += len(keys)
 
-    def add_late(self, key: int, n: int, need: int, late: dict[int, int]) -> None:
-        self.late += [(key, n, need, gram, _LAST + often) for gram, often in late.items()]
-
     def full(self) -> bool:
         return self.n >= LIST_GRAMS or len(self.holders) >= LIST_DOCS
 
-    def out(self) -> Iterator[pa.RecordBatch]:
+    def lists(self, chunk: int) -> Iterator[tuple[int, bytes]]:
+        """A list of keys and holders' numbers for each group, and the holders, for any."""
         if not self.holders:
             return
-        holders = np.array(self.holders, np.int64)
         keys = np.concatenate(self.keys)
-        owner = np.repeat(np.arange(len(holders), dtype=np.uint16), [len(k) for k in self.keys])
-        group = group_of(keys, self.groups)
-        places = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[places], np.arange(self.groups + 1))
-        names, data = [], []
-        for g in range(self.groups):
-            at = places[edges[g] : edges[g + 1]]
-            if len(at):
-                names.append(g)
-                data.append(packed_list(keys[at], owner[at], holders))
-        if self.late:
-            names.append(int(holders[0, 0] % self.groups))
-            data.append(b"L" + np.array(self.late, np.int64).tobytes())
+        number = np.repeat(np.arange(len(self.keys)), [len(k) for k in self.keys]).astype(np.uint16)
+        order = np.argsort(keys, kind="stable")
+        keys, number = keys[order], number[order]
+        edges = np.searchsorted(keys, np.arange(self.groups + 1, dtype=np.uint64) << np.uint64(32))
+        places = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        for group in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[group], edges[group + 1]
+            yield group, b"K" + np.int64(chunk).tobytes() + places[a:b].tobytes() + number[a:b].tobytes()
+        late = np.concatenate(self.late, axis=1) if self.late else np.zeros((3, 0), np.int64)
+        holders = np.array(self.holders, np.int64).T
+        sizes = np.array([chunk, holders.shape[1], late.shape[1]], np.int64)
+        yield chunk % self.groups, b"H" + sizes.tobytes() + holders.tobytes() + late.tobytes()
         self.clear()
-        for start in range(0, len(names), 64):
-            columns = {"group": pa.array(names[start : start + 64], pa.int32()), "data": pa.array(data[start : start + 64], pa.binary())}
-            yield pa.RecordBatch.from_pydict(columns)
-
-
-def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
-    """The group of each key, even in size."""
-    return ((keys >> np.uint64(16)) * np.uint64(groups) >> np.uint64(KEY_BITS - 16)).astype(np.int64)
-
-
-def packed_list(keys: np.ndarray, owner: np.ndarray, holders: np.ndarray) -> bytes:
-    """Keys of six bytes, a holder's number for each, and the holders that occur."""
-    present, number = np.unique(owner, return_inverse=True)
-    table = holders[present]
-    sizes = np.array([len(keys), len(present)], np.int64)
-    parts = [(keys >> np.uint64(16)).astype(np.uint32), (keys & np.uint64(0xFFFF)).astype(np.uint16), number.astype(np.uint16)]
-    parts += [table[:, 0], table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)]
-    return b"K" + sizes.tobytes() + b"".join(part.tobytes() for part in parts)
-
-
-def unpacked_list(data: bytes) -> np.ndarray:
-    """Rows of class, n, need, key and, for frequent n-grams, their order (else 0)."""
-    if data[:1] == b"L":
-        return np.frombuffer(data, np.int64, offset=1).reshape(-1, 5)
-    n, m = (int(v) for v in np.frombuffer(data, np.int64, 2, 1))
-    at, arrays = 17, []
-    for kind, size in ((np.uint32, n), (np.uint16, n), (np.uint16, n), (np.int64, m), (np.int32, m), (np.int32, m)):
-        arrays.append(np.frombuffer(data, kind, size, at))
-        at += size * np.dtype(kind).itemsize
-    high, low, number, key, sizes, need = arrays
-    out = np.zeros((n, 5), np.int64)
-    out[:, 0], out[:, 1], out[:, 2] = key[number], sizes[number], need[number]
-    out[:, 3] = (high.astype(np.int64) << 16) | low
-    return out
 
 
-def held_by_several(rows: np.ndarray) -> np.ndarray:
-    """Of the rows of whole groups, those of keys with two classes or more, once each, with
-    the number of classes as their order."""
-    rows = rows[np.lexsort((rows[:, 0], rows[:, 3]))]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:, [0, 3]] != rows[:-1, [0, 3]]).any(axis=1)
-    rows = rows[first]
-    starts = np.flatnonzero(np.concatenate(([True], rows[1:, 3] != rows[:-1, 3]))) if len(rows) else np.zeros(0, np.int64)
-    holders = np.diff(np.append(starts, len(rows)))
-    rows = rows.copy()
-    rows[:, 4] = np.repeat(holders, holders)
-    return rows[rows[:, 4] > 1]
+def _lists(docs: DataFrame, counts: np.ndarray, words: int, percent: int, hot: int, groups: int) -> DataFrame:
+    """Packed lists of n-grams with their holders, by group of hashes: group, data; narrow.
+
+    A class comes once per task, as long as the memory for that lasts. Frequent n-grams
+    go with the holders, in the order of their counters.
+    """
+    rows = pick(docs, "text")
+    above = counts.mean() + max(hot, 8 * counts.mean() ** 0.5)
+    orders = np.where(counts > above, counts, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        first = TaskContext.get().partitionId() << 32
+        chunk = _Chunk(groups, orders)
+        number = 0
+        for part in sliced(batches, 500):
+            for text in part.column("text").to_pylist():
+                grams = shingles(text, words)
+                key = class_of(grams)
+                if not len(grams) or key in seen:
+                    continue
+                if len(seen) < MAX_SEEN:
+                    seen.add(key)
+                chunk.add(grams, percent)
+                if chunk.full():
+                    yield from _data(chunk.lists(first + number), "group", pa.int32())
+                    number += 1
+        yield from _data(chunk.lists(first + number), "group", pa.int32())
+
+    return rows.mapInArrow(run, "group int, data binary")
+
+
+def _data(lists: Iterator[tuple[int, bytes]], name: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows of a number and bytes, some megabytes at a time."""
+    numbers, data, size = [], [], 0
+    for number, one in lists:
+        numbers.append(number)
+        data.append(one)
+        size += len(one)
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, kind), pa.array(data, pa.binary())], names=[name, "data"])
+            numbers, data, size = [], [], 0
+    if numbers:
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, kind), pa.array(data, pa.binary())], names=[name, "data"])
+
+
+def shared_keys(group: int, lists: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """For each list of a group those of its keys that another holder has too, and how often
+    they are held, in steps of an eighth of a doubling; by the list's chunk."""
+    sizes = [(len(data) - 9) // 6 for data in lists]
+    places = np.concatenate([np.frombuffer(data, np.uint32, n, 9) for data, n in zip(lists, sizes)])
+    order = np.argsort(places, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], places[order][1:] != places[order][:-1])))
+    holders = np.diff(np.append(starts, len(places)))
+    often = np.empty(len(places), np.int64)
+    often[order] = np.repeat(holders, holders)
+    steps = np.minimum(np.floor(8 * np.log2(often)), 255).astype(np.uint8)
+    at = 0
+    for data, n in zip(lists, sizes):
+        held = often[at : at + n] > 1
+        if held.any():
+            number = np.frombuffer(data, np.uint16, n, 9 + 4 * n)
+            columns = (places[at : at + n][held], number[held], steps[at : at + n][held])
+            (chunk,) = np.frombuffer(data, np.int64, 1, 1).tolist()
+            yield chunk, b"S" + np.int64(group).tobytes() + b"".join(column.tobytes() for column in columns)
+        at += n
+
+
+def first_keys(lists: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of the holders of a chunk class, n, key and whether it is frequent, of the keys of its prefix that
+    others may have: by rarity, then by key."""
+    numbers, keys, orders, holders = [], [], [], None
+    for data in lists:
+        if data[:1] == b"H":
+            _, n, m = np.frombuffer(data, np.int64, 3, 1).tolist()
+            holders = np.frombuffer(data, np.int64, 3 * n, 25).reshape(3, n)
+            late = np.frombuffer(data, np.int64, 3 * m, 25 + 24 * n).reshape(3, m)
+            numbers.append(late[0])
+            keys.append(late[1])
+            orders.append(late[2] + 256)
+        else:
+            n = (len(data) - 9) // 7
+            (group,) = np.frombuffer(data, np.int64, 1, 1).tolist()
+            keys.append((group << 32) + np.frombuffer(data, np.uint32, n, 9).astype(np.int64))
+            numbers.append(np.frombuffer(data, np.uint16, n, 9 + 4 * n).astype(np.int64))
+            orders.append(np.frombuffer(data, np.uint8, n, 9 + 6 * n).astype(np.int64))
+    number, key, often = (np.concatenate(column) for column in (numbers, keys, orders))
+    order = np.lexsort((key, often, number))
+    number, key, often = number[order], key[order], often[order]
+    shared = np.bincount(number, minlength=holders.shape[1])
+    place = np.arange(len(number)) - np.repeat(np.cumsum(shared) - shared, shared)
+    chosen = place < (holders[2] + shared)[number]
+    number = number[chosen]
+    return holders[0][number], holders[1][number], key[chosen], often[chosen] >= 256
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int, hot: int) -> DataFrame:
-    """Per class that may have a partner: class, n, its prefix without n-grams of its own, and
-    those of the prefix that are frequent."""
+    """Of the classes that may have a partner the n-grams of their prefix that others may have:
+    class, n, gram, late (whether it is a frequent one).
+
+    Lists meet by group of hashes, which gives an n-gram's holders; what several hold goes
+    back to the chunk of classes it came from.
+    """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(4 * partitions, -(-int(counts.sum()) // GROUP_GRAMS))
-    dealt = _lists(docs, counts, words, percent, hot, groups).repartition(max(partitions, groups // 4), "group")
+    groups = min(max(4 * partitions, -(-int(counts.sum()) // GROUP_GRAMS)), MAX_GROUPS)
+    by_group = _lists(docs, counts, words, percent, hot, groups).repartition(max(partitions, groups // 4), "group")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists: dict[int, list[bytes]] = {}
+    def gather(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
+        found: dict[int, list[bytes]] = {}
         for batch in batches:
-            for group, data in zip(batch.column("group").to_pylist(), batch.column("data").to_pylist()):
-                lists.setdefault(-1 if data[:1] == b"L" else group, []).append(data)
-        for group in list(lists):
-            rows = np.concatenate([unpacked_list(data) for data in lists.pop(group)])
-            rows = np.unique(rows, axis=0) if group < 0 else held_by_several(rows)
-            for start in range(0, len(rows), 100_000):
-                columns = zip(("class", "n", "need", "gram", "often"), rows[start : start + 100_000].T)
-                yield pa.RecordBatch.from_pydict({name: pa.array(np.ascontiguousarray(c), pa.int64()) for name, c in columns})
-
-    shared = dealt.mapInArrow(run, "class long, n long, need long, gram long, often long")
-    own = Window.partitionBy("class")
-    # A frequent n-gram comes once from each task that met the class.
-    ranked = shared.dropDuplicates(["class", "gram"]).select(
-        "*", F.row_number().over(own.orderBy("often", "gram")).alias("place"), F.count("*").over(own).alias("shared")
-    )
-    chosen = ranked.filter(F.col("place") <= F.col("need") + F.col("shared"))
-    late = F.col("often") >= _LAST
-    return chosen.groupBy("class", "n").agg(
-        F.collect_list(F.when(~late, F.col("gram"))).alias("prefix"), F.collect_list(F.when(late, F.col("gram"))).alias("hot")
-    )
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found.setdefault(number, []).append(data)
+        return found
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = gather(batches)
+        for group in list(found):
+            lists = found.pop(group)
+            through = [(int(np.frombuffer(data, np.int64, 1, 1)[0]), data) for data in lists if data[:1] == b"H"]
+            yield from _data(iter(through), "chunk", pa.int64())
+            lists = [data for data in lists if data[:1] == b"K"]
+            if lists:
+                yield from _data(shared_keys(group, lists), "chunk", pa.int64())
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = gather(batches)
+        for chunk in list(found):
+            columns = first_keys(found.pop(chunk))
+            for start in range(0, len(columns[0]), 100_000):
+                arrays = [pa.array(column[start : start + 100_000]) for column in columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "gram", "late"])
+
+    by_chunk = by_group.mapInArrow(share, "chunk long, data binary").repartition("chunk")
+    return by_chunk.mapInArrow(choose, "class long, n long, gram long, late boolean")
 
 
 def _tiles(sets: DataFrame, most: int = 100_000) -> DataFrame:
-    """Tiles of two classes or more: tile, class, n. Tiles of the same classes are one."""
-    grams = sets.select("class", "n", F.explode("prefix").alias("gram"))
+    """Tiles of two classes or more, from the prefixes of sets: tile, class, n. Tiles of the same
+    classes are one; those of frequent n-grams are taken as they are."""
+    late = sets.select(F.explode("hot").alias("tile"), "class", "n")
+    return _dealt_tiles(sets.select("class", "n", F.explode("prefix").alias("gram")), late, most)
+
+
+def _dealt_tiles(grams: DataFrame, late: DataFrame, most: int = 100_000) -> DataFrame:
     dealt = grams.repartition("gram").sortWithinPartitions("gram", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,8 +418,7 @@ def _tiles(sets: DataFrame, most: int = 100_000) -> DataFrame:
             yield _members(_runs(*rest, np.zeros(1, np.int64), seen, long_tile))
 
     made = dealt.mapInArrow(run, "tile long, class long, n long")
-    hot = sets.select(F.explode("hot").alias("tile"), "class", "n")
-    return stored(made.union(hot).distinct(), "tiles")
+    return stored(made.union(late).distinct(), "tiles")
 
 
 def _runs(gram, key, n, starts, seen: set[int], long_tile: int | None) -> Iterator[tuple]:
@@ -665,7 +697,9 @@ def similar_groups(
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")).alias("stands")
     classes = known.groupBy("class").agg(stands).select("class", "stands.doc_id", "stands.version")
     classes = stored(classes, "classes")
-    blocks = _blocks(_tiles(_prefixes(docs, counts, words, percent, hot)), tile)
+    first = stored(_prefixes(docs, counts, words, percent, hot), "prefixes")
+    late = first.filter("late").select(F.col("gram").alias("tile"), "class", "n")
+    blocks = _blocks(_dealt_tiles(first.filter("not late").select("class", "n", "gram"), late), tile)
     maps = known.filter("bitmap is not null").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
     maps = stored(maps.join(blocks.select("class").distinct(), "class", "left_semi"), "signatures")
 

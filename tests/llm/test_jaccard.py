@@ -134,3 +134,57 @@ def test_components(spark):
     for x in parent:
         labels.setdefault(root(x), []).append((x % 10 == 0, 1000 - x))
     assert {r.node: r.label for r in rows} == {x: (None if min(labels[root(x)])[0] else min(labels[root(x)])[1]) for x in parent}
+
+
+def test_keys_keep_the_order_of_hashes():
+    rng = np.random.default_rng(2)
+    grams = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    for groups in (1, 7, 204, 65536):
+        keys = J.keys_of(grams, groups)
+        assert len(keys) == len(grams) and (keys >> np.uint64(32)).max() < groups
+        # A key's counter is that of a hash with this key.
+        slots = (grams >> np.uint64(64 - J.TABLE_BITS)).astype(np.int64)
+        assert (np.abs(J.slots_of(keys, groups) - slots) <= 1).all() and (J.slots_of(keys, groups) == slots).mean() > 0.99
+
+
+def test_prefixes_are_those_of_exact_counts(spark, make):
+    """The rarest n-grams that others hold too, by all holders; none for a class whose own ones suffice."""
+    rows = copies(4) + [(900, " ".join(f"own{i}" for i in range(50)))]
+    docs = make(rows, partitions=1)  # a class is a holder once for each task that meets it
+    sets = {J.class_of(g): g for g in (J.shingles(text) for _, text in rows) if len(g)}
+    _, counts = J._sets(docs, 5)
+    found = {}
+    for r in J._prefixes(docs, counts, 5, 75, 1_000_000).distinct().collect():
+        found.setdefault(r["class"], set()).add(r["gram"])
+        assert r["n"] == len(sets[r["class"]]) and not r["late"]
+    groups = 32
+    holders = {}
+    for key, grams in sets.items():
+        for k in J.keys_of(grams, groups).tolist():
+            holders[k] = holders.get(k, 0) + 1
+    for key, grams in sets.items():
+        keys = J.keys_of(grams, groups).tolist()
+        shared = [k for k in keys if holders[k] > 1]
+        size = J.prefix_size(len(grams), 75) - (len(keys) - len(shared))
+        assert len(found.get(key, ())) == max(0, size) and found.get(key, set()) <= set(shared)
+        if size > 0:
+            step = lambda k: int(8 * np.log2(holders[k]))
+            assert found[key] == set(sorted(shared, key=lambda k: (step(k), k))[:size])
+
+
+def test_a_block_returns_fewer_links_than_members():
+    """Also where all are similar; none where none are, and no pair is checked twice."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    near = [np.delete(base, rng.integers(0, len(base), 20)) for _ in range(30)]
+    far = [np.unique(np.concatenate([base[:200], rng.integers(0, 1 << 62, 200).astype(np.uint64)])) for _ in range(30)]
+    for sets, links in ((near, 29), (far, 0)):
+        sets = sorted(sets, key=len)
+        n = np.array([len(s) for s in sets])
+        key, side, failed = np.arange(30), np.zeros(30, np.int64), set()
+        assert len(J.spanning(key, n, side, key, sets, 75, failed)) == links
+        # Members of one component are not compared.
+        assert J.spanning(key, n, side, np.zeros(30, np.int64), sets, 75, set()) == []
+        before = set(failed)
+        J.spanning(key, n, side, key, sets, 75, failed)
+        assert failed == before
