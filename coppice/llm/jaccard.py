@@ -32,10 +32,9 @@ from pyspark.sql.types import StructType
 
 from coppice.llm.common import blank_words, pick, ship, sliced, stored
 from coppice.llm.components import connected
+from coppice.llm.counters import TABLE_BITS, added, frequent_from, packed
 
 WORDS, PERCENT = 5, 75
-# Counters that tell the most frequent n-grams, as a power of two: 2 MB, whatever the corpus.
-TABLE_BITS = 19
 # N-grams in one packed list and, on average, in one group of hashes; documents in one list.
 LIST_GRAMS, GROUP_GRAMS, LIST_DOCS = 2_000_000, 1_000_000, 60_000
 MAX_GROUPS = 1 << 16
@@ -53,7 +52,6 @@ MAX_SENT = 200_000
 MAX_KEPT = 50_000
 # Classes, tiles or pairs that a task remembers, so as not to pass them on twice.
 MAX_SEEN = 200_000
-_SUM_AT_A_TIME = 8
 
 
 class _Hashes(dict):
@@ -152,41 +150,12 @@ def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), *arrays], schema=arrow)
         if table.any():
             last = [pa.nulls(1, field.type) for field in arrow]
-            last[-1] = pa.array([_packed(table)], pa.binary())
+            last[-1] = pa.array([packed(table)], pa.binary())
             yield pa.RecordBatch.from_arrays(last, schema=arrow)
 
     found = stored(rows.mapInArrow(run, made), "sets")
     tables = found.filter("counts is not null").select("counts")
-    return found.filter("counts is null").drop("counts"), _added(tables)
-
-
-def _added(tables: DataFrame) -> np.ndarray:
-    """The tasks' tables added up, some at a time, level by level, so that no task holds many."""
-    size = 1 << TABLE_BITS
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, np.int64)
-        for batch in batches:
-            for data in batch.column("counts"):
-                table += _unpacked(data.as_py())
-        yield pa.RecordBatch.from_pydict({"counts": pa.array([_packed(table)], pa.binary())})
-
-    n = tables.count()
-    while n > _SUM_AT_A_TIME:
-        n = -(-n // _SUM_AT_A_TIME)
-        tables = stored(tables.repartition(n).mapInArrow(add, "counts binary"), "counts")
-    total = np.zeros(size, np.int64)
-    for row in tables.toLocalIterator():
-        total += _unpacked(row.counts)
-    return total
-
-
-def _packed(table: np.ndarray) -> bytes:
-    return (table.astype(np.uint32) if table.max() < 1 << 32 else table).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint32 if len(data) == 4 << TABLE_BITS else np.int64).astype(np.int64)
+    return found.filter("counts is null").drop("counts"), added(tables)
 
 
 def keys_of(grams: np.ndarray, groups: int) -> np.ndarray:
@@ -255,8 +224,7 @@ def _lists(docs: DataFrame, counts: np.ndarray, words: int, percent: int, hot: i
     go with the holders, in the order of their counters.
     """
     rows = pick(docs, "text")
-    above = counts.mean() + max(hot, 8 * counts.mean() ** 0.5)
-    orders = np.where(counts > above, counts, 0)
+    orders = np.where(counts > frequent_from(counts, hot), counts, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -15,17 +15,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from coppice.llm.common import pick, ship, sliced, stored
+from coppice.llm.counters import TABLE_BITS, added, frequent_from, packed
 
 # Words of the shortest passage that counts as repeated, and the most a passage is widened by on a side.
 MIN_WORDS = 25
@@ -33,13 +35,14 @@ _END = re.compile(rb"[.!?] |\n")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 KEY = ["doc_id", "version"]
-DIGEST = ["digest", "check"]
 # Occurrences from which a run is sent to every task, and how many can be at most.
 OFTEN, MAX_FREQUENT = 500, 50_000
 # Words whose hashes a worker keeps.
 MAX_KEPT = 50_000
-# Fixed odd factors of the two hashes of a run.
-_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+# Fixed odd factor of the hash of a run.
+_FACTOR = 0x9E3779B97F4A7C15
+# Places whose neighbours are asked for that may be sent to every task, at 40 bytes or so each.
+MAX_SENT = 200_000
 
 
 class _Hashes(dict):
@@ -90,18 +93,15 @@ def runs(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return hashes, both >> 32, both & 0xFFFFFFFF
 
 
-def digests(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of each run, signed, from one pass of sums over all words."""
-    out = []
-    for factor in _FACTORS:
-        n = len(hashes)
-        powers, back = (np.full(n + 1, f, np.uint64) for f in (factor, pow(factor, -1, 1 << 64)))
-        powers[0] = back[0] = 1
-        powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(hashes ^ np.uint64(factor)) * powers[:n], dtype=np.uint64)))
-        # Runs of other lengths differ too.
-        out.append(_mixed((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64)).view(np.int64))
-    return out
+def digests(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run, signed, from one pass of sums over all words."""
+    n = len(hashes)
+    powers, back = (np.full(n + 1, f, np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+    powers[0] = back[0] = 1
+    powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(hashes) * powers[:n], dtype=np.uint64)))
+    # Runs of other lengths differ too.
+    return _mixed((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64)).view(np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -110,50 +110,52 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row per run: doc_id, version (hash of the text), start, n_words, digest, check; narrow."""
+def occurrences(docs: DataFrame, min_words: int) -> tuple[DataFrame, np.ndarray]:
+    """A row per run: doc_id, version (hash of the text), start, n_words, digest; narrow. And how
+    many runs of the whole corpus each counter has."""
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").filter("text is not null").withColumn("version", F.xxhash64("text"))
-    made = StructType.fromDDL("version long, start int, n_words int, digest long, check long")
+    made = StructType.fromDDL("version long, start int, n_words int, digest long, counts binary")
     schema = StructType([rows.schema["doc_id"], *made])
 
     def out(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
         at = pa.array(np.repeat([i for i, *_ in parts], [len(starts) for _, starts, *_ in parts]).astype(np.int64))
-        columns = [np.concatenate(column) if column else np.zeros(0, np.int64) for column in list(zip(*parts))[1:]] or [np.zeros(0, np.int64)] * 4
+        columns = [np.concatenate(column) for column in list(zip(*parts))[1:]] or [np.zeros(0, np.int64)] * 3
         arrays = [pa.array(column, field.type) for column, field in zip(columns, list(to_arrow_schema(made))[1:])]
-        return pa.RecordBatch.from_arrays([*[batch.column(name).take(at) for name in KEY], *arrays], names=schema.names)
+        none = pa.nulls(len(at), pa.binary())
+        return pa.RecordBatch.from_arrays([*[batch.column(name).take(at) for name in KEY], *arrays, none], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << TABLE_BITS, np.int64)
         for batch in sliced(batches, 500):
             parts, n = [], 0
             for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes, starts, stops = runs(text, min_words)
                 if len(starts):
-                    sizes = (stops - starts).astype(np.int32)
-                    parts.append((i, starts.astype(np.int32), sizes, *digests(hashes, starts, stops)))
+                    found = digests(hashes, starts, stops)
+                    np.add.at(table, found.view(np.uint64) >> np.uint64(64 - TABLE_BITS), 1)
+                    parts.append((i, starts.astype(np.int32), (stops - starts).astype(np.int32), found))
                     n += len(starts)
                 if n >= 50_000:
                     yield out(batch, parts)
                     parts, n = [], 0
             yield out(batch, parts)
+        if table.any():
+            arrays = [pa.nulls(1, field.type) for field in to_arrow_schema(schema)]
+            yield pa.RecordBatch.from_arrays([*arrays[:-1], pa.array([packed(table)], pa.binary())], schema=to_arrow_schema(schema))
 
-    return rows.mapInArrow(run, schema)
+    found = stored(rows.mapInArrow(run, schema), "runs")
+    return found.filter("counts is null").drop("counts"), added(found.filter("counts is not null").select("counts"))
 
 
 # A repeated run or passage goes from word ``start`` to before ``-right.stop``. ``left`` is the
 # place that stays, beside which the words before the passage may be the same; ``closed`` where a passage
 # begins right behind the occurrence that stays. ``right`` is the same for its end. So of
 # spans that begin, or end, together the smallest struct decides.
-def _span_type(id_type) -> StructType:
-    place = [StructField("none", BooleanType()), StructField("doc_id", id_type), StructField("version", LongType()), StructField("at", IntegerType())]
-    return StructType(
-        [
-            StructField("start", IntegerType()),
-            StructField("closed", BooleanType()),
-            StructField("left", StructType(place)),
-            StructField("right", StructType([StructField("stop", IntegerType()), *place])),
-        ]
-    )
+_PLACE = "none boolean, doc_id {id}, version long, at int"
+SPAN = f"struct<start int, closed boolean, left struct<{_PLACE}>, right struct<stop int, {_PLACE}>>"
+# The same with the places in the text, in code points.
+PASSAGE = f"struct<start int, closed boolean, left struct<{_PLACE}>, right struct<stop int, {_PLACE}, end int>, begin int>"
 
 
 def _later(rows: DataFrame) -> DataFrame:
@@ -172,22 +174,19 @@ def _later(rows: DataFrame) -> DataFrame:
     return rows.filter(~(same & (F.col("start") == F.col("first.start")))).select(*KEY, span.alias("span"))
 
 
-def _frequent_spans(rows: DataFrame, frequent: dict[tuple, tuple]) -> DataFrame:
+def _frequent_spans(rows: DataFrame, frequent: dict[int, tuple], id_type: str) -> DataFrame:
     """Later occurrences of the most frequent runs, those of a document that touch as one
     span. They are looked up in each task, so no key of the join is hot."""
-    id_type = rows.schema["doc_id"].dataType
-    made = StructType([rows.schema["doc_id"], rows.schema["version"], StructField("span", _span_type(id_type))])
-    digests = pa.array([digest for digest, _ in frequent], pa.int64())
+    made = StructType([rows.schema["doc_id"], rows.schema["version"], *StructType.fromDDL(f"span {SPAN.format(id=id_type)}")])
+    digests = pa.array(list(frequent), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(made)
         for batch in batches:
             hits = batch.filter(pc.is_in(batch.column("digest"), digests))
             out: list[tuple] = []
-            for doc_id, version, start, n, digest, check in zip(*[column.to_pylist() for column in hits.columns]):
-                if (digest, check) not in frequent:
-                    continue
-                kept_id, kept_version, kept = frequent[digest, check]
+            for doc_id, version, start, n, digest in zip(*[column.to_pylist() for column in hits.columns]):
+                kept_id, kept_version, kept = frequent[digest]
                 same = (doc_id, version) == (kept_id, kept_version)
                 if same and start == kept:
                     continue
@@ -203,7 +202,7 @@ def _frequent_spans(rows: DataFrame, frequent: dict[tuple, tuple]) -> DataFrame:
             columns = list(zip(*out)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
 
-    return rows.select(*KEY, "start", "n_words", *DIGEST).mapInArrow(run, made)
+    return rows.select(*KEY, "start", "n_words", "digest").mapInArrow(run, made)
 
 
 def _rank(place: dict) -> tuple:
@@ -225,130 +224,131 @@ def _joined(one: dict, other: dict) -> dict:
     return {**min(one, other, key=_left_rank), "right": right}
 
 
-def merged(spans: Sequence[dict]) -> list[dict]:
-    """Spans that overlap or touch as one, in order."""
-    out: list[dict] = []
-    for span in sorted(spans, key=_left_rank):
-        if out and span["start"] <= -out[-1]["right"]["stop"]:
-            out[-1] = _joined(out[-1], span)
-        else:
-            out.append(span)
-    return out
-
-
-def _absorb(done: Column, span: Column) -> Column:
-    """:func:`merged` for one more span, in Spark; spans come sorted."""
-    top = F.try_element_at(done, F.lit(-1))
-    grown = F.struct(
-        top["start"].alias("start"),
-        top["closed"].alias("closed"),
-        top["left"].alias("left"),
-        F.least(top["right"], span["right"]).alias("right"),
+def _merged(spans: Column, kind: str, fields: Sequence[str]) -> Column:
+    """Of a list of spans those that overlap or touch as one, in order."""
+
+    def absorb(done: Column, span: Column) -> Column:
+        top = F.try_element_at(done, F.lit(-1))
+        grown = F.struct(*[(F.least(top[f], span[f]) if f == "right" else top[f]).alias(f) for f in fields])
+        touches = (F.size(done) > 0) & (span["start"] <= -top["right"]["stop"])
+        before = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(touches, F.concat(before, F.array(grown))).otherwise(F.concat(done, F.array(span)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{kind}>"), absorb)
+
+
+def _spans(docs: DataFrame, min_words: int, often: int) -> DataFrame:
+    """Per document with something to remove: doc_id, version, its ``spans`` before they are widened."""
+    rows, counts = occurrences(docs, min_words)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    often = max(often, -(-int(counts.sum()) // MAX_FREQUENT))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "start")
+    # A run that is frequent has a full counter; few others have.
+    slots = [(int(slot),) for slot in np.flatnonzero(counts > frequent_from(counts, often) - counts.mean())]
+    full = F.broadcast(docs.sparkSession.createDataFrame(slots, "slot long"))
+    slot = F.shiftrightunsigned("digest", 64 - TABLE_BITS)
+    firsts = rows.join(full, slot == F.col("slot"), "left_semi").groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    found = firsts.filter(F.col("n") >= often).collect()
+    frequent = {row.digest: (row.first.doc_id, row.first.version, row.first.start) for row in found}
+    known = F.broadcast(docs.sparkSession.createDataFrame([(digest,) for digest in frequent], "digest long"))
+    # The others have under ``often`` places each.
+    alike = Window.partitionBy("digest")
+    met = rows.join(known, "digest", "left_anti").select(
+        "*", F.min(rank).over(alike).alias("first"), F.count("*").over(alike).alias("n")
     )
-    touches = (F.size(done) > 0) & (span["start"] <= -top["right"]["stop"])
-    return F.when(touches, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(
-        F.concat(done, F.array(span))
-    )
-
-
-def _passages(docs: DataFrame, min_words: int, often: int) -> DataFrame:
-    """Per document with something to remove: doc_id, version, ``spans`` (to widen) each with
-    the words beside the places that stay, as hashes, nearest first."""
-    rows = stored(occurrences(docs, min_words), "runs")
-    # Half a digest finds what may repeat; both halves and the place decide.
-    counts = rows.groupBy("digest").agg(F.count("*").alias("n"))
-    several = stored(counts.filter("n > 1"), "repeated")
-    often = max(often, -(-rows.count() // MAX_FREQUENT))
-    rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "start")).alias("first")
-    rare = rows.join(several.filter(F.col("n") < often).drop("n"), "digest")
-    firsts = rare.groupBy(*DIGEST).agg(rank, F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = _later(rare.join(firsts, DIGEST))
-    hot = several.filter(F.col("n") >= often).drop("n")
-    found = rows.join(F.broadcast(hot), "digest").groupBy(*DIGEST).agg(rank).collect()
-    frequent = {(row.digest, row.check): (row.first.doc_id, row.first.version, row.first.start) for row in found}
+    later = _later(met.filter("n > 1"))
     if frequent:
-        met = met.unionByName(_frequent_spans(rows, frequent))
+        later = later.unionByName(_frequent_spans(rows, frequent, id_type))
     # All runs of one document, as many as its words at most.
-    none = F.array().cast(ArrayType(_span_type(rows.schema["doc_id"].dataType)))
-    spans = met.groupBy(*KEY).agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    spans = spans.select(*KEY, F.aggregate("spans", none, _absorb).alias("spans"))
-    spans = stored(spans, "spans")
+    spans = later.groupBy(*KEY).agg(F.collect_set("span").alias("spans"))
+    merged = _merged(F.col("spans"), SPAN.format(id=id_type), ("start", "closed", "left", "right"))
+    return stored(spans.select(*KEY, merged.alias("spans")), "spans")
+
+
+def passages(docs: DataFrame, min_words: int, often: int) -> DataFrame:
+    """Per document with something to remove: doc_id, version and its ``spans``, widened, with
+    ``begin`` and ``right.end`` in code points.
+
+    The words beside a span and those beside the places that stay are looked up in their
+    texts in one go, as hashes, and then compared; texts move at most once.
+    """
+    spans = _spans(docs, min_words, often)
     each = spans.select(*KEY, F.posexplode("spans").alias("i", "span"))
-    place = lambda side: [F.col(f"span.{side}.{name}") for name in (*KEY, "at")]
-    wanted = each.filter("not span.closed").select(*place("left"), F.lit(-1).alias("side"))
-    beside = _contexts(docs, wanted.union(each.select(*place("right"), F.lit(1).alias("side"))), min_words)
+    own = {-1: F.col("span.start"), 1: -F.col("span.right.stop")}
+    kept = {-1: "span.left", 1: "span.right"}
+    asked = [each.select(*KEY, own[side].alias("at"), F.lit(side).alias("side")) for side in (-1, 1)]
+    asked += [each.select(*[F.col(f"{kept[side]}.{name}") for name in (*KEY, "at")], F.lit(side).alias("side")) for side in (-1, 1)]
+    near = _neighbours(docs, reduce(DataFrame.union, asked), min_words)
     for side, name in ((-1, "left"), (1, "right")):
-        own = beside.filter(F.col("side") == side).select(
-            *[F.col(c).alias(f"_{c}") for c in (*KEY, "at")], F.col("words").alias(f"{name}_words")
-        )
-        doc_id, version, at = place(name)
-        same = doc_id.eqNullSafe(F.col("_doc_id")) & (version == F.col("_version")) & (at == F.col("_at"))
-        each = each.join(own, same, "left").drop("_doc_id", "_version", "_at")
-    both = F.struct("i", "span", "left_words", "right_words")
-    return each.groupBy(*KEY).agg(F.array_sort(F.collect_list(both)).alias("spans"))
+        half = near.filter(F.col("side") == side).drop("side")
+        mine = half.toDF("_doc_id", "_version", "_at", f"{name}_own", f"{name}_places")
+        theirs = half.drop("places").toDF("_doc_id", "_version", "_at", f"{name}_kept")
+        at = {"doc_id": F.col("doc_id"), "version": F.col("version"), "at": own[side]}
+        there = {c: F.col(f"{kept[side]}.{c}") for c in (*KEY, "at")}
+        for other, place in ((mine, at), (theirs, there)):
+            same = place["doc_id"].eqNullSafe(F.col("_doc_id")) & (place["version"] == F.col("_version")) & (place["at"] == F.col("_at"))
+            each = each.join(other, same).drop("_doc_id", "_version", "_at")
+
+    def matching(name: str) -> Column:
+        """Length of the run of equal words two lists begin with."""
+        pairs = F.arrays_zip(F.col(f"{name}_own").alias("a"), F.col(f"{name}_kept").alias("b"))
+        end = F.array_position(F.transform(pairs, lambda pair: F.coalesce(pair["a"] == pair["b"], F.lit(False))), False)
+        return F.when(end == 0, F.size(f"{name}_own")).otherwise(end - 1).cast("int")
+
+    more = each.withColumn("before", F.when(F.col("span.closed"), 0).otherwise(matching("left"))).withColumn("behind", matching("right"))
+    left = [F.col(f"span.left.{name}") for name in ("none", *KEY)]
+    right = [F.col(f"span.right.{name}") for name in ("none", *KEY, "at")]
+    span = F.struct(
+        (F.col("span.start") - F.col("before")).alias("start"),
+        F.col("span.closed").alias("closed"),
+        F.struct(*left, (F.col("span.left.at") - F.col("before")).alias("at")).alias("left"),
+        F.struct(
+            (F.col("span.right.stop") - F.col("behind")).alias("stop"), *right, F.get("right_places", F.col("behind")).alias("end")
+        ).alias("right"),
+        F.get("left_places", F.col("before")).alias("begin"),
+    )
+    grown = more.select(*KEY, span.alias("span")).groupBy(*KEY).agg(F.collect_list("span").alias("spans"))
+    id_type = spans.schema["doc_id"].dataType.simpleString()
+    merged = _merged(F.col("spans"), PASSAGE.format(id=id_type), ("start", "closed", "left", "right", "begin"))
+    return grown.select(*KEY, merged.alias("spans"))
 
 
 def word_hash(word: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64))
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
-    """doc_id, version, at, side, and the hashes of up to ``most`` words before or from ``at``."""
-    asked = wanted.distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "side")).alias("asked"))
-    asked = asked.toDF("_id", "_version", "asked")
+def _neighbours(docs: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """doc_id, version, at, side, ``words``: the hashes of up to ``most`` words before (side -1) or
+    from (1) word ``at``, nearest first, and ``places``: where in the text word ``at`` begins and
+    each further one on that side; behind the last word that is the text's end."""
+    asked = stored(asked.distinct(), "asked")
+    few = asked.count() <= MAX_SENT
+    asked = asked.groupBy(*KEY).agg(F.collect_list(F.struct("at", "side")).alias("asked")).toDF("_id", "_version", "asked")
     rows = pick(docs, "doc_id", "text").filter("text is not null").withColumn("version", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    met = rows.join(asked, same).select(*KEY, "text", "asked")
-    made = StructType([rows.schema["doc_id"], *StructType.fromDDL("version long, at int, side int, words array<long>")])
+    met = rows.join(F.broadcast(asked) if few else asked, same).select(*KEY, "text", "asked")
+    types = "version long, at int, side int, words array<long>, places array<int>"
+    made = StructType([rows.schema["doc_id"], *StructType.fromDDL(types)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(made)
         for batch in sliced(batches, 200):
             out = []
-            for doc_id, version, text, places in zip(*[column.to_pylist() for column in batch.columns]):
+            for doc_id, version, text, wanted in zip(*[column.to_pylist() for column in batch.columns]):
                 words = text.encode().lower().split()
-                for place in places:
-                    at = place["at"]
-                    near = words[max(at - most, 0) : at][::-1] if place["side"] < 0 else words[at : at + most]
-                    out.append((doc_id, version, at, place["side"], [word_hash(word) for word in near]))
+                begins = [match.start() for match in _WORD.finditer(text)] + [len(text)]
+                for place in wanted:
+                    at, side = place["at"], place["side"]
+                    if side < 0:
+                        near, places = words[max(at - most, 0) : at][::-1], begins[max(at - most, 0) : at + 1][::-1]
+                    else:
+                        near, places = words[at : at + most], begins[at : at + most + 1]
+                    out.append((doc_id, version, at, side, [word_hash(word) for word in near], places))
             columns = list(zip(*out)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
 
     # Rows that agree are one document.
-    found = met.mapInArrow(run, made).dropDuplicates(["doc_id", "version", "at", "side"])
-    return stored(found, "beside")
-
-
-def widened(text: str, spans: Sequence[dict]) -> list[tuple]:
-    """The passages to cut from a text: begin, end (code points), the doc_id that keeps the
-    first of each and the number of the word it begins with there."""
-    words = text.encode().lower().split()
-    grown = []
-    for item in spans:
-        span = item["span"]
-        start, end, more = span["start"], -span["right"]["stop"], 0
-        for hashed in () if span["closed"] else item["left_words"] or ():
-            if start - more < 1 or word_hash(words[start - more - 1]) != hashed:
-                break
-            more += 1
-        for hashed in item["right_words"] or ():
-            if end >= len(words) or word_hash(words[end]) != hashed:
-                break
-            end += 1
-        left = {**span["left"], "at": span["left"]["at"] - more}
-        grown.append({"start": start - more, "closed": span["closed"], "left": left, "right": {**span["right"], "stop": -end}})
-    begins = [match.start() for match in _WORD.finditer(text)] + [len(text)]
-    return [(begins[s["start"]], begins[-s["right"]["stop"]], s["left"]["doc_id"], s["left"]["at"]) for s in merged(grown)]
-
-
-def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> tuple[DataFrame, int, int]:
-    """The rows of ``docs`` by position, with ``_spans`` last; the positions of doc_id and text."""
-    names = docs.columns
-    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    doc_id, text = names.index("doc_id"), names.index("text")
-    asked = spans.toDF("_id", "_version", "_spans")
-    same = F.col(f"_{doc_id}").eqNullSafe(F.col("_id")) & (F.xxhash64(f"_{text}") == F.col("_version"))
-    return plain.join(asked, same, how).drop("_id"), doc_id, text
+    return stored(met.mapInArrow(run, made).dropDuplicates(["doc_id", "version", "at", "side"]), "beside")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, often: int = OFTEN) -> DataFrame:
@@ -357,32 +357,24 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, often: int = OFTEN) ->
     and the number of the word it begins with there).
 
     Every passage of twice ``min_words`` less one words that an earlier document holds is found, and of
-    ``min_words`` where it has whole lines or sentences. What occurs again in a document while its first
+    ``min_words`` where it has whole lines or sentences. Runs are compared as 64-bit
+    hashes. What occurs again in a document while its first
     occurrence goes on is cut from that one's end. Rows that agree in doc_id and text are
     one document. A null doc_id ranks after all others; a null, empty or short text has no
     passages; a very long one is read whole by one task; ties go to the smaller text hash; an empty table gives
-    no rows; other columns are ignored. First occurrences are found by an aggregate
-    that is combined in each task before its shuffle, so a passage of a third of all
-    documents is no hot group. Digests that repeat are joined back; those that occur
-    ``often`` or more, or make up more than a :data:`MAX_FREQUENT`-th of all
-    runs where that is more, are sent to every task instead.
+    no rows; other columns are ignored. Runs that occur ``often`` or more, or make up more than a
+    :data:`MAX_FREQUENT`-th of all where that is more, have their first occurrence from an
+    aggregate that is combined in each task before its shuffle, and are sent to every task; so
+    a passage of a third of all documents is no hot group. All others meet by digest, once.
     """
-    met, *_ = _with_spans(pick(docs, "doc_id", "text"), _passages(docs, min_words, often), "inner")
-    id_field = pick(docs, "doc_id").schema["doc_id"]
-    made = StructType(
-        [id_field, *StructType.fromDDL("version long, begin int, end int"), StructField("kept_doc_id", id_field.dataType)]
-    ).add("kept_word", IntegerType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(made)
-        for batch in sliced(batches, 200):
-            out = []
-            for doc_id, text, version, spans in zip(*[column.to_pylist() for column in batch.columns]):
-                out += [(doc_id, version, *passage) for passage in widened(text, spans)]
-            columns = list(zip(*out)) if out else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
-
-    return met.mapInArrow(run, made).dropDuplicates([*KEY, "begin"])
+    found = passages(docs, min_words, often).select(*KEY, F.explode("spans").alias("span"))
+    return found.select(
+        *KEY,
+        F.col("span.begin").alias("begin"),
+        F.col("span.right.end").alias("end"),
+        F.col("span.left.doc_id").alias("kept_doc_id"),
+        F.col("span.left.at").alias("kept_word"),
+    )
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -390,24 +382,19 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     the cut spans as begin and end in the original text, an empty list where none is. A
     column of that name is replaced; all others stay as they are. What counts as repeated,
     and odd rows, are as in :func:`repeats`; a null text stays null."""
-    met, _, text = _with_spans(docs, _passages(docs, min_words, OFTEN), "left")
-    names, n = docs.columns, len(docs.columns)
-    removed = StructField("_removed", ArrayType(StructType.fromDDL("begin int, end int")))
-    made = StructType([*met.schema.fields[:n], removed])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(made)
-        for batch in sliced(batches, 200):
-            texts, cuts = batch.column(text).to_pylist(), []
-            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                found = widened(texts[i], spans) if spans else []
-                for begin, end, *_ in reversed(found):
-                    texts[i] = texts[i][:begin] + texts[i][end:]
-                cuts.append([{"begin": begin, "end": end} for begin, end, *_ in found])
-            columns = [*batch.columns[:n], pa.array(cuts, arrow.field("_removed").type)]
-            columns[text] = pa.array(texts, arrow.field(f"_{text}").type)
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    cut = met.mapInArrow(run, made)
-    kept = [F.col(f"_{i}").alias(name) for i, name in enumerate(names) if name != "removed"]
-    return cut.select(*kept, F.col("_removed").alias("removed"))
+    cuts = F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["right"]["end"].alias("end")))
+    asked = passages(docs, min_words, OFTEN).select(*KEY, cuts.alias("cuts")).toDF("_id", "_version", "_cuts")
+    names = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    text = F.col(f"_{names.index('text')}")
+    same = F.col(f"_{names.index('doc_id')}").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_version"))
+    joined = plain.join(asked, same, "left")
+    # What lies before the first cut, between two, and behind the last.
+    starts = F.concat(F.array(F.lit(0)), F.col("_cuts.end"))
+    stops = F.concat(F.col("_cuts.begin"), F.array(F.length(text)))
+    parts = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: F.substring(text, p["a"] + 1, p["b"] - p["a"]))
+    left = F.when(F.col("_cuts").isNull(), text).otherwise(F.array_join(parts, ""))
+    columns = {i: F.col(f"_{i}") for i in range(len(names)) if names[i] != "removed"} | {names.index("text"): left}
+    kept = [column.alias(names[i]) for i, column in sorted(columns.items())]
+    none = F.expr("cast(array() as array<struct<begin:int,end:int>>)")
+    return joined.select(*kept, F.coalesce("_cuts", none).alias("removed"))

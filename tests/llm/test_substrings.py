@@ -182,8 +182,8 @@ def test_runs(text, least):
     words, expected = runs_of(text, least)
     assert list(zip(starts.tolist(), stops.tolist())) == expected and len(hashes) == len(words)
     same = {}
-    for a, b, *found in zip(starts.tolist(), stops.tolist(), *digests(hashes, starts, stops)):
-        assert same.setdefault(tuple(words[a:b]), tuple(found)) == tuple(found)
+    for a, b, found in zip(starts.tolist(), stops.tolist(), digests(hashes, starts, stops).tolist()):
+        assert same.setdefault(tuple(words[a:b]), found) == found
     assert len(set(same.values())) == len(same)
 
 
