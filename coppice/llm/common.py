@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -66,6 +67,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_of(table: DataFrame) -> str | None:
+    """The folder of a :func:`stored` table; None where it has no file."""
+    files = table.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else None
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are stored. They stay on the
+    executors' disks until the driver's JVM collects what names them, which a driver with
+    little to do puts off; at the end of a large step it is asked to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in parts, so that few texts are held as Python strings at a time."""
     for batch in batches:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import stored
+from coppice.llm.common import folder_of, stored
+from coppice.session import remove_folder
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -20,6 +21,7 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     linked = both.select(F.col("a").alias("node")).distinct().join(nodes, "node")
     best = F.struct(F.col("label").isNull().alias("last"), "label", F.col("node").alias("root"))
     labels = stored(linked.select("node", best.alias("best")), "labels")
+    jumped_from = folder_of(labels)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("best").alias("near"))
         grown = labels.join(near, labels["node"] == near["a"], "left").select("node", "best", F.least("best", "near").alias("found"))
@@ -27,7 +29,10 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
         jumped = grown.join(ahead, grown["found.root"] == ahead["root"]).select(
             "node", F.least("found", "ahead").alias("best"), (F.least("found", "ahead") != F.col("best")).alias("moved")
         )
-        jumped = stored(jumped, "labels")
+        jumped, before = stored(jumped, "labels"), jumped_from
+        if before:
+            remove_folder(both.sparkSession, before)
+        jumped_from = folder_of(jumped)
         labels = jumped.select("node", "best")
         if jumped.filter("moved").isEmpty():
             return labels.select("node", F.col("best.root").alias("root"), F.col("best.label").alias("label"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from coppice.llm.common import blank_words, pick, ship, sliced, stored
+from coppice.llm.common import blank_words, pick, release, ship, sliced, stored
 from coppice.llm.components import connected
 from coppice.llm.counters import TABLE_BITS, added, frequent_from, packed
 
@@ -516,6 +516,31 @@ def _pairs(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
 
 
+def _involved(blocks: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Of blocks whose members have ``root`` those members that the bound allows to be similar to
+    one of another root: block, side, class, n, root."""
+    names = ["block", "side", "class", "n", "root"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ["block"]):
+            order = np.lexsort((rows["class"], rows["n"]))
+            n, side, root = (np.array(rows[name], np.int64)[order] for name in ("n", "side", "root"))
+            members = Members(n, [np.frombuffer(rows["bitmap"][k], np.uint8) for k in order])
+            marked = np.zeros(len(n), bool)
+            for i in range(1, len(n)):
+                low, meet = _band(n, side, i, percent)
+                meet &= root[low:i] != root[i]
+                if meet.any():
+                    fits = np.flatnonzero(meet & similar(members.bounds(i, low), n[i], n[low:i], percent))
+                    marked[low + fits] = True
+                    marked[i] |= len(fits) > 0
+            kept = order[marked]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[name], np.int64)[kept]) for name in names], names=names)
+
+    dealt = blocks.join(maps, "class").select(*names, "bitmap").repartition("block").sortWithinPartitions("block")
+    return stored(dealt.mapInArrow(run, "block long, side long, class long, n long, root long"), "involved")
+
+
 def spanning(key: np.ndarray, n: np.ndarray, side: np.ndarray, root: np.ndarray, grams: list[np.ndarray], percent: int, failed: set) -> list[tuple]:
     """Links of a block that join components, by exact intersection of what the bound leaves;
     fewer than members. Members come by size; ``failed`` remembers pairs that are not similar."""
@@ -564,7 +589,8 @@ def _joining(blocks: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """class and its sorted n-grams (eight bytes each), from the text of the row that stands for it."""
     rows = pick(docs, "doc_id", "text")
-    asked = wanted.select("class", F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+    asked = stored(wanted.select("class", F.col("doc_id").alias("_id"), F.col("version").alias("_version")), "wanted")
+    asked = F.broadcast(asked) if asked.count() <= MAX_SENT else asked
     same = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
     met = rows.join(asked, same).select("class", "text")
 
@@ -665,9 +691,10 @@ def similar_groups(
     stands = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")).alias("stands")
     classes = known.groupBy("class").agg(stands).select("class", "stands.doc_id", "stands.version")
     classes = stored(classes, "classes")
-    first = stored(_prefixes(docs, counts, words, percent, hot), "prefixes")
-    late = first.filter("late").select(F.col("gram").alias("tile"), "class", "n")
-    blocks = _blocks(_dealt_tiles(first.filter("not late").select("class", "n", "gram"), late), tile)
+    prefixes = stored(_prefixes(docs, counts, words, percent, hot), "prefixes")
+    release(docs.sparkSession)
+    late = prefixes.filter("late").select(F.col("gram").alias("tile"), "class", "n")
+    blocks = _blocks(_dealt_tiles(prefixes.filter("not late").select("class", "n", "gram"), late), tile)
     maps = known.filter("bitmap is not null").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
     maps = stored(maps.join(blocks.select("class").distinct(), "class", "left_semi"), "signatures")
 
@@ -675,13 +702,15 @@ def similar_groups(
     first = _checked(likeliest, docs, classes, words, percent)
     nodes = classes.select(F.col("class").alias("node"), F.col("doc_id").alias("label"))
     found = connected(nodes, first)
+    release(docs.sparkSession)
 
     roots = blocks.join(found.select(F.col("node").alias("class"), "root"), "class", "left")
     roots = roots.withColumn("root", F.coalesce("root", "class"))
     apart = roots.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     open_blocks = stored(roots.join(apart.select("block"), "block", "left_semi"), "open")
-    wanted = classes.join(open_blocks.select("class").distinct(), "class", "left_semi")
-    links = first.union(_joining(open_blocks, _arrays(docs, wanted, words), percent))
+    involved = _involved(open_blocks, maps, percent)
+    wanted = classes.join(involved.select("class").distinct(), "class", "left_semi")
+    links = first.union(_joining(involved, _arrays(docs, wanted, words), percent))
     found = connected(nodes, links)
 
     members = sets.select("doc_id", "n", "class").join(classes.select("class", F.col("doc_id").alias("lowest")), "class", "left")

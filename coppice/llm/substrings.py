@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from coppice.llm.common import pick, ship, sliced, stored
+from coppice.llm.common import pick, release, ship, sliced, stored
 from coppice.llm.counters import TABLE_BITS, added, frequent_from, packed
 
 # Words of the shortest passage that counts as repeated, and the most a passage is widened by on a side.
@@ -273,6 +273,7 @@ def passages(docs: DataFrame, min_words: int, often: int) -> DataFrame:
     texts in one go, as hashes, and then compared; texts move at most once.
     """
     spans = _spans(docs, min_words, often)
+    release(docs.sparkSession)
     each = spans.select(*KEY, F.posexplode("spans").alias("i", "span"))
     own = {-1: F.col("span.start"), 1: -F.col("span.right.stop")}
     kept = {-1: "span.left", 1: "span.right"}
