@@ -41,8 +41,6 @@ OFTEN, MAX_FREQUENT = 500, 50_000
 MAX_KEPT = 50_000
 # Fixed odd factor of the hash of a run.
 _FACTOR = 0x9E3779B97F4A7C15
-# Places whose neighbours are asked for that may be sent to every task, at 40 bytes or so each.
-MAX_SENT = 200_000
 
 
 class _Hashes(dict):
@@ -322,12 +320,10 @@ def _neighbours(docs: DataFrame, asked: DataFrame, most: int) -> DataFrame:
     """doc_id, version, at, side, ``words``: the hashes of up to ``most`` words before (side -1) or
     from (1) word ``at``, nearest first, and ``places``: where in the text word ``at`` begins and
     each further one on that side; behind the last word that is the text's end."""
-    asked = stored(asked.distinct(), "asked")
-    few = asked.count() <= MAX_SENT
-    asked = asked.groupBy(*KEY).agg(F.collect_list(F.struct("at", "side")).alias("asked")).toDF("_id", "_version", "asked")
+    asked = asked.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("at", "side")).alias("asked")).toDF("_id", "_version", "asked")
     rows = pick(docs, "doc_id", "text").filter("text is not null").withColumn("version", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
-    met = rows.join(F.broadcast(asked) if few else asked, same).select(*KEY, "text", "asked")
+    met = rows.join(asked, same).select(*KEY, "text", "asked")
     types = "version long, at int, side int, words array<long>, places array<int>"
     made = StructType([rows.schema["doc_id"], *StructType.fromDDL(types)])
 
