@@ -1,33 +1,55 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index is cut by documents: each task keeps, for the documents of one batch, the
-postings (positions) of every term that some benchmark item holds. A window of item
-words is looked up from its rarest term there: the lists are shifted by each term's
-place in the window and intersected, the next rarest first, until one is empty. So a
-common term's list is only probed for the few starts that rarer ones left.
+The index is a stored table, cut by documents: a row per shard of documents holds the
+terms that occur there, in order, each with its postings (the places where it stands),
+and whose documents they are. A window of item words is looked up from its rarest
+term in a shard: the lists are shifted by each term's place in the window and
+intersected, the next rarest first, until one is empty. So a common term's list is only
+probed for the few starts that rarer ones left, and a window with too many terms that
+a shard lacks is not looked up there at all. An index is built once and serves any benchmark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from coppice.llm.common import alnum_words, pick, ship, stored
 
 WINDOW = 10
 # Terms of a window that may be missing or differ in a proximity match.
 SLACK = 2
-# Bytes of benchmark text whose windows may go to the tasks at a time.
+# Bytes of benchmark windows that may go to the tasks at a time.
 MAX_ITEM_BYTES = 16 * 1024 * 1024
 # Words indexed together.
 SHARD_WORDS = 2_000_000
+# Word hashes a worker keeps.
+MAX_KEPT = 50_000
+
+
+class _Terms(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MAX_KEPT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_terms = _Terms()
+
+
+def term_hashes(words: Sequence[bytes]) -> np.ndarray:
+    return np.fromiter(map(_terms.__getitem__, words), np.uint64, len(words)).view(np.int64)
 
 
 class Windows(NamedTuple):
@@ -41,30 +63,28 @@ def item_windows(items: Sequence[tuple[object, str | None]], size: int) -> Windo
     terms: dict[bytes, int] = {}
     owners: dict[tuple[int, ...], set[str]] = {}
     for item, text in items:
-        words = [terms.setdefault(word, len(terms)) for word in alnum_words(text)]
-        for i in range(max(len(words) - size, 0) + 1 if words else 0):
-            owners.setdefault(tuple(words[i : i + size]), set()).add(str(item))
+        for window in windows_of(text, size):
+            owners.setdefault(tuple(terms.setdefault(word, len(terms)) for word in window), set()).add(str(item))
     return Windows(terms, list(owners), [sorted(names) for names in owners.values()])
 
 
+def windows_of(text: str | None, size: int) -> Iterator[list[bytes]]:
+    words = alnum_words(text)
+    for i in range(max(len(words) - size, 0) + 1 if words else 0):
+        yield words[i : i + size]
+
+
 class Shard:
-    """Postings of the benchmark's terms in a run of documents that stand one after the
+    """Postings of the terms of some windows in a run of documents that stand one after the
     other; a gap wider than any window keeps matches inside a document."""
 
-    def __init__(self, lengths: Sequence[int], codes: np.ndarray, n_terms: int, gap: int):
-        sizes = np.asarray(lengths, np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(sizes + gap)))[:-1]
-        self.sizes = sizes
-        shift = np.repeat(np.arange(len(sizes), dtype=np.int64) * gap, sizes)
-        places = np.arange(len(codes), dtype=np.int64) + shift
-        known = codes >= 0
-        order = np.argsort(codes[known], kind="stable")
-        self.places = places[known][order]
-        self.bounds = np.searchsorted(codes[known][order], np.arange(n_terms + 1)).tolist()
-        self.counts = np.diff(self.bounds).tolist()
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, bounds: np.ndarray, counts: np.ndarray):
+        """``bounds`` and ``counts`` say where each term's list begins in ``places``, and its length."""
+        self.starts, self.sizes, self.places = starts, sizes, places
+        self.bounds, self.counts = bounds.tolist(), counts.tolist()
 
     def postings(self, term: int) -> np.ndarray:
-        return self.places[self.bounds[term] : self.bounds[term + 1]]
+        return self.places[self.bounds[term] : self.bounds[term] + self.counts[term]]
 
     def _rarest_first(self, window: tuple[int, ...]) -> list[int]:
         return sorted(range(len(window)), key=lambda i: self.counts[window[i]])
@@ -106,32 +126,46 @@ class Shard:
         return np.searchsorted(self.starts, starts, side="right") - 1
 
 
-def find(texts: Sequence[str | None], index: Windows, slack: int | None) -> Iterator[tuple]:
-    """Per text: words, covered word ranges, items with an occurring window, starts of
-    proximity matches."""
-    lengths, codes = [], []
-    for text in texts:
-        words = alnum_words(text)
-        lengths.append(len(words))
-        codes.append(np.fromiter((index.terms.get(word, -1) for word in words), np.int64, len(words)))
-    gap = max(map(len, index.windows), default=0)
-    shard = Shard(lengths, np.concatenate(codes) if codes else np.zeros(0, np.int64), len(index.terms), gap)
-    ranges: list[list] = [[] for _ in texts]
-    names: list[set] = [set() for _ in texts]
-    near: list[int] = [0] * len(texts)
-    for window, items in zip(index.windows, index.items):
-        starts = shard.phrase(window)
-        for start, d in zip(starts.tolist(), shard.document(starts).tolist()):
-            begin = start - int(shard.starts[d])
-            ranges[d].append((begin, begin + len(window)))
-            names[d].update(items)
-        if slack is not None:
-            starts = shard.near(window, slack)
-            documents, counts = np.unique(shard.document(starts), return_counts=True)
-            for d, n in zip(documents.tolist(), counts.tolist()):
-                near[d] += n
-    for d, length in enumerate(lengths):
-        yield length, merge(ranges[d]), sorted(names[d]), near[d]
+class Lookup:
+    """Windows to look up in shards, with their terms as hashes."""
+
+    def __init__(self, windows: Sequence[Sequence[int]], items: Sequence[Sequence[str]], slack: int | None):
+        self.items, self.slack = items, slack
+        width = max(map(len, windows), default=0)
+        self.terms = np.unique(np.array([term for window in windows for term in window], np.int64))
+        place = {int(term): i for i, term in enumerate(self.terms)}
+        self.windows = [tuple(place[term] for term in window) for window in windows]
+        # Windows side by side; what a shorter one lacks is a term that no shard lacks.
+        self.table = np.full((len(windows), width), len(self.terms))
+        for i, window in enumerate(self.windows):
+            self.table[i, : len(window)] = window
+
+    def find(self, shard: dict[str, np.ndarray]) -> Iterator[tuple]:
+        """Per document of a shard: covered word ranges, items with an occurring window,
+        number of proximity matches."""
+        at = np.searchsorted(shard["terms"], self.terms)
+        at = np.minimum(at, max(len(shard["terms"]) - 1, 0))
+        known = shard["terms"][at] == self.terms if len(shard["terms"]) else np.zeros(len(self.terms), bool)
+        bounds, lengths = shard["bounds"][:-1], np.diff(shard["bounds"])
+        counts = np.where(known, lengths[at] if len(lengths) else 0, 0)
+        index = Shard(shard["starts"], shard["sizes"], shard["places"], bounds[at] if len(bounds) else at, counts)
+        n = len(index.starts)
+        ranges: list[list] = [[] for _ in range(n)]
+        names: list[set] = [set() for _ in range(n)]
+        near = np.zeros(n, np.int64)
+        absent = (np.append(counts, 1)[self.table] == 0).sum(axis=1)
+        for i in np.flatnonzero(absent <= (self.slack or 0)).tolist():
+            window = self.windows[i]
+            if not absent[i]:
+                starts = index.phrase(window)
+                for start, d in zip(starts.tolist(), index.document(starts).tolist()):
+                    begin = start - int(index.starts[d])
+                    ranges[d].append((begin, begin + len(window)))
+                    names[d].update(self.items[i])
+            if self.slack is not None:
+                np.add.at(near, index.document(index.near(window, self.slack)), 1)
+        for own, found, count in zip(ranges, names, near.tolist()):
+            yield merge(own), sorted(found), count
 
 
 def merge(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -144,56 +178,94 @@ def merge(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(texts: Sequence[str | None], words: int) -> Iterator[Sequence[str | None]]:
-    """Cut a batch so that a shard has about so many words, taking 4 bytes for a word."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "") // 4
-        if size > words:
-            yield texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
-
-
-def _slices(benchmark: DataFrame, max_bytes: int) -> Iterator[list]:
-    """The items in runs of at most ``max_bytes``, an item more at most, read as a stream."""
-    run, size = [], 0
-    for item, text in benchmark.orderBy("item_id", "text").toLocalIterator():
-        run.append((item, text))
-        size += len((text or "").encode())
-        if size >= max_bytes:
-            yield run
-            run, size = [], 0
-    yield run
-
-
-def _search(rows: DataFrame, index: Windows, slack: int | None, text: bool) -> DataFrame:
-    """Add what the windows find to a table of doc_id, text, ranges, items, n_near; the
-    text stays for a further slice of the benchmark if asked for."""
-    kept = ["doc_id", "text"] if text else ["doc_id"]
+def build_index(docs: DataFrame, gap: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The stored index of all words of all documents: a row per shard, with ``doc_ids``, each
+    one's first place in the shard (``starts``) and words (``sizes``), ``terms`` (sorted hashes),
+    and ``places``, the lists of the terms one after the other, cut at ``bounds``.
+
+    A null text has no words, and its document no places; repeated rows are documents of
+    their own; a document longer than a shard is one shard, alone or with those before it. ``gap`` is the longest
+    window that can be looked up. Other columns are ignored. Words are compared as 64-bit hashes.
+    """
+    ship(docs.sparkSession)
+    rows = pick(docs, "doc_id", "text")
+    made = StructType.fromDDL("shard long").add("doc_ids", ArrayType(rows.schema["doc_id"].dataType))
+    made = StructType([*made, *StructType.fromDDL("starts array<long>, sizes array<long>, terms array<long>, bounds array<long>, places array<int>")])
+
+    def row(number: int, ids: list, sizes: list[int], codes: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = np.array(sizes, np.int64)
+        starts = np.concatenate(([0], np.cumsum(lengths + gap)))[:-1]
+        words = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        places = (np.arange(len(words), dtype=np.int64) + np.repeat(np.arange(len(lengths)) * gap, lengths)).astype(np.int32)
+        order = np.argsort(words, kind="stable")
+        terms, bounds = np.unique(words[order], return_index=True)
+        columns = [ids, starts, lengths, terms, np.append(bounds, len(words)), places[order]]
+        arrays = [pa.array([number], pa.int64()), *[pa.array([c], field.type) for c, field in zip(columns, list(to_arrow_schema(made))[1:])]]
+        return pa.RecordBatch.from_arrays(arrays, schema=to_arrow_schema(made))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, sizes, codes, total = TaskContext.get().partitionId() << 32, [], [], [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    words = alnum_words(text)
+                    ids.append(doc_id)
+                    sizes.append(len(words))
+                    codes.append(term_hashes(words))
+                    total += len(words) + gap
+                    if total >= shard_words:
+                        yield row(number, ids, sizes, codes)
+                        number, ids, sizes, codes, total = number + 1, [], [], [], 0
+        if ids:
+            yield row(number, ids, sizes, codes)
+
+    return stored(rows.mapInArrow(run, made), "index")
+
+
+def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """A row per distinct window of all items: line (its words with blanks), items (of those that
+    hold it, as text, sorted), n_bytes. An item of fewer words is one window, one without words none."""
+    ship(benchmark.sparkSession)
+    rows = pick(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("item"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                lines = [[b" ".join(w) for w in windows_of(text, size)] for text in part.column("text").to_pylist()]
+                owners = pa.array(np.repeat(np.arange(len(lines)), [len(own) for own in lines]))
+                found = pa.array([line.decode() for own in lines for line in own], pa.string())
+                yield pa.RecordBatch.from_arrays([found, part.column("item").take(owners)], names=["line", "item"])
+
+    found = rows.mapInArrow(run, "line string, item string")
+    grouped = found.groupBy("line").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    n_bytes = F.length("line") + F.aggregate("items", F.lit(0), lambda total, item: total + F.length(item))
+    return stored(grouped.withColumn("n_bytes", n_bytes), "windows")
+
+
+def _look_up(index: DataFrame, windows: list, slack: int | None) -> DataFrame:
+    """Per document of the index: shard, number (there), doc_id, n_words, and what the windows find."""
+    lookup = Lookup([term_hashes(line.encode().split()).tolist() for line, _ in windows], [items for _, items in windows], slack)
+    id_type = index.schema["doc_ids"].dataType.elementType
     found = StructType.fromDDL("n_words long, ranges array<struct<begin:long,end:long>>, items array<string>, n_near long")
-    schema = StructType([*[rows.schema[name] for name in kept], *found])
+    made = StructType([*StructType.fromDDL("shard long, number long"), StructField("doc_id", id_type), *found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(found)
+        arrow = to_arrow_schema(made)
         for batch in batches:
-            out = []
-            for texts in _runs(batch.column("text").to_pylist(), SHARD_WORDS):
-                out.extend(find(texts, index, slack))
-            if "items" in batch.schema.names:
-                earlier = zip(*[batch.column(name).to_pylist() for name in ("ranges", "items", "n_near")])
-                out = [
-                    (n, merge([*ranges, *[(r["begin"], r["end"]) for r in old]]), sorted({*items, *names}), near + count)
-                    for (n, ranges, items, near), (old, names, count) in zip(out, earlier)
-                ]
-            words, ranges, items, near = zip(*out) if out else ((), (), (), ())
-            ranges = [[{"begin": begin, "end": end} for begin, end in row] for row in ranges]
-            columns = [pa.array(v, field.type) for v, field in zip((words, ranges, items, near), arrow)]
-            arrays = [*[batch.column(name) for name in kept], *columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *arrow.names])
-
-    return rows.mapInArrow(run, schema)
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                shard = {name: one.column(name).flatten().to_numpy(zero_copy_only=False) for name in ("starts", "sizes", "terms", "bounds", "places")}
+                ids = one.column("doc_ids").flatten()
+                ranges, items, near = zip(*lookup.find(shard))
+                ranges = [[{"begin": begin, "end": end} for begin, end in row] for row in ranges]
+                numbers = [np.full(len(ids), one.column("shard")[0].as_py()), np.arange(len(ids))]
+                columns = [pa.array(v, arrow.field(k).type) for k, v in zip(("ranges", "items", "n_near"), (ranges, items, near))]
+                arrays = [*map(pa.array, numbers), ids, pa.array(shard["sizes"]), *columns]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return index.mapInArrow(run, made)
 
 
 def matches(
@@ -202,25 +274,49 @@ def matches(
     window: int = WINDOW,
     slack: int | None = SLACK,
     max_bytes: int = MAX_ITEM_BYTES,
+    shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """Per row: doc_id, n_words, ranges (begin and end of covered words), items (ids of
     those with an occurring window, as text), n_near (places where at most ``slack``
     words of some window differ, the exact ones included; 0 where ``slack`` is None).
 
-    A benchmark of at most ``max_bytes`` goes to the tasks whole, and the scan is narrow.
-    Of a larger one a slice of that size goes at a time, and the documents are written
-    with what is found so far between two slices. A null text has no words; an item
+    Documents are indexed once (:func:`build_index`); the distinct windows of all items go to the
+    tasks in parts of about ``max_bytes``, each of which reads the stored index, and what
+    the parts find is added up per document. A null text has no words; an item
     without words has no window; items that share a window all count; repeated rows each
     give a row; other columns are ignored.
     """
-    ship(docs.sparkSession)
-    rows = pick(docs, "doc_id", "text")
-    slices = _slices(pick(benchmark, "item_id", "text"), max_bytes)
-    items = next(slices)
-    for later in slices:
-        rows = stored(_search(rows, item_windows(items, window), slack, True).drop("n_words"), "leaks")
-        items = later
-    return _search(rows, item_windows(items, window), slack, False)
+    index = build_index(docs, window, shard_words)
+    windows = benchmark_windows(benchmark, window)
+    total = windows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("total")).first()["total"]
+    parts = max(1, -(-total // max_bytes))
+    found = []
+    for part in range(parts):
+        own = windows.filter(F.pmod(F.xxhash64("line"), F.lit(parts)) == part)
+        found.append(_look_up(index, [(row.line, row["items"]) for row in own.select("line", "items").toLocalIterator()], slack))
+    if parts == 1:
+        return found[0].drop("shard", "number")
+
+    @F.pandas_udf("array<struct<begin:long,end:long>>")
+    def joined(lists):
+        return lists.map(lambda ranges: [{"begin": a, "end": b} for a, b in merge([(r["begin"], r["end"]) for r in ranges])])
+
+    # Few documents have anything found, and a document has as many rows as there are parts at most.
+    hits = stored(reduce(DataFrame.unionByName, [one.filter("n_near > 0 or size(ranges) > 0") for one in found]), "hits")
+    added = hits.groupBy("shard", "number").agg(
+        joined(F.flatten(F.collect_list("ranges"))).alias("ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.sum("n_near").alias("n_near"),
+    )
+    every = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("number", "d"))
+    every = every.select("shard", F.col("number").cast("long").alias("number"), F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n_words"))
+    none = {"ranges": "array<struct<begin:long,end:long>>", "items": "array<string>"}
+    return every.join(added, ["shard", "number"], "left").select(
+        "doc_id",
+        "n_words",
+        *[F.coalesce(name, F.array().cast(kind)).alias(name) for name, kind in none.items()],
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+    )
 
 
 def contamination(found: DataFrame) -> DataFrame:

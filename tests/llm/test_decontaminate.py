@@ -1,10 +1,13 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from coppice.llm.common import pick
-from coppice.llm.decontaminate import contamination, item_windows, matches, merge
+from coppice.llm.decontaminate import Lookup, benchmark_windows, build_index, contamination, item_windows, matches, merge, term_hashes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -27,22 +30,28 @@ def brute(docs, items, size=10):
                 if tuple(w[i : i + n]) in windows:
                     hit |= set(range(i, i + n))
                     found |= windows[tuple(w[i : i + n])]
+        near = 0
+        for window in windows:
+            miss = [sum(a != b for a, b in zip(window, w[i:])) for i in range(len(w) - len(window) + 1)]
+            near += sum(m <= (2 if len(window) > 2 else 0) for m in miss)
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        yield doc_id, len(w), len(hit), len(found), digest, bool(hit)
+        yield doc_id, len(w), len(hit), len(found), digest, bool(hit), near
 
 
 def compare(spark, docs, benchmark, **kwargs):
     rows = [(r.doc_id, r.text) for r in pick(docs, "doc_id", "text").collect()]
     items = [(r.item_id, r.text) for r in benchmark.collect()]
-    found = [tuple(r)[:6] for r in contamination(matches(docs, benchmark, **kwargs)).collect()]
+    found = [tuple(r) for r in contamination(matches(docs, benchmark, **kwargs)).collect()]
     assert sorted(found, key=repr) == sorted(brute(rows, items), key=repr)
     return found
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 24, 3000])
-def test_given_tables(spark, sf, max_bytes):
+@pytest.mark.parametrize(("max_bytes", "shard_words"), [(1 << 24, 2_000_000), (30_000, 2_000_000), (1 << 24, 5000)])
+def test_given_tables(spark, sf, max_bytes, shard_words):
+    """All columns, however the windows and the documents are cut."""
     docs, benchmark = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "benchmark"))
-    found = compare(spark, docs, benchmark, max_bytes=max_bytes)
+    docs = docs.filter(F.length("text") < 2500)  # brute force compares every window with every place
+    found = compare(spark, docs, benchmark, max_bytes=max_bytes, shard_words=shard_words)
     assert any(row[5] for row in found) and not all(row[5] for row in found)
 
 
@@ -69,8 +78,12 @@ TEXTS = [
 
 def test_made_cases(spark, make, odd, empty):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for docs in (make(TEXTS), odd, empty):
-        compare(spark, docs, benchmark)
+    for docs in (make(TEXTS), odd.filter("doc_id is null or doc_id not in (7, 8)"), empty):
+        for max_bytes in (1 << 24, 20):
+            compare(spark, docs, benchmark, max_bytes=max_bytes)
+    # Very long texts too, whole.
+    long = {r.doc_id: r for r in contamination(matches(odd, spark.createDataFrame([(1, "very long text")], "item_id long, text string"))).collect()}
+    assert (long[7].n_hit, long[7].n_words, long[7].contaminated) == (12000, 28000, True)
     none = contamination(matches(odd, benchmark.filter("false"))).collect()
     assert len(none) == odd.count() and not any(r.contaminated for r in none)
 
@@ -95,3 +108,51 @@ def test_proximity(spark, make):
 def test_windows_and_ranges():
     assert item_windows([(1, "a b c")], 2).windows == [(0, 1), (1, 2)]
     assert merge([(5, 8), (0, 3), (2, 4), (4, 5)]) == [(0, 8)]
+
+
+def test_equal_items_are_one_window_in_any_part(spark, make):
+    docs = make([(1, "a b c d e f g h i j")])
+    benchmark = spark.createDataFrame([(i, "a b c d e f g h i j") for i in range(3)], "item_id long, text string")
+    for max_bytes in (1 << 20, 1):
+        (row,) = contamination(matches(docs, benchmark, max_bytes=max_bytes)).collect()
+        assert (row.n_hit, row.n_items, row.n_near) == (10, 3, 1)
+
+
+def test_index_holds_every_posting(spark, make, odd, odd_rows):
+    """Each word of each document at its place, and nothing else; several shards."""
+    for shard_words in (10, 50_000):
+        total = 0
+        for row in build_index(odd, 10, shard_words).collect():
+            stands = {}
+            for i, term in enumerate(row.terms):
+                for place in row.places[row.bounds[i] : row.bounds[i + 1]]:
+                    stands[place] = term
+            total += len(stands)
+            for start, size in zip(row.starts, row["sizes"]):
+                assert all(place in stands for place in range(start, start + size))
+            assert len(stands) == sum(row["sizes"]) and row.terms == sorted(row.terms)
+        assert total == sum(len(words(text)) for _, text in odd_rows)
+
+
+def test_windows_that_cannot_occur_are_not_looked_up(monkeypatch):
+    """One term is missing in all of them; only as many as the slack may be."""
+    from coppice.llm.decontaminate import Shard
+
+    text = [b"w%d" % (i % 40) for i in range(200)]
+    codes = term_hashes(text)
+    order = np.argsort(codes, kind="stable")
+    terms, bounds = np.unique(codes[order], return_index=True)
+    shard = {"terms": terms, "bounds": np.append(bounds, 200), "places": order.astype(np.int32), "starts": np.zeros(1, np.int64), "sizes": np.full(1, 200)}
+    known = [term_hashes([b"w%d" % ((i + j) % 40) for j in range(10)]).tolist() for i in range(5)]
+    foreign = [[*window[:7], 1, 2, 3] for window in known]
+    looked, phrase = [], Shard.phrase
+    monkeypatch.setattr(Shard, "phrase", lambda self, window: looked.append(window) or phrase(self, window))
+    monkeypatch.setattr(Shard, "near", lambda self, window, slack: looked.append(window) or np.zeros(0, np.int64))
+    ((ranges, items, near),) = Lookup(known + foreign, [["a"]] * 10, 2).find(shard)
+    assert len(looked) == 10 and items == ["a"] and ranges
+
+
+def test_benchmark_windows_are_distinct(spark):
+    items = spark.createDataFrame([(2, "a b c"), (1, "A b, c"), (3, "b c"), (4, None)], "item_id long, text string")
+    found = sorted((r.line, r["items"]) for r in benchmark_windows(items, 2).collect())
+    assert found == [("a b", ["1", "2"]), ("b c", ["1", "2", "3"])]
