@@ -1,11 +1,12 @@
 """Language-model scores by a log-bilinear model, trained with noise-contrastive estimation.
 
 The model predicts a word's class from the two classes before it. The most frequent
-words are classes of their own, all others share one. A context's vectors, each turned
+words are classes of their own; all others, the unknown ones too, belong to the class of their
+ending, as far as that is frequent, else to one class that is left. A context's vectors, each turned
 by the matrix of its place, add up to a prediction; its product with a class's vector,
-plus the class's bias, is the logarithm of the class's share. Within the shared class
+plus the class's bias, is the logarithm of the class's share. Within the class of an ending
 words count by how often they occur, plus one, and unknown words count once. So the
-probabilities of all words and one unknown word add up to 1.
+probabilities of all words and one unknown word of each ending add up to 1.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from coppice.llm.common import blank_words, pick, ship, stored
+from coppice.llm.common import blank_words, pick, ship, sliced, stored
 
 # Words whose counts go to every task, at 16 bytes; the counts of all others are joined.
 MAX_FREQUENT = 200_000
 CLASSES, SIZE, NOISE = 512, 16, 64
+# Bytes of a word that are its ending.
+ENDING = 2
 BATCH, RATE, LEAST_STEPS = 4096, 0.1, 200
 # Squared steps that a parameter starts with, so that its first ones are small.
 SQUARES = 1e-3
-# Tokens that a task trains on at a time, and words it counts before it passes them on.
-CHUNK_TOKENS, CHUNK_WORDS = 4_000_000, 400_000
+# Tokens of a trainer, and words a task counts before it passes them on.
+TRAINER_TOKENS, CHUNK_WORDS = 4_000_000, 400_000
+# Words whose hashes and endings a worker keeps.
+MAX_KEPT = 50_000
 # Trained models added up by one task.
 _AVERAGE_AT_A_TIME = 64
 # A token that no word can be.
@@ -50,23 +55,41 @@ def hash_of(word: bytes) -> int:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= MAX_KEPT:
             self.clear()
         value = self[word] = hash_of(word)
         return value
 
 
-_hashes = _Hashes()
+class _Endings(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MAX_KEPT:
+            self.clear()
+        value = self[word] = ending_of(word)
+        return value
+
+
+_hashes, _endings = _Hashes(), _Endings()
+
+
+def ending_of(word: bytes) -> int:
+    """A number for a word's last bytes."""
+    return int.from_bytes(word[-ENDING:], "big")
+
+
+class Tokens(NamedTuple):
+    hashes: np.ndarray
+    endings: np.ndarray
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a text's words and of the end."""
+def tokens(text: str | None) -> Tokens:
+    """Hashes and endings of a text's words and of the end."""
     words = [*blank_words(text), END]
-    return np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+    return Tokens(*[np.fromiter(map(kept.__getitem__, words), np.int64, len(words)) for kept in (_hashes, _endings)])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences of every token, the end included: word (64-bit hash), n. Counted in
+    """Occurrences of every token, the end included: word (64-bit hash), ending, n. Counted in
     each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,14 +104,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     found = Counter()
         yield _counted(found)
 
-    partial = pick(docs, "text").mapInArrow(count, "word long, n long")
-    return stored(partial.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    partial = pick(docs, "text").mapInArrow(count, "word long, ending long, n long")
+    return stored(partial.groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n")), "words")
 
 
 def _counted(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {"word": pa.array(map(hash_of, found), pa.int64()), "n": pa.array(found.values(), pa.int64())}
-    )
+    columns = {"word": map(hash_of, found), "ending": map(ending_of, found), "n": found.values()}
+    return pa.RecordBatch.from_pydict({name: pa.array(values, pa.int64()) for name, values in columns.items()})
 
 
 class Lexicon(NamedTuple):
@@ -96,26 +118,42 @@ class Lexicon(NamedTuple):
 
     words: np.ndarray  # hashes of the frequent words, sorted
     counts: np.ndarray
+    own: np.ndarray  # class of each, or -1 if it has none of its own
+    endings: np.ndarray  # frequent endings, sorted
     classes: np.ndarray  # class of each
     unigram: np.ndarray  # share of each class, above 0
+    rest: np.ndarray  # of each class what its words count together, an unknown one included
     least: int  # a word with this count or more is frequent
     total: int  # tokens
     distinct: int
-    rest: float  # what the words of the shared class count together, an unknown one included
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each token is frequent, and where it is if so."""
-        if not len(self.words):
-            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return self.words[at] == hashes, at
+        return _found(self.words, hashes)
+
+    def classes_of(self, line: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each token, and whether others are in it too."""
+        frequent, at = self.find(line.hashes)
+        known, place = _found(self.endings, line.endings)
+        by_ending = np.where(known, self.classes[place], SHARED) if len(self.classes) else np.full(len(known), SHARED)
+        own = np.where(frequent, self.own[at], -1) if len(self.own) else np.full(len(known), -1)
+        return np.where(own >= 0, own, by_ending), own < 0
+
+
+def _found(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted known ones, and where."""
+    if not len(known):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[at] == values, at
 
 
 SHARED = 0
 
 
 def lexicon(counts: DataFrame, classes: int = CLASSES, most: int = MAX_FREQUENT) -> Lexicon:
-    """The frequent words: all from some count on, the lowest that leaves at most ``most``."""
+    """The frequent words: all from some count on, the lowest that leaves at most ``most``. Half of
+    the classes are words, the others endings of all other words, and one is what is left."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # Counts in bins of a 16th of a doubling; there are never more bins than this.
     width = F.floor(F.log2("n") * 16)
@@ -126,21 +164,32 @@ def lexicon(counts: DataFrame, classes: int = CLASSES, most: int = MAX_FREQUENT)
             break
         least, kept = row.low, kept + row.words
     table = counts.filter(F.col("n") >= least).toArrow()
-    words, n = (table.column(name).to_numpy().astype(np.int64) for name in ("word", "n"))
+    words, ending, n = (table.column(name).to_numpy().astype(np.int64) for name in ("word", "ending", "n"))
     order = np.argsort(words)
-    words, n = words[order], n[order]
+    words, ending, n = words[order], ending[order], n[order]
     # The end is always a class; then the most frequent words, equal ones by hash.
     is_end = words == hash_of(END)
-    first = np.lexsort((words, -n, ~is_end))[: classes - 1]
-    own = np.zeros(len(words), np.int64)
+    first = np.lexsort((words, -n, ~is_end))[: classes // 2]
+    own = np.full(len(words), -1)
     own[first] = np.arange(1, len(first) + 1)
-    share = np.zeros(classes)
-    np.add.at(share, own, n)
-    share[SHARED] += total - n.sum()
-    shared_words = distinct - len(first)
-    rest = float(share[SHARED] + shared_words + 1)
+    # Endings, of which there are 65,792 at most, by what words without a class count.
+    found = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    endings, by_ending, kinds = (found.column(name).to_numpy().astype(np.int64) for name in ("ending", "n", "words"))
+    order = np.argsort(endings)
+    endings, by_ending, kinds = endings[order], by_ending[order], kinds[order]
+    place = np.searchsorted(endings, ending[first])
+    np.subtract.at(by_ending, place, n[first])
+    np.subtract.at(kinds, place, 1)
+    chosen = np.lexsort((endings, -by_ending))[: classes - classes // 2 - 1]
+    chosen = np.sort(chosen[by_ending[chosen] > 0])
+    of_ending = np.full(len(endings), SHARED)
+    of_ending[chosen] = len(first) + 1 + np.arange(len(chosen))
+    share, rest = np.zeros(classes), np.ones(classes)
+    np.add.at(share, own[first], n[first])
+    np.add.at(share, of_ending, by_ending)
+    np.add.at(rest, of_ending, by_ending + kinds)
     share = (share + 1) / (share + 1).sum()
-    return Lexicon(words, n, own, share, int(least), int(total), int(distinct), rest)
+    return Lexicon(words, n, own, endings[chosen], of_ending[chosen], share, rest, int(least), int(total), int(distinct))
 
 
 class Weights(NamedTuple):
@@ -226,22 +275,26 @@ def _added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, known: Lexicon) -> Weights:
-    """Each task trains from the same beginning on all its texts, a chunk at a time; the
-    models are averaged by tokens, some at a time, level by level."""
+    """The texts are dealt by hash to trainers of about :data:`TRAINER_TOKENS` tokens, which
+    take them in order of that hash; so a model follows from the rows, however they lie. Each trainer starts
+    from the same beginning, and the models are averaged by tokens, some at a time, level by level."""
     start = beginning(known.unigram)
     end = _end_class(known)
+    dealt = pick(docs, "doc_id", "text").withColumn("deal", F.xxhash64("doc_id", "text"))
+    trainers = max(1, -(-known.total // TRAINER_TOKENS))
+    dealt = dealt.repartition(trainers, "deal").sortWithinPartitions("deal").select("text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(*[part.copy() for part in start])
         squares = Weights(*[np.full_like(part, SQUARES) for part in start])
         rng = np.random.default_rng(7)
         seen, waiting, classes = 0, 0, []
-        for batch in batches:
-            for text in batch.column("text"):
-                own = classes_of(tokens(text.as_py()), known)
+        for part in sliced(batches, 500):
+            for text in part.column("text").to_pylist():
+                own = known.classes_of(tokens(text))[0].astype(np.int32)
                 classes.append(own)
                 waiting += len(own)
-                if waiting >= CHUNK_TOKENS:
+                if waiting >= TRAINER_TOKENS:
                     nce(weights, trigrams(classes, len(known.unigram), end), known.unigram, rng, squares)
                     seen, waiting, classes = seen + waiting, 0, []
         if waiting:
@@ -259,16 +312,16 @@ def train(docs: DataFrame, known: Lexicon) -> Weights:
             yield _model(count, total / count)
 
     types = "n double, flat binary"
-    models = stored(pick(docs, "text").mapInArrow(fit, types), "models")
+    models = stored(dealt.mapInArrow(fit, types), "models")
     n = models.count()
     while n > 1:
         n = -(-n // _AVERAGE_AT_A_TIME)
         # Sorted, so that sums come out the same again.
         models = stored(models.repartition(n, F.xxhash64("flat")).sortWithinPartitions("n", "flat").mapInArrow(average, types), "models")
-    found = [(row.n, np.frombuffer(row.flat)) for row in models.collect()]
+    found = sorted((row.n, bytes(row.flat)) for row in models.collect())
     if not found:
         return start
-    return start.like(sum(n * flat for n, flat in found) / sum(n for n, _ in found))
+    return start.like(sum(n * np.frombuffer(flat) for n, flat in found) / sum(n for n, _ in found))
 
 
 def _model(n: float, flat: np.ndarray) -> pa.RecordBatch:
@@ -276,13 +329,7 @@ def _model(n: float, flat: np.ndarray) -> pa.RecordBatch:
 
 
 def _end_class(known: Lexicon) -> int:
-    frequent, at = known.find(np.array([hash_of(END)]))
-    return int(known.classes[at[0]]) if frequent[0] else SHARED
-
-
-def classes_of(hashes: np.ndarray, known: Lexicon) -> np.ndarray:
-    frequent, at = known.find(hashes)
-    return np.where(frequent, known.classes[at], SHARED) if len(known.classes) else np.zeros(len(hashes), np.int64)
+    return int(known.classes_of(tokens(None))[0][0])
 
 
 class Scorer:
@@ -310,21 +357,20 @@ class Scorer:
 
     def score(self, texts: Sequence[str | None]) -> Iterator[tuple]:
         """Per text: tokens; how many are frequent; their sum of log10(count + 1), and
-        that of those in the shared class; sum of log10 of class probabilities; tokens in
-        the shared class; the other words' hashes and how often each occurs."""
-        hashes = [tokens(text) for text in texts]
-        lengths = np.array([len(h) for h in hashes])
-        line = np.concatenate(hashes)
-        frequent, at = self.known.find(line)
-        has = len(self.known.words) > 0
-        own = np.where(frequent, self.known.classes[at], SHARED) if has else np.zeros(len(line), np.int64)
-        plus_one = np.where(frequent, np.log10(self.known.counts[at] + 1.0), 0.0) if has else np.zeros(len(line))
+        that of those without a class of their own; sum of log10 of class probabilities; sum of log10 of what
+        the classes of those without one count; the other words' hashes and how often each occurs."""
+        found = [tokens(text) for text in texts]
+        lengths = np.array([len(own.hashes) for own in found])
+        line = Tokens(*[np.concatenate(column) for column in zip(*found)])
+        frequent, at = self.known.find(line.hashes)
+        own, shared = self.known.classes_of(line)
+        plus_one = np.where(frequent, np.log10(self.known.counts[at] + 1.0), 0.0) if len(self.known.words) else np.zeros(len(own))
+        within = np.where(shared, np.log10(self.known.rest)[own], 0.0)
         cuts = np.concatenate(([0], np.cumsum(lengths)))
         codes = trigrams([own[a:b] for a, b in zip(cuts, cuts[1:])], self.n, self.end)
         chance = self.log_probabilities(codes) / np.log(10)
-        shared = own == SHARED
         for a, b in zip(cuts, cuts[1:]):
-            rare, times = np.unique(line[a:b][~frequent[a:b]], return_counts=True)
+            rare, times = np.unique(line.hashes[a:b][~frequent[a:b]], return_counts=True)
             part = plus_one[a:b]
             yield (
                 int(b - a),
@@ -332,7 +378,7 @@ class Scorer:
                 float(part.sum()),
                 float(part[shared[a:b]].sum()),
                 float(chance[a:b].sum()),
-                int(shared[a:b].sum()),
+                float(within[a:b].sum()),
                 rare,
                 times,
             )
@@ -347,7 +393,8 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, most: int = MAX_FREQUEN
     0; repeated rows each give a row; other columns are ignored.
 
     Counts of frequent words are at hand in each task. All other words of a document
-    meet theirs in a join, one row per document and word.
+    meet theirs in a join, one row per document and word. Very long texts are whole in one
+    task; rows that agree in doc_id and text have one trainer.
     """
     ship(docs.sparkSession)
     rows = pick(docs, "doc_id", "text")
@@ -357,7 +404,7 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, most: int = MAX_FREQUEN
     weights = train(training, known)
 
     made = StructType.fromDDL(
-        "n_tokens long, n_frequent long, plus_one double, shared_plus_one double, chance double, n_shared long,"
+        "n_tokens long, n_frequent long, plus_one double, shared_plus_one double, chance double, within double,"
         "rare array<long>, times array<long>"
     )
     schema = StructType([rows.schema["doc_id"], *made])
@@ -366,8 +413,8 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, most: int = MAX_FREQUEN
         arrow = to_arrow_schema(made)
         scorer = Scorer(weights, known)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 columns = list(zip(*scorer.score(part.column("text").to_pylist())))
                 arrays = [pa.array(values, field.type) for values, field in zip(columns, arrow)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=schema.names)
@@ -375,16 +422,14 @@ def score_texts(docs: DataFrame, classes: int = CLASSES, most: int = MAX_FREQUEN
     parts = rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     parts = stored(parts, "parts")
     words = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", "x.rare", "x.times")
-    others = counts.filter(F.col("n") < known.least).withColumnRenamed("word", "rare")
+    others = counts.filter(F.col("n") < known.least).select(F.col("word").alias("rare"), "n")
     met = words.join(others, "rare").groupBy("row").agg(
         F.sum("times").alias("n_met"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("met_plus_one")
     )
     whole = parts.drop("rare", "times").join(met, "row", "left")
     met_plus_one = F.coalesce("met_plus_one", F.lit(0.0))
     base = F.col("plus_one") + met_plus_one - F.col("n_tokens") * F.lit(float(np.log10(known.total + known.distinct + 1)))
-    score = (
-        F.col("chance") + F.col("shared_plus_one") + met_plus_one - F.col("n_shared") * F.lit(float(np.log10(known.rest)))
-    )
+    score = F.col("chance") + F.col("shared_plus_one") + met_plus_one - F.col("within")
     return whole.select(
         "doc_id",
         held_out().alias("held_out"),

@@ -36,10 +36,45 @@ def test_probabilities_add_up_to_one(spark, sf):
     scorer = lm.Scorer(lm.train(docs, known), known)
     codes = (3 * 16 + 5) * 16 + np.arange(16)
     assert np.exp(scorer.log_probabilities(codes)).sum() == pytest.approx(1)
-    # Within the shared class: all its words by count plus one, and an unknown word.
-    own = {int(w) for w, c in zip(known.words, known.classes) if c != lm.SHARED}
-    shared = sum(r.n + 1 for r in counts.collect() if r.word not in own) + 1
-    assert shared == known.rest
+    # Within the class of an ending: all its words by count plus one, and an unknown word.
+    own = {int(w) for w, c in zip(known.words, known.own) if c >= 0}
+    of = {int(e): int(c) for e, c in zip(known.endings, known.classes)}
+    rest, share = np.ones(16), np.ones(16)
+    for r in counts.collect():
+        c = of.get(r.ending, lm.SHARED)
+        if r.word not in own:
+            rest[c] += r.n + 1
+        share[int(known.own[np.searchsorted(known.words, r.word)]) if r.word in own else c] += r.n
+    assert rest.tolist() == known.rest.tolist() and len(own) == 8 and len(of) == 7
+    assert np.allclose(share / share.sum(), known.unigram)
+
+
+def test_words_and_endings_have_classes(spark, make):
+    docs = make([(1, "the cat sat on the mat the bat ran"), (3, "the hat")])
+    known = lm.lexicon(lm.word_counts(docs), classes=6, most=100)
+    (line, shared) = known.classes_of(lm.tokens("The rat ran an on"))
+    end, the = known.classes_of(lm.tokens("the"))[0][::-1]
+    # "the", the end and a third word are classes; unknown words go with their ending.
+    assert line[0] == the and line[-1] == end and not shared[0] and not shared[-1] and shared[1]
+    assert line[1] == known.classes_of(lm.tokens("wat"))[0][0] != lm.SHARED
+    assert known.classes_of(lm.tokens("xyz"))[0][0] == lm.SHARED
+
+
+def test_few_tokens_share_the_class_that_is_left(spark, sf):
+    """On the given documents, of those not trained on."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known = lm.lexicon(lm.word_counts(docs.filter(~lm.held_out())))
+    classes = [known.classes_of(lm.tokens(r.text))[0] for r in docs.filter(lm.held_out()).collect()]
+    assert (np.concatenate(classes) == lm.SHARED).mean() < 0.15
+
+
+def test_scores_do_not_depend_on_the_layout(spark, sf, monkeypatch):
+    """Several trainers; the same rows in one and in seven partitions."""
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 20_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, seven = (sorted(map(tuple, lm.score_texts(docs.repartition(n), classes=64).collect())) for n in (1, 7))
+    assert [row[:5] for row in one] == [row[:5] for row in seven]
+    assert all(a[6] == pytest.approx(b[6], rel=1e-9) for a, b in zip(one, seven))
 
 
 def test_training_beats_the_unigram_model(spark, sf, make):
@@ -67,7 +102,8 @@ def test_noise_contrast_finds_the_shares():
     weights = lm.beginning(unigram, 4)
     squares = lm.Weights(*[np.full_like(part, lm.SQUARES) for part in weights])
     lm.nce(weights, codes, unigram, rng, squares)
-    known = lm.Lexicon(np.array([lm.hash_of(lm.END)]), np.array([1]), np.array([1]), unigram, 1, 1, 1, 1.0)
+    one = np.array([1])
+    known = lm.Lexicon(np.array([lm.hash_of(lm.END)]), one, one, one[:0], one[:0], unigram, np.ones(3), 1, 1, 1)
     chance = np.exp(lm.Scorer(weights, known).log_probabilities(codes[:2]))
     assert (chance > 0.8).all()
 
