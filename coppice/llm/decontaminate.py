@@ -284,7 +284,8 @@ def matches(
     tasks in parts of about ``max_bytes``, each of which reads the stored index, and what
     the parts find is added up per document. A null text has no words; an item
     without words has no window; items that share a window all count; repeated rows each
-    give a row; other columns are ignored.
+    give a row; an empty benchmark finds nothing, and an empty table gives no rows; a very long text
+    is whole in one shard; other columns are ignored.
     """
     index = build_index(docs, window, shard_words)
     windows = benchmark_windows(benchmark, window)

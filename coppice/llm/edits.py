@@ -169,7 +169,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     The edited text has its last quarter of characters replaced by the first as many of
     the next document's; the next is that of the next doc_id (null first, equal ids by
     text), after the last the first. A null text counts as empty; the only row is its
-    own next; other columns are ignored.
+    own next; an empty table gives no rows; a very long text is walked whole by one task;
+    other columns are ignored.
 
     The texts are dealt into ranges of doc_id and sorted there, the one shuffle. Each
     task goes through its range as a stream. Only the first and the last text of each
@@ -260,13 +261,14 @@ def similar(queries: DataFrame, prints: DataFrame, least: float = 0.5) -> DataFr
     against all fingerprints (doc_id, fingerprint).
 
     Texts meet if a band of samples agrees, and all their samples are then compared.
-    Equal fingerprints are compared once. Empty texts meet nothing.
+    Equal fingerprints are compared once, and rows that share one all come back. Empty texts,
+    and null fingerprints, meet nothing; an empty table on either side gives no rows.
     """
     ship(prints.sparkSession)
 
-    @F.udf("array<string>")
-    def bands(text):
-        return _bands(text)
+    @F.pandas_udf("array<string>")
+    def bands(texts):
+        return texts.map(_bands)
 
     @F.pandas_udf("double")
     def near(a, b):
@@ -274,6 +276,8 @@ def similar(queries: DataFrame, prints: DataFrame, least: float = 0.5) -> DataFr
 
         return pd.Series([likeness(_parsed(x), _parsed(y)) for x, y in zip(a, b)], dtype=float)
 
+    prints = prints.filter("fingerprint is not null")
+    queries = queries.filter("fingerprint is not null")
     known = prints.select(F.col("fingerprint").alias("other")).distinct().withColumn("band", F.explode(bands("other")))
     asked = queries.select("fingerprint").distinct().withColumn("band", F.explode(bands("fingerprint")))
     met = asked.join(known, "band").select("fingerprint", "other").distinct().withColumn("likeness", near("fingerprint", "other"))

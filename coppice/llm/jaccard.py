@@ -683,7 +683,8 @@ def similar_groups(
     Two documents are linked if ``100 * common >= percent * union`` of their sets of word
     n-grams (64-bit hashes), A-Z in lower case. A document of fewer words is one n-gram; one without words or
     text has an empty set and is linked with nothing. A null doc_id ranks after all
-    others; repeated rows each give a row and are linked; other columns are ignored.
+    others; repeated rows each give a row and are linked; an empty table gives no rows; a very
+    long text is one set like others, in a block of its own; other columns are ignored.
     """
     ship(docs.sparkSession)
     sets, counts = _sets(docs, words)

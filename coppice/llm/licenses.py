@@ -181,7 +181,8 @@ def license_scan(docs: DataFrame, base: Mapping[str, str] = BASE_PHRASES, more:
     A phrase is found wherever its words stand one after the other, whatever separates
     them; places may overlap. ``score`` is the freedom the strictest of all notices
     leaves, 0 without any. Narrow: no shuffle. A null text counts as empty and has no
-    notices; repeated rows each give a row; other columns are ignored.
+    notices; repeated rows each give a row; an empty table gives no rows; a very long text is
+    read whole by one task; other columns are ignored.
     """
     base, more = dict(base), {k: v for k, v in more.items() if k not in base}
 

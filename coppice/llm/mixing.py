@@ -80,7 +80,8 @@ def mix(
     size counts as 0 and such a document is never taken; a null or not positive quality
     counts as 1; a null source is a source of its own; a null doc_id draws like any
     other value. Documents of equal key go by doc_id and size; rows that agree in these
-    too may change places. The same documents give the same mix on any cluster.
+    too may change places. The same documents give the same mix on any cluster. An empty table
+    gives no rows; texts are not read here, however long.
 
     No source is sorted whole: sizes are summed per slice of the key range (pre-added in
     each task), the slice that holds the line is cut again, and only the rows of that

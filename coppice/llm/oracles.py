@@ -190,6 +190,49 @@ SELECT doc_id, CAST(list_sum(sizes[1:s + 1]) - words[s + 1] AS INTEGER) AS "begi
 FROM n JOIN places USING (doc_id)
 """
 
+# The remainder of eight bits of a byte, and of all bytes of a number's digits.
+_CRC_BYTE = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))"
+_CRC = f"""xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda digit: CAST(ascii(digit) AS BIGINT))), lambda c, b: {_CRC_BYTE}), 4294967295)"""
+
+# Words q apart are the same along a run of at least 16, whatever the period, so 16-grams q apart are.
+RUNS = f"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{BLANK_WORD}') AS w, {_CRC} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+p AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+d AS (
+  SELECT doc_id, n,
+         CASE WHEN p IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w
+  FROM p),
+k AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 16], ' ')) AS gram FROM d, unnest(range(0, greatest(n - 15, 0))) u(i)),
+e AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
+s AS (
+  SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 16 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM e)
+  GROUP BY doc_id, q, stretch HAVING max(i) - min(i) + 16 + q >= greatest(24, 3 * q)),
+r AS (
+  SELECT * FROM s
+  WHERE NOT EXISTS (
+    SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.q < s.q AND s.q % o.q = 0 AND o.start <= s.start
+      AND o.start + o.length >= s.start + s.length)),
+best AS (
+  SELECT doc_id, count(*) AS n_runs, first(start ORDER BY CAST(length AS DOUBLE) / q DESC, start, q) AS start,
+         first(length ORDER BY CAST(length AS DOUBLE) / q DESC, start, q) AS length,
+         first(q ORDER BY CAST(length AS DOUBLE) / q DESC, start, q) AS period,
+         string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines
+  FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM r, unnest(range(start + q, start + length)) u(i)),
+kept AS (
+  SELECT d.doc_id, string_agg(w[u.i + 1], ' ' ORDER BY u.i) AS words
+  FROM d CROSS JOIN unnest(range(n)) u(i) LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.i = u.i
+  WHERE gone.i IS NULL GROUP BY d.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 # Twenty bits of the digest at a time are four letters.
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -211,5 +254,6 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": DECONTAMINATE,
     "op8_url_filter": URLS,
     "op9_substring_dedup": REPEATS,
+    "op12_periodic_runs": RUNS,
     "op13_warc": WARC,
 }

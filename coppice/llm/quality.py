@@ -267,7 +267,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
     are joined to them, so no text is shuffled. Of labelled rows that are not held out the
     weights come from at most ``limit``; mean, spread and threshold from all. A null text counts as empty and is scored like one;
     repeated rows each give a row; of several labels of a document the lowest counts; a
-    label above 0 is good; other columns are ignored.
+    label above 0 is good; an empty table gives no rows, and without labels all score alike; a very
+    long text is read whole by one task; other columns are ignored.
     """
     rows = stored(statistics(docs), "quality")
     model = train(rows, labels, ~held_out(), limit)

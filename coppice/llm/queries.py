@@ -98,7 +98,7 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return periodic_runs(table(spark, sf_dir, "documents"), planted)
+    return periodic_runs(table(spark, sf_dir, "documents"), planted).drop("n_words", "n_kept")
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,8 @@ def token_counts(docs: DataFrame, pieces: Sequence[tuple[str, float]], limit: in
     """Per row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens).
 
     Narrow: no shuffle. A null text counts as empty, an empty one has no tokens. Repeated
-    rows each give a row; a null doc_id stays null; other columns are ignored.
+    rows each give a row; a null doc_id stays null; an empty table gives no rows; a very long
+    text is cut in chunks, whose maps are composed; other columns are ignored.
     """
 
     def start():

@@ -115,7 +115,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     by character; the longest wins, and a page that none fits gets ``default``. The rules
     go to the tasks as a trie while they stay within ``max_bytes``, else by a join. A null
     URL, or one without ``://``, has an empty host and path. Repeated rows each give a
-    row; other columns are ignored.
+    row, an empty table none; a very long URL is read whole; other columns are ignored.
     """
     wrong = [rule for rule in rules if not rule.path.startswith("/") or rule.verdict not in ("allow", "block")]
     if wrong:

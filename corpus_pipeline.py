@@ -31,7 +31,7 @@ def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good. Of rows that share a
-    doc_id, all stay if one is good."""
+    doc_id, all stay if one is good. A null or empty text is scored like any; an empty table stays empty."""
     return _having(docs, score_quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
 
 
@@ -48,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts without passages that an earlier document holds. A document of which
-    nothing but blanks is left goes; one that was so before stays."""
+    nothing but blanks is left goes; one that was so before stays, and so does a null text."""
     cut = without_repeats(pick(docs, *COLUMNS))
     left = (F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return cut.filter(left).withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(
@@ -58,7 +58,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item. Of rows that share a doc_id, all
-    go if one is hit."""
+    go if one is hit. A null or empty text stays; an empty table stays empty."""
     found = contamination(matches(docs, table(spark, sf_dir, "benchmark"), slack=None))
     bad = found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
     rows = pick(docs, *COLUMNS)
@@ -66,7 +66,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents taken, with size, source_size, target and taken (words, repeats counted)."""
+    """The documents taken, with size, source_size, target and taken (words, repeats counted). A
+    null text or one without words is never taken; an empty table gives no rows."""
     mixed = mix_documents(docs, keep=("text", "lang", "n_chars"))
     return mixed.filter("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
 
