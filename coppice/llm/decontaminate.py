@@ -31,8 +31,8 @@ WINDOW = 10
 SLACK = 2
 # Bytes of benchmark windows that may go to the tasks at a time.
 MAX_ITEM_BYTES = 16 * 1024 * 1024
-# Words indexed together.
-SHARD_WORDS = 2_000_000
+# Words indexed together; a shard is a row of the index, and such rows are held in memory whole.
+SHARD_WORDS = 400_000
 # Word hashes a worker keeps.
 MAX_KEPT = 50_000
 
@@ -198,10 +198,15 @@ def build_index(docs: DataFrame, gap: int = WINDOW, shard_words: int = SHARD_WOR
         words = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         places = (np.arange(len(words), dtype=np.int64) + np.repeat(np.arange(len(lengths)) * gap, lengths)).astype(np.int32)
         order = np.argsort(words, kind="stable")
-        terms, bounds = np.unique(words[order], return_index=True)
-        columns = [ids, starts, lengths, terms, np.append(bounds, len(words)), places[order]]
-        arrays = [pa.array([number], pa.int64()), *[pa.array([c], field.type) for c, field in zip(columns, list(to_arrow_schema(made))[1:])]]
-        return pa.RecordBatch.from_arrays(arrays, schema=to_arrow_schema(made))
+        words, places = words[order], places[order]
+        bounds = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
+        arrow = to_arrow_schema(made)
+        columns = [ids, starts, lengths, words[bounds], np.append(bounds, len(words)), places]
+        arrays = [pa.array([number], pa.int64())]
+        for column, field in zip(columns, list(arrow)[1:]):
+            # One list, its values as they are.
+            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), pa.array(column, field.type.value_type)))
+        return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, sizes, codes, total = TaskContext.get().partitionId() << 32, [], [], [], 0
