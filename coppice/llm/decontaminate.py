@@ -32,7 +32,7 @@ SLACK = 2
 # Bytes of benchmark windows that may go to the tasks at a time.
 MAX_ITEM_BYTES = 16 * 1024 * 1024
 # Words indexed together; a shard is a row of the index, and such rows are held in memory whole.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 # Word hashes a worker keeps.
 MAX_KEPT = 50_000
 
@@ -78,49 +78,28 @@ class Shard:
     """Postings of the terms of some windows in a run of documents that stand one after the
     other; a gap wider than any window keeps matches inside a document."""
 
-    def __init__(self, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, bounds: np.ndarray, counts: np.ndarray):
-        """``bounds`` and ``counts`` say where each term's list begins in ``places``, and its length."""
-        self.starts, self.sizes, self.places = starts, sizes, places
-        self.bounds, self.counts = bounds.tolist(), counts.tolist()
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.places[self.bounds[term] : self.bounds[term] + self.counts[term]]
-
-    def _rarest_first(self, window: tuple[int, ...]) -> list[int]:
-        return sorted(range(len(window)), key=lambda i: self.counts[window[i]])
-
-    def _holds(self, starts: np.ndarray, window: tuple[int, ...], i: int) -> np.ndarray:
-        places = self.postings(window[i])
-        at = np.searchsorted(places, starts + i)
-        return (at < len(places)) & (places[np.minimum(at, len(places) - 1)] == starts + i) if len(places) else at < 0
-
-    def phrase(self, window: tuple[int, ...]) -> np.ndarray:
-        """Starts of every occurrence."""
-        order = self._rarest_first(window)
-        starts = self.postings(window[order[0]]) - order[0]
-        for i in order[1:]:
-            if not len(starts):
-                break
-            starts = starts[self._holds(starts, window, i)]
-        return starts
-
-    def near(self, window: tuple[int, ...], slack: int) -> np.ndarray:
-        """Starts where at most ``slack`` terms differ. One of the ``slack + 1`` rarest
-        must be in its place, so their lists hold every start."""
-        if len(window) <= slack:
-            return self.phrase(window)
-        order = self._rarest_first(window)
-        lists = [self.postings(window[i]) - i for i in order[: slack + 1]]
-        starts = np.unique(np.concatenate(lists))
-        misses = np.zeros(len(starts), np.int64)
-        for i in order:
-            if not len(starts):
-                break
-            misses = misses + ~self._holds(starts, window, i)
-            starts, misses = starts[misses <= slack], misses[misses <= slack]
-        at = self.document(starts)
-        inside = (at >= 0) & (starts >= self.starts[at]) & (starts + len(window) <= self.starts[at] + self.sizes[at])
-        return starts[inside]
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray, lists: Sequence[np.ndarray]):
+        """``lists`` has the places of each term, in order."""
+        self.starts, self.sizes = starts, sizes
+        self.counts = np.array([len(places) for places in lists], np.int64)
+        self.places = np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.span = int(starts[-1] + sizes[-1]) + 1 if len(starts) else 1
+        # All lists as one, in order of term and place.
+        self.keys = np.repeat(np.arange(len(lists)), self.counts) * self.span + self.places
+
+    def holds(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether the list of each term has the place."""
+        wanted = terms * self.span + places
+        at = np.searchsorted(self.keys, wanted)
+        inside = (at < len(self.keys)) & (places >= 0) & (places < self.span)
+        return inside & (self.keys[np.minimum(at, len(self.keys) - 1)] == wanted) if len(self.keys) else inside
+
+    def starts_of(self, windows: np.ndarray, terms: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of a term of each window, shifted by the term's place in it: window, start."""
+        n = self.counts[terms]
+        index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[terms], n)
+        return np.repeat(windows, n), self.places[index] - np.repeat(offsets, n)
 
     def document(self, starts: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, starts, side="right") - 1
@@ -131,43 +110,83 @@ class Lookup:
 
     def __init__(self, windows: Sequence[Sequence[int]], items: Sequence[Sequence[str]], slack: int | None):
         self.items, self.slack = items, slack
-        width = max(map(len, windows), default=0)
+        self.lengths = np.array([len(window) for window in windows], np.int64)
         self.terms = np.unique(np.array([term for window in windows for term in window], np.int64))
-        place = {int(term): i for i, term in enumerate(self.terms)}
-        self.windows = [tuple(place[term] for term in window) for window in windows]
-        # Windows side by side; what a shorter one lacks is a term that no shard lacks.
-        self.table = np.full((len(windows), width), len(self.terms))
-        for i, window in enumerate(self.windows):
-            self.table[i, : len(window)] = window
-
-    def find(self, shard: dict[str, np.ndarray]) -> Iterator[tuple]:
+        # Windows side by side; what a shorter one lacks comes last.
+        self.table = np.full((len(windows), int(self.lengths.max(initial=1))), len(self.terms))
+        for i, window in enumerate(windows):
+            self.table[i, : len(window)] = np.searchsorted(self.terms, window)
+
+    def phrases(self, shard: Shard, rows: np.ndarray, terms: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window and start of every occurrence: the lists of a window's terms intersected, from the rarest."""
+        window, start = shard.starts_of(rows, terms[rows, 0], offsets[rows, 0])
+        for k in range(1, terms.shape[1]):
+            if not len(window):
+                break
+            kept = (k >= self.lengths[window]) | shard.holds(terms[window, k], start + offsets[window, k])
+            window, start = window[kept], start[kept]
+        return window, start
+
+    def near(self, shard: Shard, rows: np.ndarray, terms: np.ndarray, offsets: np.ndarray, slack: int) -> np.ndarray:
+        """Starts where at most ``slack`` terms of a window differ, once for each. One of its ``slack + 1``
+        rarest must be in its place, so their lists hold every start."""
+        found = [shard.starts_of(rows, terms[rows, k], offsets[rows, k]) for k in range(slack + 1)]
+        window, start = (np.concatenate(column) for column in zip(*found))
+        width = terms.shape[1]
+        window, start = np.divmod(np.unique(window * (shard.span + width) + start + width), shard.span + width)
+        start -= width
+        misses = np.zeros(len(window), np.int64)
+        for k in range(width):
+            misses += (k < self.lengths[window]) & ~shard.holds(terms[window, k], start + offsets[window, k])
+            kept = misses <= slack
+            window, start, misses = window[kept], start[kept], misses[kept]
+        at = shard.document(start)
+        inside = (at >= 0) & (start >= shard.starts[at]) & (start + self.lengths[window] <= shard.starts[at] + shard.sizes[at])
+        return start[inside]
+
+    def find(self, row: dict[str, np.ndarray]) -> Iterator[tuple]:
         """Per document of a shard: covered word ranges, items with an occurring window,
         number of proximity matches."""
-        at = np.searchsorted(shard["terms"], self.terms)
-        at = np.minimum(at, max(len(shard["terms"]) - 1, 0))
-        known = shard["terms"][at] == self.terms if len(shard["terms"]) else np.zeros(len(self.terms), bool)
-        bounds, lengths = shard["bounds"][:-1], np.diff(shard["bounds"])
-        counts = np.where(known, lengths[at] if len(lengths) else 0, 0)
-        index = Shard(shard["starts"], shard["sizes"], shard["places"], bounds[at] if len(bounds) else at, counts)
-        n = len(index.starts)
+        at = np.searchsorted(row["terms"], self.terms)
+        bounds = row["bounds"]
+        none = np.zeros(0, np.int64)
+        lists = [
+            row["places"][bounds[i] : bounds[i + 1]] if i < len(row["terms"]) and row["terms"][i] == term else none
+            for i, term in zip(at.tolist(), self.terms.tolist())
+        ]
+        shard = Shard(row["starts"], row["sizes"], lists)
+        n = len(shard.starts)
         ranges: list[list] = [[] for _ in range(n)]
         names: list[set] = [set() for _ in range(n)]
         near = np.zeros(n, np.int64)
-        absent = (np.append(counts, 1)[self.table] == 0).sum(axis=1)
-        for i in np.flatnonzero(absent <= (self.slack or 0)).tolist():
-            window = self.windows[i]
-            if not absent[i]:
-                starts = index.phrase(window)
-                for start, d in zip(starts.tolist(), index.document(starts).tolist()):
-                    begin = start - int(index.starts[d])
-                    ranges[d].append((begin, begin + len(window)))
-                    names[d].update(self.items[i])
-            if self.slack is not None:
-                np.add.at(near, index.document(index.near(window, self.slack)), 1)
+        counts = np.append(shard.counts, np.iinfo(np.int64).max)[self.table]
+        order = np.argsort(counts, axis=1, kind="stable")
+        terms = np.take_along_axis(self.table, order, axis=1)
+        absent = (counts == 0).sum(axis=1)
+        sizes = np.take_along_axis(counts, order, axis=1)
+        for rows in _blocks(np.flatnonzero(absent == 0), sizes[:, 0]):
+            for w, start in zip(*self.phrases(shard, rows, terms, order)):
+                d = int(shard.document(start))
+                begin = int(start - shard.starts[d])
+                ranges[d].append((begin, begin + int(self.lengths[w])))
+                names[d].update(self.items[w])
+                # A window no longer than the slack is near where it is exact.
+                near[d] += self.slack is not None and self.lengths[w] <= self.slack
+        if self.slack is not None:
+            possible = np.flatnonzero((absent <= self.slack) & (self.lengths > self.slack))
+            for rows in _blocks(possible, sizes[:, : self.slack + 1].sum(axis=1)):
+                np.add.at(near, shard.document(self.near(shard, rows, terms, order, self.slack)), 1)
         for own, found, count in zip(ranges, names, near.tolist()):
             yield merge(own), sorted(found), count
 
 
+def _blocks(rows: np.ndarray, sizes: np.ndarray, most: int = 500_000) -> Iterator[np.ndarray]:
+    """Rows whose lists have about ``most`` places together."""
+    if len(rows):
+        cuts = np.flatnonzero(np.diff(np.cumsum(np.minimum(sizes[rows], most)) // most)) + 1
+        yield from np.split(rows, cuts)
+
+
 def merge(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for begin, end in sorted(ranges):
