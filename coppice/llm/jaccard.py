@@ -12,8 +12,8 @@
    lacks bound the overlap from above. A tile too large for a task is cut in blocks, and
    blocks meet in pairs.
 4. What the bound leaves is decided by intersecting the sorted n-gram arrays. First each
-   class with its likeliest partner only, which links most of a group without all its
-   pairs; then, inside the block, pairs that are still in different components, and a
+   class with its likeliest partner only, and some times more with that of another component,
+   which links most of a group without all its pairs; then, inside the block, pairs that are still in different components, and a
    block returns the links that join components, fewer than it has members.
 """
 
@@ -46,6 +46,8 @@ TILE, BLOCK_GRAMS = 1024, 1_000_000
 HOT = 1_000_000
 # Links checked beside one center in a task.
 STAR = 2048
+# Rounds in which each class is checked with its likeliest partner of another component.
+ROUNDS = 3
 # Places of involved classes that may be sent to every task, at 40 bytes or so each.
 MAX_SENT = 200_000
 # Word hashes a worker keeps.
@@ -475,16 +477,22 @@ def _band(n: np.ndarray, side: np.ndarray, i: int, percent: int) -> tuple[int, n
 
 def _likeliest(blocks: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Per class of a block its likeliest partner among those before it by size that the bound
-    allows: a, b, bound. Signatures join their members here, so that only those of members that meet are moved."""
+    allows: a, b, bound. Signatures join their members here, so that only those of members that meet are moved.
+    Where members have ``root`` and ``failed``, partners have another root and are not among those."""
+    rooted = "root" in blocks.columns
 
     def compare(rows: dict[str, list]) -> list[tuple]:
         order = np.lexsort((rows["class"], rows["n"]))
         key, n, side = (np.array(rows[name], np.int64)[order] for name in ("class", "n", "side"))
+        root = np.array(rows["root"], np.int64)[order] if rooted else key
         members = Members(n, [np.frombuffer(rows["bitmap"][k], np.uint8) for k in order])
         out = []
         for i in range(1, len(key)):
             low, meet = _band(n, side, i, percent)
-            meet &= key[low:i] != key[i]
+            meet &= (key[low:i] != key[i]) & (root[low:i] != root[i])
+            failed = rows["failed"][order[i]] if rooted else None
+            if failed:
+                meet &= ~np.isin(key[low:i], failed)
             if not meet.any():
                 continue
             bound = members.bounds(i, low)
@@ -506,9 +514,11 @@ def _likeliest(blocks: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
                 best = {}
         yield _pairs([(a, b, bound) for b, (bound, a) in best.items()], ("a", "b", "bound"))
 
-    dealt = blocks.join(maps, "class").select("block", "side", "class", "n", "bitmap")
+    more = ["root", "failed"] if rooted else []
+    dealt = blocks.join(maps, "class").select("block", "side", "class", "n", "bitmap", *more)
     dealt = dealt.repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a long, b long, bound long")
+    best = dealt.mapInArrow(run, "a long, b long, bound long")
+    return stored(best.groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a")).select("a", "b"), "likeliest")
 
 
 def _pairs(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
@@ -605,6 +615,14 @@ def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return stored(met.mapInArrow(run, "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams")), "grams")
 
 
+def _open(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """Blocks whose members are in several components, with each one's ``root``."""
+    roots = blocks.join(found.select(F.col("node").alias("class"), "root"), "class", "left")
+    roots = roots.withColumn("root", F.coalesce("root", "class"))
+    apart = roots.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    return stored(roots.join(apart.select("block"), "block", "left_semi"), "open")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, list]]:
     """Rows of one key after the other, from rows sorted by key."""
     now, rows = None, None
@@ -699,19 +717,25 @@ def similar_groups(
     maps = known.filter("bitmap is not null").groupBy("class").agg(F.first("bitmap").alias("bitmap"))
     maps = stored(maps.join(blocks.select("class").distinct(), "class", "left_semi"), "signatures")
 
-    likeliest = _likeliest(blocks, maps, percent).groupBy("b").agg(F.max_by("a", F.struct("bound", "a")).alias("a"))
-    first = _checked(likeliest, docs, classes, words, percent)
+    tried = _likeliest(blocks, maps, percent)
+    links = _checked(tried, docs, classes, words, percent)
     nodes = classes.select(F.col("class").alias("node"), F.col("doc_id").alias("label"))
-    found = connected(nodes, first)
+    found = connected(nodes, links)
+    for _ in range(ROUNDS):
+        release(docs.sparkSession)
+        open_blocks = _open(blocks, found)
+        failed = tried.join(links, ["a", "b"], "left_anti").groupBy("b").agg(F.collect_list("a").alias("failed"))
+        again = open_blocks.join(failed.withColumnRenamed("b", "class"), "class", "left")
+        next_tried = _likeliest(again, maps, percent)
+        if next_tried.isEmpty():
+            break
+        tried = tried.union(next_tried)
+        links = links.union(_checked(next_tried, docs, classes, words, percent))
+        found = connected(nodes, links)
     release(docs.sparkSession)
-
-    roots = blocks.join(found.select(F.col("node").alias("class"), "root"), "class", "left")
-    roots = roots.withColumn("root", F.coalesce("root", "class"))
-    apart = roots.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    open_blocks = stored(roots.join(apart.select("block"), "block", "left_semi"), "open")
-    involved = _involved(open_blocks, maps, percent)
+    involved = _involved(_open(blocks, found), maps, percent)
     wanted = classes.join(involved.select("class").distinct(), "class", "left_semi")
-    links = first.union(_joining(involved, _arrays(docs, wanted, words), percent))
+    links = links.union(_joining(involved, _arrays(docs, wanted, words), percent))
     found = connected(nodes, links)
 
     members = sets.select("doc_id", "n", "class").join(classes.select("class", F.col("doc_id").alias("lowest")), "class", "left")
