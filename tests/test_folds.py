@@ -3,7 +3,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.operators.folds import CHUNK, canonical, fold_split, split_distribution, stored_folds, with_fold
+from coppice.operators.folds import CHUNK, ROWS, canonical, fold_split, partitions_by_rows, split_distribution, stored_folds, with_fold
+from coppice.plans import queries
 from coppice.session import file_per_partition
 from plans_text import exchanges, plan_of
 
@@ -134,3 +135,16 @@ def test_own_session_leaves_the_settings_alone(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert spark.conf.get(key) == before
+
+
+def test_partitions_follow_from_rows_alone(spark):
+    """A task's share of a training table stays the same as the table grows, however the input was cut."""
+    for n, expected in ((0, 8), (8 * ROWS, 8), (8 * ROWS + 1, 9), (60 * ROWS, 60)):
+        assert {partitions_by_rows(spark.range(0, n, 1, parts), 8) for parts in (1, 7)} == {expected}
+
+
+def test_registered_training_grows_in_partitions(spark, sf, monkeypatch):
+    """Forests and searches are fitted on more partitions when the table has more rows."""
+    monkeypatch.setattr("coppice.operators.folds.ROWS", 500)
+    _, vectors, _, _ = queries._fitted(spark, sf, trees=1, depth=1)
+    assert vectors.rdd.getNumPartitions() == 12
