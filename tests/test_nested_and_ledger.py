@@ -7,7 +7,7 @@ from coppice.operators.folds import stored_folds, with_fold
 from coppice.operators.forest import forest, grid
 from coppice.operators.ledger import Ledger, fingerprint
 from coppice.operators.nested import NestedForests, cut_tree
-from coppice.operators.search import search
+from coppice.operators.search import fits_at_a_time, search
 from coppice.plans.fixtures import ROW_KEY, separable
 from coppice.plans.jobs import train_table
 
@@ -157,3 +157,42 @@ def test_ledger_rows(spark, noisy, tmp_path):
     ledger.add(2, "b", [])
     found = ledger.done()
     assert {part: sorted(counts) for part, counts in found.items()} == {(0, "a"): [(1.0, 0.0, 2), (1.0, 1.0, 5)], (2, "b"): []}
+
+
+@pytest.mark.parametrize("params", [{}, {"minInstancesPerNode": 20, "impurity": "entropy"}, {"subsamplingRate": 0.5}])
+def test_maps_that_differ_in_depth_share_a_fit(spark, noisy, tmp_path, monkeypatch, params):
+    """With bootstrap and all features at each split: the same scores from a fit per fold and number of trees."""
+    rf = forest("quality", seed=3, featureSubsetStrategy="all", **params)
+    maps = grid(rf, (2, 4), (5, 1, 3))
+    plain = search(noisy, FEATURES, "quality", rf, maps, 3, parallelism=3)
+    fits = counted_fits(monkeypatch)
+    shared = search(noisy, FEATURES, "quality", rf, maps, 3, parallelism=2, shared=f"{tmp_path}/n")
+    assert sorted(map(sorted, fits[:-1])) == [[2, 5]] * 3 + [[4, 5]] * 3
+    assert same(shared.scores, plain.scores) and same(shared.fold_scores, plain.fold_scores)
+    assert shared.model.stages[-1].toDebugString.split("\n")[1:] == plain.model.stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_shared_forests_equal_separate_fits(spark, noisy, tmp_path):
+    """With bootstrap: same trees and same votes, node by node."""
+    vectors = training_pair(noisy, FEATURES, "quality", 8, keep=ROW_KEY)
+    rf = forest("quality", seed=3, featureSubsetStrategy="all")
+    largest = rf.fit(vectors, {rf.numTrees: 3, rf.maxDepth: 8})
+    for depth, cut in zip((1, 4), NestedForests(largest, [(3, 1), (3, 4)], f"{tmp_path}/n").load(range(2))):
+        alone = rf.fit(vectors, {rf.numTrees: 3, rf.maxDepth: depth})
+        assert cut.toDebugString.split("\n")[1:] == alone.toDebugString.split("\n")[1:]
+        votes = [sorted(map(str, m.transform(vectors).select(*ROW_KEY, "rawPrediction").collect())) for m in (cut, alone)]
+        assert votes[0] == votes[1]
+
+
+def test_maps_share_no_fit_where_features_are_drawn(spark, noisy, tmp_path, monkeypatch):
+    rf = forest("quality", seed=3)
+    fits = counted_fits(monkeypatch)
+    search(noisy, FEATURES, "quality", rf, grid(rf, (2,), (1, 3)), 3, shared=f"{tmp_path}/n")
+    assert len(fits) == 7
+
+
+def test_a_large_table_has_one_fit_at_a_time(spark, noisy):
+    cores = spark.sparkContext.defaultParallelism
+    assert fits_at_a_time(noisy, 4) == min(4, cores)
+    assert fits_at_a_time(noisy.repartition(2 * cores), 4) == 1
+    assert fits_at_a_time(noisy.repartition(cores), 4) == 2
