@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from coppice.operators.folds import CHUNK, ROWS, canonical, fold_split, partitions_by_rows, split_distribution, stored_folds, with_fold
 from coppice.plans import queries
+from coppice.plans.fixtures import separable
 from coppice.session import file_per_partition
 from plans_text import exchanges, plan_of
 
@@ -148,3 +149,7 @@ def test_registered_training_grows_in_partitions(spark, sf, monkeypatch):
     monkeypatch.setattr("coppice.operators.folds.ROWS", 500)
     _, vectors, _, _ = queries._fitted(spark, sf, trees=1, depth=1)
     assert vectors.rdd.getNumPartitions() == 12
+    seen = []
+    monkeypatch.setattr(queries, "train_table", lambda *args, partitions, **more: seen.append(partitions))
+    queries._searched(separable(spark, sf), (1,), (1,))
+    assert seen == [12]
