@@ -11,8 +11,8 @@ probabilities of all words and one unknown word of each ending add up to 1.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Collection, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -35,8 +35,6 @@ BATCH, RATE, LEAST_STEPS = 4096, 0.1, 200
 SQUARES = 1e-3
 # Tokens of a trainer, and words a task counts before it passes them on.
 TRAINER_TOKENS, CHUNK_WORDS = 4_000_000, 400_000
-# Words whose hashes and endings a worker keeps.
-MAX_KEPT = 50_000
 # Trained models added up by one task.
 _AVERAGE_AT_A_TIME = 64
 # A token that no word can be.
@@ -50,26 +48,12 @@ def held_out(modulus: int = 7, remainder: int = 2) -> Column:
 
 
 def hash_of(word: bytes) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64))
+    return int(hashes_of([word])[0])
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_KEPT:
-            self.clear()
-        value = self[word] = hash_of(word)
-        return value
-
-
-class _Endings(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_KEPT:
-            self.clear()
-        value = self[word] = ending_of(word)
-        return value
-
-
-_hashes, _endings = _Hashes(), _Endings()
+def hashes_of(words: Collection[bytes]) -> np.ndarray:
+    """Signed 64-bit hashes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def ending_of(word: bytes) -> int:
@@ -77,6 +61,18 @@ def ending_of(word: bytes) -> int:
     return int.from_bytes(word[-ENDING:], "big")
 
 
+def endings_of(words: Collection[bytes]) -> np.ndarray:
+    """:func:`ending_of` of each word."""
+    line = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    last = np.cumsum(lengths) - 1
+    found = np.zeros(len(words), np.int64)
+    for place in range(ENDING):
+        has = lengths > place
+        found[has] += line[last[has] - place] << (8 * place)
+    return found
+
+
 class Tokens(NamedTuple):
     hashes: np.ndarray
     endings: np.ndarray
@@ -85,7 +81,19 @@ class Tokens(NamedTuple):
 def tokens(text: str | None) -> Tokens:
     """Hashes and endings of a text's words and of the end."""
     words = [*blank_words(text), END]
-    return Tokens(*[np.fromiter(map(kept.__getitem__, words), np.int64, len(words)) for kept in (_hashes, _endings)])
+    return Tokens(hashes_of(words), endings_of(words))
+
+
+def tokens_of(texts: Sequence[str | None]) -> tuple[Tokens, list[np.ndarray]]:
+    """Hashes and endings of the distinct words of some texts and of the end, and for each text the
+    numbers of its words and of the end among them. What follows from a word is found once a batch."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    lines = []
+    for text in texts:
+        words = [*blank_words(text), END]
+        lines.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+    return Tokens(hashes_of(number), endings_of(number)), lines
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -109,8 +117,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _counted(found: Counter) -> pa.RecordBatch:
-    columns = {"word": map(hash_of, found), "ending": map(ending_of, found), "n": found.values()}
-    return pa.RecordBatch.from_pydict({name: pa.array(values, pa.int64()) for name, values in columns.items()})
+    n = np.fromiter(found.values(), np.int64, len(found))
+    columns = {"word": hashes_of(found), "ending": endings_of(found), "n": n}
+    return pa.RecordBatch.from_pydict({name: pa.array(values) for name, values in columns.items()})
 
 
 class Lexicon(NamedTuple):
@@ -290,8 +299,10 @@ def train(docs: DataFrame, known: Lexicon) -> Weights:
         rng = np.random.default_rng(7)
         seen, waiting, classes = 0, 0, []
         for part in sliced(batches, 500):
-            for text in part.column("text").to_pylist():
-                own = known.classes_of(tokens(text))[0].astype(np.int32)
+            kinds, lines = tokens_of(part.column("text").to_pylist())
+            class_of = known.classes_of(kinds)[0].astype(np.int32)
+            for line in lines:
+                own = class_of[line]
                 classes.append(own)
                 waiting += len(own)
                 if waiting >= TRAINER_TOKENS:
@@ -359,18 +370,19 @@ class Scorer:
         """Per text: tokens; how many are frequent; their sum of log10(count + 1), and
         that of those without a class of their own; sum of log10 of class probabilities; sum of log10 of what
         the classes of those without one count; the other words' hashes and how often each occurs."""
-        found = [tokens(text) for text in texts]
-        lengths = np.array([len(own.hashes) for own in found])
-        line = Tokens(*[np.concatenate(column) for column in zip(*found)])
-        frequent, at = self.known.find(line.hashes)
-        own, shared = self.known.classes_of(line)
+        kinds, lines = tokens_of(texts)
+        lengths = np.array([len(line) for line in lines])
+        line = np.concatenate(lines)
+        frequent, at = self.known.find(kinds.hashes)
+        own, shared = self.known.classes_of(kinds)
         plus_one = np.where(frequent, np.log10(self.known.counts[at] + 1.0), 0.0) if len(self.known.words) else np.zeros(len(own))
         within = np.where(shared, np.log10(self.known.rest)[own], 0.0)
+        hashes, frequent, own, shared, plus_one, within = (kind[line] for kind in (kinds.hashes, frequent, own, shared, plus_one, within))
         cuts = np.concatenate(([0], np.cumsum(lengths)))
         codes = trigrams([own[a:b] for a, b in zip(cuts, cuts[1:])], self.n, self.end)
         chance = self.log_probabilities(codes) / np.log(10)
         for a, b in zip(cuts, cuts[1:]):
-            rare, times = np.unique(line.hashes[a:b][~frequent[a:b]], return_counts=True)
+            rare, times = np.unique(hashes[a:b][~frequent[a:b]], return_counts=True)
             part = plus_one[a:b]
             yield (
                 int(b - a),

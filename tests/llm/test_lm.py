@@ -137,3 +137,18 @@ def test_a_step_sees_64_noise_words():
     weights = lm.beginning(unigram, 4)
     lm.nce(weights, np.array([5, 14, 22]), unigram, Draws(), lm.Weights(*[np.full_like(part, lm.SQUARES) for part in weights]))
     assert set(drawn) == {64}
+
+
+def test_a_batch_hashes_each_word_once(monkeypatch):
+    """What follows from a word is found once a batch, not once a place."""
+    asked = []
+    whole = lm.hashes_of
+    monkeypatch.setattr(lm, "hashes_of", lambda words: asked.extend(words) or whole(words))
+    texts = ["The rat x", None, "", "rat " * 1000, "a\u00e9 the\x1crat"]
+    kinds, lines = lm.tokens_of(texts)
+    assert sorted(asked) == sorted({*" ".join(filter(None, texts)).lower().encode().split(), lm.END})
+    for text, line in zip(texts, lines):
+        own = lm.tokens(text)
+        assert (kinds.hashes[line] == own.hashes).all() and (kinds.endings[line] == own.endings).all()
+        words = [*lm.blank_words(text), lm.END]
+        assert [lm.ending_of(word) for word in words] == own.endings.tolist()
