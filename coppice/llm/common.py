@@ -5,10 +5,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,14 @@ def blank_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def numbered(lines: Iterable[list[bytes]]) -> tuple[Collection[bytes], list[np.ndarray]]:
+    """The distinct words of some lines, and for each line the numbers of its words among them, so that
+    what follows from a word is found once and not at each place."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    return number, [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in lines]
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only: the first of each exact name, whatever else the table holds."""
     plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])

@@ -19,7 +19,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from coppice.llm.common import blank_words, pick, release, ship, sliced, stored
+from coppice.llm.common import blank_words, numbered, pick, release, ship, sliced, stored
 from coppice.llm.components import connected
 from coppice.llm.counters import TABLE_BITS, added, frequent_from, packed
 
@@ -46,27 +46,15 @@ TILE, BLOCK_GRAMS = 1024, 1_000_000
 HOT = 1_000_000
 # Links checked beside one center in a task.
 STAR = 2048
-# Rounds in which each class is checked with its likeliest partner of another component.
-ROUNDS = 3
+# Rounds, at most, in which each class is checked with its likeliest partner of another component, and
+# the n-grams of members still involved, as a share of the corpus's, with which no further one is needed.
+ROUNDS, FEW = 3, 0.25
 # Places of involved classes that may be sent to every task, at 40 bytes or so each.
 MAX_SENT = 200_000
-# Word hashes a worker keeps.
-MAX_KEPT = 50_000
 # Classes, tiles or pairs that a task remembers, so as not to pass them on twice.
 MAX_SEEN = 200_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
         x = x ^ (x >> np.uint64(shift))
@@ -77,20 +65,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams; of all its words if they
     are fewer, of nothing if there are none."""
-    found = blank_words(text)
-    if not found:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    return shingles_of([text], words)[0]
+
+
+def shingles_of(texts: Sequence[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """:func:`shingles` of each text; a word is hashed once for all of them."""
+    kinds, lines = numbered(map(blank_words, texts))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))
+    return [_grams(hashes[line], words) for line in lines]
+
+
+def _grams(codes: np.ndarray, words: int) -> np.ndarray:
     if len(codes) < words:
         # A shorter sequence is one n-gram, and differs from any of another length.
         factors = _mixed(np.arange(len(codes), dtype=np.uint64) + np.uint64(1000 * len(codes)))
-        return _mixed((codes * factors).sum(keepdims=True, dtype=np.uint64))
+        return _mixed((codes * factors).sum(keepdims=True, dtype=np.uint64)) if len(codes) else codes
     factors = _mixed(np.arange(words, dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
     n = len(codes) - words + 1
     total = np.zeros(n, np.uint64)
     for i in range(words):
         total += codes[i : i + n] * factors[i]
-    return np.unique(_mixed(total))
+    return _distinct(np.sort(_mixed(total)))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Each of sorted values once."""
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -144,7 +144,7 @@ def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found = [shingles(text, words) for text in part.column("text").to_pylist()]
+                found = shingles_of(part.column("text").to_pylist(), words)
                 slots = (np.concatenate(found) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
                 table += np.bincount(slots, minlength=size)
                 columns = list(zip(*[one(grams, seen) for grams in found]))
@@ -161,9 +161,10 @@ def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def keys_of(grams: np.ndarray, groups: int) -> np.ndarray:
-    """Sorted distinct keys of n-grams: the group of their hash, and 32 bits of its place there."""
+    """Sorted distinct keys of sorted n-grams: the group of their hash, and 32 bits of its place there."""
     high, low = grams >> np.uint64(32), grams & np.uint64(0xFFFFFFFF)
-    return np.unique(high * np.uint64(groups) + ((low * np.uint64(groups)) >> np.uint64(32)))
+    # The hash times the groups, less 32 bits; so it is in the hashes' order.
+    return _distinct(high * np.uint64(groups) + ((low * np.uint64(groups)) >> np.uint64(32)))
 
 
 def slots_of(keys: np.ndarray, groups: int) -> np.ndarray:
@@ -234,8 +235,7 @@ def _lists(docs: DataFrame, counts: np.ndarray, words: int, percent: int, hot: i
         chunk = _Chunk(groups, orders)
         number = 0
         for part in sliced(batches, 500):
-            for text in part.column("text").to_pylist():
-                grams = shingles(text, words)
+            for grams in shingles_of(part.column("text").to_pylist(), words):
                 key = class_of(grams)
                 if not len(grams) or key in seen:
                     continue
@@ -608,7 +608,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                grams = [shingles(text, words).tobytes() for text in part.column("text").to_pylist()]
+                grams = [found.tobytes() for found in shingles_of(part.column("text").to_pylist(), words)]
                 yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(grams, pa.binary())], names=["class", "grams"])
 
     # Rows that agree stand for one class together.
@@ -721,19 +721,23 @@ def similar_groups(
     links = _checked(tried, docs, classes, words, percent)
     nodes = classes.select(F.col("class").alias("node"), F.col("doc_id").alias("label"))
     found = connected(nodes, links)
+    release(docs.sparkSession)
+    involved = _involved(_open(blocks, found), maps, percent)
     for _ in range(ROUNDS):
-        release(docs.sparkSession)
-        open_blocks = _open(blocks, found)
+        # The exact stage moves the n-grams of members still involved; if they are few it takes them as they are.
+        if involved.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= FEW * int(counts.sum()):
+            break
         failed = tried.join(links, ["a", "b"], "left_anti").groupBy("b").agg(F.collect_list("a").alias("failed"))
-        again = open_blocks.join(failed.withColumnRenamed("b", "class"), "class", "left")
+        again = involved.join(failed.withColumnRenamed("b", "class"), "class", "left")
         next_tried = _likeliest(again, maps, percent)
         if next_tried.isEmpty():
             break
         tried = tried.union(next_tried)
         links = links.union(_checked(next_tried, docs, classes, words, percent))
         found = connected(nodes, links)
-    release(docs.sparkSession)
-    involved = _involved(_open(blocks, found), maps, percent)
+        # Members that no bound lets meet another component do not come to be involved later.
+        involved = _involved(_open(involved.drop("root"), found), maps, percent)
+        release(docs.sparkSession)
     wanted = classes.join(involved.select("class").distinct(), "class", "left_semi")
     links = links.union(_joining(involved, _arrays(docs, wanted, words), percent))
     found = connected(nodes, links)

@@ -11,7 +11,7 @@ probabilities of all words and one unknown word of each ending add up to 1.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Collection, Iterator, Sequence
 from typing import NamedTuple
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from coppice.llm.common import blank_words, pick, ship, sliced, stored
+from coppice.llm.common import blank_words, numbered, pick, ship, sliced, stored
 
 # Words whose counts go to every task, at 16 bytes; the counts of all others are joined.
 MAX_FREQUENT = 200_000
@@ -87,13 +87,8 @@ def tokens(text: str | None) -> Tokens:
 def tokens_of(texts: Sequence[str | None]) -> tuple[Tokens, list[np.ndarray]]:
     """Hashes and endings of the distinct words of some texts and of the end, and for each text the
     numbers of its words and of the end among them. What follows from a word is found once a batch."""
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    lines = []
-    for text in texts:
-        words = [*blank_words(text), END]
-        lines.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-    return Tokens(hashes_of(number), endings_of(number)), lines
+    kinds, lines = numbered([*blank_words(text), END] for text in texts)
+    return Tokens(hashes_of(kinds), endings_of(kinds)), lines
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

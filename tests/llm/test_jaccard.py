@@ -188,3 +188,29 @@ def test_a_block_returns_fewer_links_than_members():
         before = set(failed)
         J.spanning(key, n, side, key, sets, 75, failed)
         assert failed == before
+
+
+@pytest.mark.parametrize("few, rounds", [(0.25, {1}), (-1, {2, 3, 4})])
+def test_rounds_only_while_many_are_involved(make, monkeypatch, few, rounds):
+    """A few n-grams that are left go to the exact stage at once; either way no link is lost."""
+    asked = []
+    whole = J._likeliest
+    monkeypatch.setattr(J, "FEW", few)
+    monkeypatch.setattr(J, "_likeliest", lambda *args: asked.append(1) or whole(*args))
+    rng = random.Random(3)
+    alone = [" ".join(f"u{i}x{k}" for k in range(1000)) for i in range(200)]
+    rows = copies(3, groups=2) + [(10_000 + i, text) for i, text in enumerate(alone)]
+    rng.shuffle(rows)
+    assert found(make(rows)) == brute(rows)
+    assert len(asked) in rounds
+
+
+def test_a_batch_hashes_each_word_once(monkeypatch):
+    asked = []
+    whole = J.xxhash.xxh3_64_intdigest
+    texts = ["a b c d e f", None, "", "A b " * 100, "c"]
+    alone = [J.shingles(text) for text in texts]
+    monkeypatch.setattr(J.xxhash, "xxh3_64_intdigest", lambda word: asked.append(word) or whole(word))
+    together = J.shingles_of(texts)
+    assert sorted(asked) == [b"a", b"b", b"c", b"d", b"e", b"f"]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(alone, together))
