@@ -172,6 +172,23 @@ def test_maps_that_differ_in_depth_share_a_fit(spark, noisy, tmp_path, monkeypat
     assert shared.model.stages[-1].toDebugString.split("\n")[1:] == plain.model.stages[-1].toDebugString.split("\n")[1:]
 
 
+def test_depths_that_no_tree_reaches_have_one_forest(spark, tmp_path, monkeypatch):
+    """Trees that end at depth 2 are not cut below it, and are scored once for all maps that have them."""
+    from coppice.operators import search as module
+
+    df = with_fold(separable(spark, "/root/testdata/sf0.001"), 3, ROW_KEY)
+    rf = forest("quality", seed=3, featureSubsetStrategy="all", maxBins=64)
+    maps = grid(rf, (2, 4), (1, 3, 2, 9))
+    plain = search(df, FEATURES[:3], "quality", rf, maps, 3, parallelism=3)
+    cuts, scored = [], []
+    made, counts = module.NestedForests.__init__, module.confusion_of_models
+    monkeypatch.setattr(module.NestedForests, "__init__", lambda self, model, grid, at: (cuts.append(grid), made(self, model, grid, at))[1])
+    monkeypatch.setattr(module, "confusion_of_models", lambda models, *rest: (scored.append(len(models)), counts(models, *rest))[1])
+    shared = search(df, FEATURES[:3], "quality", rf, maps, 3, parallelism=2, shared=f"{tmp_path}/n")
+    assert sorted(cuts) == [[(2, 1)]] * 3 + [[(4, 1)]] * 3 and sum(scored) == 12
+    assert same(shared.scores, plain.scores) and same(shared.fold_scores, plain.fold_scores)
+
+
 def test_shared_forests_equal_separate_fits(spark, noisy, tmp_path):
     """With bootstrap: same trees and same votes, node by node."""
     vectors = training_pair(noisy, FEATURES, "quality", 8, keep=ROW_KEY)
