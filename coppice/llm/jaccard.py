@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from coppice.llm.common import blank_words, numbered, pick, release, ship, sliced, stored
-from coppice.llm.components import connected
+from coppice.llm.components import connected, joined
 from coppice.llm.counters import TABLE_BITS, added, frequent_from, packed
 
 WORDS, PERCENT = 5, 75
@@ -49,6 +49,8 @@ STAR = 2048
 # Rounds, at most, in which each class is checked with its likeliest partner of another component, and
 # the n-grams of members still involved, as a share of the corpus's, with which no further one is needed.
 ROUNDS, FEW = 3, 0.25
+# A round that leaves more than this share of those n-grams has brought too little for another.
+LEFT = 0.75
 # Places of involved classes that may be sent to every task, at 40 bytes or so each.
 MAX_SENT = 200_000
 # Classes, tiles or pairs that a task remembers, so as not to pass them on twice.
@@ -723,24 +725,28 @@ def similar_groups(
     found = connected(nodes, links)
     release(docs.sparkSession)
     involved = _involved(_open(blocks, found), maps, percent)
+    last = None
     for _ in range(ROUNDS):
-        # The exact stage moves the n-grams of members still involved; if they are few it takes them as they are.
-        if involved.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= FEW * int(counts.sum()):
+        # The exact stage moves the n-grams of members still involved; if they are few, or rounds no longer
+        # make them fewer, it takes them as they are.
+        left = involved.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if left <= FEW * int(counts.sum()) or (last is not None and left > LEFT * last):
             break
+        last = left
         failed = tried.join(links, ["a", "b"], "left_anti").groupBy("b").agg(F.collect_list("a").alias("failed"))
         again = involved.join(failed.withColumnRenamed("b", "class"), "class", "left")
         next_tried = _likeliest(again, maps, percent)
         if next_tried.isEmpty():
             break
         tried = tried.union(next_tried)
-        links = links.union(_checked(next_tried, docs, classes, words, percent))
-        found = connected(nodes, links)
+        fresh = _checked(next_tried, docs, classes, words, percent)
+        links = links.union(fresh)
+        found = joined(nodes, found, fresh)
         # Members that no bound lets meet another component do not come to be involved later.
         involved = _involved(_open(involved.drop("root"), found), maps, percent)
         release(docs.sparkSession)
     wanted = classes.join(involved.select("class").distinct(), "class", "left_semi")
-    links = links.union(_joining(involved, _arrays(docs, wanted, words), percent))
-    found = connected(nodes, links)
+    found = joined(nodes, found, _joining(involved, _arrays(docs, wanted, words), percent))
 
     members = sets.select("doc_id", "n", "class").join(classes.select("class", F.col("doc_id").alias("lowest")), "class", "left")
     members = members.join(found.select(F.col("node").alias("class"), "label"), "class", "left")
