@@ -22,6 +22,10 @@ from coppice.session import run_folder
 
 _shipped: dict[str, str] = {}
 
+# Compressed bytes of a small row group.
+GROUP_BYTES = 8 * 1024 * 1024
+_SMALL_GROUPS = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": False, "compression": "zstd"}
+
 # Bytes that separate words of letters and digits; every byte above 0x7F belongs to a word.
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_BLANK = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
@@ -69,11 +73,17 @@ def ship(spark: SparkSession) -> None:
     _shipped["to"] = context.applicationId
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The table written once to the shared folder, and read back from there."""
+def stored(df: DataFrame, purpose: str, group_rows: int | None = None) -> DataFrame:
+    """The table written once to the shared folder, and read back from there.
+
+    For rows of very many values, ``group_rows`` is how many of them a row group of its files holds, fewer
+    where they take :data:`GROUP_BYTES`. A reader decodes up to 4,096 rows of a group at once, and a writer,
+    if not told otherwise, looks at the sizes of pages and groups after 100 rows only. Such values
+    are written plain, without dictionaries larger than a few rows are, and compressed harder.
+    """
     spark = df.sparkSession
     path = run_folder(spark, purpose)
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.row.count.limit": group_rows, **_SMALL_GROUPS} if group_rows else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

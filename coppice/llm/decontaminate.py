@@ -33,6 +33,8 @@ SLACK = 2
 MAX_ITEM_BYTES = 16 * 1024 * 1024
 # Words indexed together; a shard is a row of the index, and such rows are held in memory whole.
 SHARD_WORDS = 200_000
+# Shards that a task decodes at once.
+GROUP_SHARDS = 8
 # Word hashes a worker keeps.
 MAX_KEPT = 50_000
 
@@ -244,7 +246,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW, shard_words: int = SHARD_WOR
         if ids:
             yield row(number, ids, sizes, codes)
 
-    return stored(rows.mapInArrow(run, made), "index")
+    return stored(rows.mapInArrow(run, made), "index", GROUP_SHARDS)
 
 
 def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:

@@ -155,3 +155,23 @@ def test_benchmark_windows_are_distinct(spark):
     items = spark.createDataFrame([(2, "a b c"), (1, "A b, c"), (3, "b c"), (4, None)], "item_id long, text string")
     found = sorted((r.line, r["items"]) for r in benchmark_windows(items, 2).collect())
     assert found == [("a b", ["1", "2"]), ("b c", ["1", "2", "3"])]
+
+
+def test_row_groups_of_the_index_are_bounded(spark, make):
+    """A task decodes a row group of the index at once: few shards, however well they are compressed, and long ones alone."""
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    def groups(docs, shard_words):
+        (file,) = build_index(docs, shard_words=shard_words).inputFiles()
+        found = pq.ParquetFile(urlparse(file).path).metadata
+        return [(found.row_group(i).num_rows, found.row_group(i).total_byte_size) for i in range(found.num_row_groups)]
+
+    equal = make([(i, " ".join(f"w{j}" for j in range(2000))) for i in range(40)], partitions=1)
+    assert [n for n, _ in groups(equal, 2000)] == [8] * 5
+    words = "concat_ws(' ', transform(sequence(1, 400000), x -> substring(md5(concat(id, '-', x)), 1, 12)))"
+    long = spark.range(0, 4, 1, 1).selectExpr("id as doc_id", f"{words} as text")
+    found = groups(long, 2000)
+    assert sum(n for n, _ in found) == 4 and max(n for n, _ in found) <= 2
+    assert max(size for _, size in found) < 20_000_000
