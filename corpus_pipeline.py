@@ -20,6 +20,8 @@ from coppice.llm.substrings import without_repeats
 
 # Fixed value: the columns of documents.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Ids of documents with leaks that are sent to every task; more are joined, which moves the texts.
+MAX_SENT = 200_000
 
 
 def _having(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -60,7 +62,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without any window of a benchmark item. Of rows that share a doc_id, all
     go if one is hit. A null or empty text stays; an empty table stays empty."""
     found = contamination(matches(docs, table(spark, sf_dir, "benchmark"), slack=None))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    bad = stored(found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "leaks")
+    bad = F.broadcast(bad) if bad.count() <= MAX_SENT else bad
     rows = pick(docs, *COLUMNS)
     return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
 
